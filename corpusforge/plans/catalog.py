@@ -1,0 +1 @@
+"""Imports the modules that register queries."""
