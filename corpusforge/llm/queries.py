@@ -2,21 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .jaccard_join import similar_documents
+from . import ann, decontaminate, durable, jaccard_join, language_id, line_dedup, packing, quality, sharding, token_output, url_filter
+
+#: Rules of the URL filter's query (fixed values): verdict, host, path prefix.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo `folds`."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids; each source's target is its own share."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard similarity of 0.9 or more, components over all documents."""
-    return similar_documents(_table(spark, sf_dir, "documents"), size=3, percent=90)
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words of all benchmark items in all documents."""
+    spans = decontaminate.contaminated_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("word_spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    rows = spans.withColumn("n_hit", n_hit)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns labels.quality from four folds of five and scores all documents."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    known = labels.where(_fold(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.train(docs, known))
+    held_out = F.coalesce(_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids in a permuted order, as shards of records of 2048 ids in a folder of the checkpoint folder."""
+    return token_output.write_training_order(_table(spark, sf_dir, "documents"), durable.fresh_path(spark, "training-order"))
+
+
+def op6_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns lang from two folds of three and predicts it for all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    fold = _fold(F.col("doc_id"), 3)
+    model = language_id.learn_profiles(docs.where(fold != 1).select("doc_id", "text", "lang"))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    placed = sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges all pages by five rules and, where none fits, by trees learnt from the others."""
+    judged = url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", F.col("rule"), "verdict")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of which documents repeat an earlier one, up to one word's edit."""
+    return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op2_ngram_jaccard": op2_ngram_jaccard,
-}
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_ngram_jaccard, op3_decontamination, op4_quality, op5_training_order, op6_multiprobe, op7_language_id, op8_bin_packing, op9_url_filter, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
