@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space beyond ASCII that counts as a space (fixed values).
 UNICODE_SPACES = "".join(map(chr, [160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288, 65279]))
@@ -101,7 +102,7 @@ def strip_prefix(c: Column, prefix: str) -> Column:
     return F.when(F.startswith(c, F.lit(prefix + ".")), F.substr(c, F.lit(len(prefix) + 2))).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

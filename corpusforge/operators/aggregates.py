@@ -72,7 +72,7 @@ def participation_share(edges: DataFrame, totals: DataFrame, floor: float = 0.2,
 
     edges: (sql_hash, from_t, from_c, to_t, to_c); totals: (sql_hash, table_name).
     """
-    ends = edges.select("sql_hash", F.inline(F.array(F.struct(F.col("from_t").alias("table_name"), F.col("from_c").alias("column_name")), F.struct("to_t", "to_c"))))
+    ends = edges.select("sql_hash", F.inline(F.array(F.struct(F.col("from_t").alias("table_name"), F.col("from_c").alias("column_name")), F.struct(F.col("to_t").alias("table_name"), F.col("to_c").alias("column_name")))))
     n = ends.where("column_name is not null").groupBy("table_name", "column_name").agg(F.countDistinct("sql_hash").alias("n"))
     all_n = totals.groupBy("table_name").agg(F.countDistinct("sql_hash").alias("_total"))
     share = F.round(F.col("n") / F.col("_total"), digits)

@@ -65,9 +65,9 @@ def explode_ordered(df: DataFrame, column: str, keep_empty: bool = False) -> Dat
 def mention_flags(claims: DataFrame, texts: DataFrame, on: str, name: str, text: str) -> DataFrame:
     """Per claim whether its name occurs in its text as a whole word, and right after FROM, JOIN, UPDATE or INTO."""
     joined = claims.join(texts, on, "left")
-    word = F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_$#])"), F.regexp_replace(name, r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_$#])"))
-    after = F.concat(F.lit(r"(?i)\b(from|join|update|into)\s+([A-Za-z0-9_]+\.)?"), F.regexp_replace(name, r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_$#])"))
-    return joined.withColumns({"in_text": F.coalesce(F.col(text).rlike(word), F.lit(False)), "after_from": F.coalesce(F.col(text).rlike(after), F.lit(False))}).drop(text)
+    word = F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9_$#])"), F.regexp_replace(F.col(name), r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_$#])"))
+    after = F.concat(F.lit(r"(?i)\b(from|join|update|into)\s+([A-Za-z0-9_]+\.)?"), F.regexp_replace(F.col(name), r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"($|[^A-Za-z0-9_$#])"))
+    return joined.withColumns({"in_text": F.coalesce(F.rlike(F.col(text), word), F.lit(False)), "after_from": F.coalesce(F.rlike(F.col(text), after), F.lit(False))}).drop(text)
 
 
 def match_rules(columns: DataFrame, rules: Sequence[Mapping[str, str]], column: str = "column_name", table: str = "table_name") -> DataFrame:

@@ -128,9 +128,9 @@ def a02(spark, d):
     return A.pivot_counts(table(spark, d, "events"), ["user_id"], {"clicks": F.col("event_type") == "click", "large": F.col("value") > 50})
 
 
-@query("a03_basic_aggs", "SELECT o_custkey, bool_or(o_orderstatus = 'O') AS any_flag, bool_and(o_orderstatus = 'O') AS all_flag, min(o_totalprice) AS min_v, max(o_totalprice) AS max_v, round(avg(o_totalprice), 1) AS avg_v, round(sum(o_totalprice), 1) AS sum_v FROM orders GROUP BY 1")
+@query("a03_basic_aggs", "SELECT o_custkey, bool_or(o_orderstatus = 'O') AS any_flag, bool_and(o_orderstatus = 'O') AS all_flag, min(o_totalprice) AS min_v, max(o_totalprice) AS max_v, round(avg(o_totalprice), 0) AS avg_v, round(sum(o_totalprice), 0) AS sum_v FROM orders GROUP BY 1")
 def a03(spark, d):
-    return A.basic_aggs(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", F.col("o_orderstatus") == "O", 1)
+    return A.basic_aggs(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", F.col("o_orderstatus") == "O", 0)
 
 
 @query("a04_collect_sorted", "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), '|') AS items FROM customer GROUP BY 1")
@@ -202,7 +202,7 @@ def a16(spark, d):
     return A.coverage(table(spark, d, "documents"), ["lang"], {"long": F.col("n_chars") > 1000, "src0": F.col("source") == "src0"})
 
 
-@query("a17_set_agreement", "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) a, list_sort(list(DISTINCT CASE WHEN l_quantity > 25 THEN 'A' ELSE 'N' END)) b FROM lineitem GROUP BY 1), x AS (SELECT len(list_filter(a, v -> NOT list_contains(b, v))) al, len(list_filter(b, v -> NOT list_contains(a, v))) bl FROM s) SELECT count(*) AS \"both\", count(*) FILTER (al = 0 AND bl = 0) AS agree, count(*) FILTER ((al = 0) <> (bl = 0)) AS subset, count(*) FILTER (al > 0 AND bl > 0) AS disagree FROM x")
+@query("a17_set_agreement", "WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) a, list_sort(list(DISTINCT CASE WHEN l_quantity > 25 THEN 'A' ELSE 'N' END)) b FROM lineitem GROUP BY 1), x AS (SELECT len(list_filter(a, lambda v: NOT list_contains(b, v))) al, len(list_filter(b, lambda v: NOT list_contains(a, v))) bl FROM s) SELECT count(*) AS \"both\", count(*) FILTER (al = 0 AND bl = 0) AS agree, count(*) FILTER ((al = 0) <> (bl = 0)) AS subset, count(*) FILTER (al > 0 AND bl > 0) AS disagree FROM x")
 def a17(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("a"), F.collect_set(F.when(F.col("l_quantity") > 25, "A").otherwise("N")).alias("b"))
     return A.set_agreement(li, "a", "b")
