@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import checks, corpus, relational, retrieval, scalar  # noqa: F401
+    from . import access, checks, corpus, relational, retrieval, scalar  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
