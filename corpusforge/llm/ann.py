@@ -5,7 +5,8 @@ that makes them unit vectors, so the largest inner product is the smallest L2 di
 tables hashes a vector by `functions` p-stable functions floor((a x + b) / width). A query visits, in each
 table, its own bucket and the `probes` perturbed ones (up to four functions moved by one) with the least
 sum of squared distances to the boundaries crossed: the order of estimated success. Candidates of all
-tables are merged and ranked by the exact inner product in double precision.
+tables are merged and ranked by the exact inner product in double precision. A query for which they are k or fewer is answered
+by all vectors.
 
 How it runs on Spark: equal vectors are one class; of a class at most k + 1 ids can matter. Buckets larger
 than `bucket_rows` are salted and their probes repeated for each salt. A table's buckets are dealt to groups
@@ -154,7 +155,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
 
     near = visited.groupBy("t", "g").cogroup(indexed.groupBy("t", "g"))
     merged = near.applyInArrow(lambda ask, index: nearest(index, ask), "query long, class long, score double")
-    merged = merged.groupBy("query", "class").agg(F.max("score").alias("score"))
+    merged = saved(merged.groupBy("query", "class").agg(F.max("score").alias("score")))
+    # Queries with too few candidates see all vectors: those of one table, in its groups.
+    found = merged.groupBy("query").agg(F.count("*").alias("found"))
+    few = asked_classes.join(found, F.col("class") == F.col("query"), "left").where(F.coalesce("found", F.lit(0)) <= k)
+    few = few.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "v")
+
+    def scan(ask: pa.Table, index: pa.Table) -> pa.Table:
+        out = []
+        if index.num_rows and ask.num_rows:
+            data, owner = _matrix(index), index.column("class").to_numpy()
+            for q, x in zip(ask.column("class").to_pylist(), _matrix(ask), strict=True):
+                score = data @ x
+                top = np.lexsort((owner, -score))[: k + 1]
+                out += [(q, int(owner[i]), float(score[i])) for i in top]
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "class", "score"])
+
+    scanned = few.groupBy("g").cogroup(indexed.where("t = 0").select("g", "class", "v").groupBy("g")).applyInArrow(scan, "query long, class long, score double")
+    merged = merged.unionByName(scanned).groupBy("query", "class").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     merged = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     # Classes back to ids: of equal vectors the k + 1 smallest ids are enough.
