@@ -123,7 +123,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame, queue_rows: int, digits: int
     """Per model rows, tokens, cost, and the cost projected to a queue. prices: (model, price) a million tokens."""
     per = usage.groupBy("model").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     cost = F.col("tokens") * F.col("price") / 1_000_000
-    return per.join(F.broadcast(prices), "model", "left").select("model", "n", "tokens", F.round(cost, digits).alias("cost"), F.round(cost / F.col("n") * queue_rows, digits).alias("projected"))
+    return per.join(prices, "model", "left").select("model", "n", "tokens", F.round(cost, digits).alias("cost"), F.round(cost / F.col("n") * queue_rows, digits).alias("projected"))
 
 
 def text_stats(df: DataFrame, by: Sequence[str], column: str, digits: int = 4) -> DataFrame:

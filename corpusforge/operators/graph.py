@@ -6,24 +6,15 @@ stays short and a lost executor costs no earlier round. Only counts come back to
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .picks import top_n
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir; a temporary folder only where the session names none."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 60) -> DataFrame:
     """G1: (seed, node, depth): what each seed (column `seed`) reaches over edges (src, dst); least depth, the seed at 0."""
     seen = checkpointed(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))

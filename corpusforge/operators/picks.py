@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 Order = Sequence[Column | str]
 
 
@@ -48,7 +50,7 @@ def surrogate_id(df: DataFrame, order: str, name: str = "id") -> DataFrame:
     range, so no task sees all rows.
     """
     spread = df.repartitionByRange(F.col(order).asc_nulls_last()).sortWithinPartitions(F.col(order).asc_nulls_last())
-    spread = spread.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    spread = checkpointed(spread.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = spread.groupBy("_part").agg(F.count("*").alias("_n")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     return spread.join(F.broadcast(bases), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_place") + 1).drop("_part", "_place", "_p", "_base")
@@ -130,6 +132,19 @@ def replace_snapshot(base: DataFrame, new: DataFrame, source: str) -> DataFrame:
     return base.join(new.select(source).distinct(), source, "left_anti").unionByName(new)
 
 
+def carry_forward(built: Mapping[str, DataFrame], previous: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The built tables, and those of the previous release that weren't built, unchanged."""
+    return {**previous, **built}
+
+
+def prune_sources(base: DataFrame, keep: DataFrame, sources: Sequence[str], key: str, dependents: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Base without rows of the imported sources that the import (key) lacks, and dependents of rows that are left."""
+    imported = F.col("source").isin(list(sources))
+    kept = keep.select(key).distinct().withColumn("_kept", F.lit(True))
+    rest = base.join(kept, key, "left").where(~imported | F.col("_kept")).select(*base.columns)
+    return rest, {n: df.join(rest.select(key), key, "left_semi") for n, df in dependents.items()}
+
+
 def members_of_all(df: DataFrame, group: str, member: str, wanted: Sequence) -> DataFrame:
     """Groups that hold every wanted member (relational division)."""
     some = df.where(F.col(member).isin(list(wanted)))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import picks as W
 from ..operators import policy as X
+from ..operators import quality as Q
 from ..sources import files as S
+from ..sources.shared import fresh_path
 from ..streaming import incremental as T
 from .registry import query, table
 from .relational import schema_columns
+from .scalar import NORM_SQL
 from .standins import duck, view
 
 
@@ -209,13 +213,16 @@ def _staged(spark, d):
     return docs, T.stage(docs.where("doc_id % 2 = 0"), empty)
 
 
-@query("t01_stage")
+_IDS = f"SELECT 'sql:' || sha256({NORM_SQL}) AS id, source || '#' || doc_id % 3 AS ref FROM documents"
+
+
+@query("t01_stage", f"SELECT id, count(DISTINCT ref) AS n_refs FROM ({_IDS}) GROUP BY 1")
 def t01(spark, d):
     docs, base = _staged(spark, d)
     return T.stage(docs, base).select("id", F.size("refs").cast("long").alias("n_refs"))
 
 
-@query("t01_stage_again")
+@query("t01_stage_again", "SELECT CAST(0 AS BIGINT) AS changed")
 def t01c(spark, d):
     """Rows that staging the same batch twice would change: none."""
     docs, base = _staged(spark, d)
@@ -393,3 +400,84 @@ def s18(spark, d):
 def s18b(spark, d):
     docs = table(spark, d, "documents")
     return S.filter_by_ids(docs, docs.where("doc_id % 10 = 0").select("doc_id").union(docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"))), "doc_id")[1]
+
+
+@query("t01_stage_stream", f"SELECT id, count(DISTINCT ref) AS n_refs FROM ({_IDS}) GROUP BY 1")
+def t01d(spark, d):
+    folder, target = fresh_path(spark, "landing"), fresh_path(spark, "staged")
+    docs = table(spark, d, "documents").select("text", F.col("source").alias("path"), (F.col("doc_id") % 3).cast("int").alias("idx"))
+    docs.write.json(folder)
+    T.stage_stream(spark, folder, "text string, path string, idx int", target, fresh_path(spark, "progress")).awaitTermination()
+    return T.read_staged(spark, target).select("id", F.size("refs").cast("long").alias("n_refs"))
+
+
+@query("t09_t11_ensure_registry", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def t09(spark, d):
+    path = fresh_path(spark, "registry")
+    o = table(spark, d, "orders")
+    T.ensure_registry(spark, path, "1", lambda: o.groupBy("o_orderstatus").agg(F.count("*").alias("n")))
+    return T.ensure_registry(spark, path, "1", lambda: o.limit(0))
+
+
+@query("u10_carry_forward", "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FILTER (o_orderstatus = 'F') FROM orders")
+def u10(spark, d):
+    n, o = table(spark, d, "nation"), table(spark, d, "orders")
+    return Q.counts(W.carry_forward({"orders": o.where("o_orderstatus = 'F'")}, {"nation": n, "orders": o}))
+
+
+@query("u11_prune_sources", "SELECT doc_id FROM documents WHERE source NOT IN ('src1', 'src2') OR doc_id % 2 = 0")
+def u11(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return W.prune_sources(docs, docs.where("doc_id % 2 = 0"), ["src1", "src2"], "doc_id", {})[0].select("doc_id")
+
+
+@query("u11_prune_dependents", "SELECT doc_id, quality FROM labels JOIN documents USING (doc_id) WHERE source NOT IN ('src1', 'src2') OR doc_id % 2 = 0")
+def u11b(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return W.prune_sources(docs, docs.where("doc_id % 2 = 0"), ["src1", "src2"], "doc_id", {"labels": table(spark, d, "labels").select("doc_id", "quality")})[1]["labels"]
+
+
+@query("s01_read_dictionary_csv", "SELECT CAST(c_custkey AS VARCHAR) AS k, c_name || chr(10) || ' \"x\", y' AS name FROM customer")
+def s01(spark, d):
+    path = fresh_path(spark, "csv")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat("c_name", F.lit('\n "x", y')).alias("name"))
+    c.write.csv(path, header=True, escape='"', quoteAll=True)
+    return S.read_dictionary_csv(spark, path, ["k", "name"])
+
+
+@query("s10_write_table", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0")
+def s10(spark, d):
+    path = fresh_path(spark, "table")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(0).alias("v"))
+    S.write_table(o, path, ["o_orderstatus"])
+    S.write_table(o.where("o_orderstatus = 'F' and o_orderkey % 2 = 0").withColumn("v", F.lit(1)), path, ["o_orderstatus"])
+    return spark.read.parquet(path).select("o_orderkey", "v")
+
+
+@query("s13_export_inventory", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1")
+def s13(spark, d):
+    path = fresh_path(spark, "inventory")
+    S.export_inventory(table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")), path, [F.desc("n"), F.col("l_suppkey")], 20)
+    return spark.read.schema("l_suppkey long, n long").json(f"{path}/json")
+
+
+@query("s14_load_with_count", "SELECT count(*) AS n FROM lineitem")
+def s14(spark, d):
+    path = fresh_path(spark, "loaded")
+    S.load_with_count(table(spark, d, "lineitem"), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n"))
+
+
+@query("q06_gate", "SELECT n_name FROM nation")
+def q06(spark, d):
+    n = table(spark, d, "nation")
+    Q.gate(Q.violations({"no name": n.where("n_name is null").select("n_nationkey")}))
+    return n.select("n_name")
+
+
+@query("q10_publish", "SELECT n_nationkey, n_name FROM nation")
+def q10(spark, d):
+    root = fresh_path(spark, "release")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    Q.publish(spark, {"nation": n}, root, "v1", [n.where("n_name is null").select(F.col("n_nationkey").cast("string").alias("message"))])
+    return spark.read.parquet(f"{root}/v1/nation")

@@ -62,7 +62,7 @@ def _calls(spark, d):
 @query("m05_api_inventory", "SELECT 'P' || l_suppkey % 10 || '_X' AS package_name, 'F' || l_linenumber AS function_name, count(DISTINCT l_orderkey) AS statements, count(*) AS calls, l_linenumber AS args, 'M' || l_suppkey % 10 AS module FROM lineitem GROUP BY 1, 2, 5, 6")
 def m05(spark, d):
     modules = table(spark, d, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey") % 10, F.lit("_"), "s_suppkey").alias("name"), F.concat(F.lit("M"), F.col("s_suppkey") % 10).alias("module"))
-    inv = M.api_inventory(_calls(spark, d), view(spark, d, "corpus"), view(spark, d, "f_tables"), modules)
+    inv = M.api_inventory(_calls(spark, d), view(spark, d, "corpus"), view(spark, d, "f_tables"), modules, min_module=1)
     return inv.select("package_name", "function_name", "statements", "calls", F.col("arg_counts")[0].alias("args"), "module")
 
 
