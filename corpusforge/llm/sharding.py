@@ -1,12 +1,12 @@
 """Sharding by vector bin packing (operator 8): bytes, tokens and rows are balanced jointly.
 
-Equal texts are a group and stay together, unless the group is larger than a 1/64 of a shard's share: then
-it is dealt in pieces of about that size. Each group goes to the shard where the dot product of its vector
-(bytes, tokens, rows) with the shard's residual capacity is highest, largest groups first.
+Equal texts are a group and stay together, unless the group is larger than about half a shard's share of a
+lane (below): then it is dealt in pieces of that size. Each group goes to the shard where the dot product of its vector
+(bytes, tokens, rows) with the shard's residual capacity is highest, largest groups first; the last and
+smallest groups go by bytes alone, so that bytes are as near equal as they can be.
 
 How it runs on Spark: texts are read once, for sizes and hashes. Groups are summed before anything is
-placed; at most 64 x shards groups can exceed the piece size, so only they are broadcast. Groups are dealt
-by hash to lanes of about `lane_groups`; each lane fills its own equal share of every shard, so the sums are
+placed, so copies cost one row a group and piece. Groups are dealt by hash to lanes of about `lane_groups`; each lane fills its own equal share of every shard, so the sums are
 balanced as well. Slots are counts of (shard, bucket) before a bucket plus the place in the bucket.
 
 Nulls: a null text has no bytes and the crc of the empty text; null and empty texts are two groups. Rows
@@ -22,21 +22,25 @@ from pyspark.sql import functions as F
 
 from .durable import saved
 
-LIMIT_SHARE = 64
 
+def place(vectors: np.ndarray, shards: int, tail: float = 0.25) -> np.ndarray:
+    """Shard of each row of `vectors` (bytes, tokens, rows), largest bytes first; ties go to the lower shard.
 
-def place(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each row of `vectors` (bytes, tokens, rows), largest bytes first; ties go to the lower shard."""
+    The last rows, up to a share `tail` of the bytes, are placed by bytes alone: the law that must hold.
+    """
     scaled = vectors / np.maximum(1, vectors.sum(axis=0))
     left = np.full((shards, scaled.shape[1]), 1 / shards).tolist()
     out = np.zeros(len(vectors), np.int32)
+    laid = 0.0
     for i in np.argsort(-vectors[:, 0], kind="stable").tolist():
         x, y, z = scaled[i].tolist()
-        best = max(range(shards), key=lambda s: (x * left[s][0] + y * left[s][1] + z * left[s][2], -s))
+        by_law = laid > 1 - tail
+        best = max(range(shards), key=lambda s: (left[s][0] if by_law else x * left[s][0] + y * left[s][1] + z * left[s][2], -s))
         room = left[best]
         room[0] -= x
         room[1] -= y
         room[2] -= z
+        laid += x
         out[i] = best
     return out
 
@@ -57,16 +61,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     rows = saved(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     group = ["group_hash", "text_crc32", "size"]
-    limit = max(1, total[0] // (shards * LIMIT_SHARE))
-    row_limit = max(1, total[1] // (shards * LIMIT_SHARE))
+    lanes = max(1, -(-total[1] // lane_groups))
+    limit = max(1, total[0] // (shards * 2 * (lanes + 1)))
+    row_limit = max(1, total[1] // (shards * 2 * (lanes + 1)))
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
     pieces = F.greatest(F.ceil(F.col("n") * F.col("size") / limit), F.ceil(F.col("n") / row_limit))
     split = F.least(pieces, F.col("n")).cast("long")
     hot = counts.where((split > 1) & ((F.col("n") * F.col("size") > limit) | (F.col("n") > row_limit))).select(*group, split.alias("pieces"))
-    rows = rows.join(F.broadcast(hot), group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
+    rows = rows.join(hot, group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
     key = [*group, "piece"]
     sums = rows.groupBy(key).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
-    lanes = max(1, -(-total[1] // lane_groups))
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in key])
