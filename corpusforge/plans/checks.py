@@ -184,7 +184,7 @@ def p27(spark, d):
     return out.select("request", "exists", F.array_join("functions", ",").alias("functions"), F.col("near")[0].alias("near"), "note")
 
 
-@query("q01_compare_counts", "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS built, (SELECT count(*) FROM nation) AS previous, 25 AS expected, 'same' AS state UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), NULL, 'changed'")
+@query("q01_compare_counts", "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS built, (SELECT count(*) FROM nation) AS previous, CAST(25 AS BIGINT) AS expected, 'same' AS state UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderstatus = 'F'), NULL, 'changed'")
 def q01(spark, d):
     n, o = table(spark, d, "nation"), table(spark, d, "orders")
     return Q.compare_counts({"nation": n, "orders": o}, {"nation": n, "orders": o.where("o_orderstatus = 'F'")}, {"nation": 25})

@@ -38,7 +38,7 @@ def w05(spark, d):
     return W.surrogate_id(table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("w06_ordinal_in", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ordinal FROM conversations")
+@query("w06_ordinal_in", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS ordinal FROM conversations")
 def w06(spark, d):
     return W.ordinal_in(table(spark, d, "conversations"), ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "ordinal")
 
@@ -75,7 +75,7 @@ def u02(spark, d):
     return W.universe({"customers": c, "orders": table(spark, d, "orders").select(F.col("o_custkey").alias("k"))}, ["k"])
 
 
-@query("u03_diff_two_way", "SELECT n_name, 'a' AS side, 1 AS n FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_name, 'b', 1 FROM nation WHERE n_regionkey = 1")
+@query("u03_diff_two_way", "SELECT n_name, 'a' AS side, CAST(1 AS BIGINT) AS n FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_name, 'b', 1 FROM nation WHERE n_regionkey = 1")
 def u03(spark, d):
     n = table(spark, d, "nation")
     return W.diff_two_way(n.where("n_regionkey <> 1"), n.where("n_regionkey <> 0"), ["n_name"])
@@ -215,7 +215,7 @@ def a18(spark, d):
     return A.usage_cost(usage, prices, 1000, 4)
 
 
-@query("a19_text_stats", "SELECT lang, round(avg(length(text)), 4) AS mean_len, median(length(text)) AS median_len, min(length(text)) AS min_len, max(length(text)) AS max_len, round(count(*) FILTER (trim(text) <> '') / count(*), 4) AS filled FROM documents GROUP BY 1")
+@query("a19_text_stats", "SELECT lang, round(avg(length(text)), 4) AS mean_len, median(length(text)) AS median_len, CAST(min(length(text)) AS INTEGER) AS min_len, CAST(max(length(text)) AS INTEGER) AS max_len, round(count(*) FILTER (trim(text) <> '') / count(*), 4) AS filled FROM documents GROUP BY 1")
 def a19(spark, d):
     return A.text_stats(table(spark, d, "documents"), ["lang"], "text")
 
@@ -299,7 +299,7 @@ def j08(spark, d):
     return J.top1_join(docs.select("source").distinct(), docs.select("source", "n_chars", "doc_id"), "source", ["n_chars", "doc_id"]).select("source", "doc_id", "n_chars")
 
 
-@query("j09_explode_ordered", "SELECT vec_id, i - 1 AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)")
+@query("j09_explode_ordered", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)")
 def j09(spark, d):
     return J.explode_ordered(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", "pos", F.col("embedding").cast("double").alias("v"))
 
@@ -326,7 +326,7 @@ def j13(spark, d):
     return J.both_directions(view(spark, d, "f_joins")).select("sql_hash", "from_t", "to_t")
 
 
-@query("j14_with_config", "SELECT r_regionkey, r_name, 0.2 AS floor FROM region")
+@query("j14_with_config", "SELECT r_regionkey, r_name, CAST(0.2 AS DOUBLE) AS floor FROM region")
 def j14(spark, d):
     return J.with_config(table(spark, d, "region"), spark.createDataFrame([(0.2,)], "floor double")).select("r_regionkey", "r_name", "floor")
 
