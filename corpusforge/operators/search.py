@@ -76,17 +76,21 @@ def _grams(c: Column, size: int = 2) -> Column:
 
 
 def _near(requests: DataFrame, names: DataFrame, bound: Column) -> DataFrame:
-    """Pairs (request, name) within the edit bound or by containment, from shared bigrams; q and name are their keys.
+    """Pairs (request, name) within the edit bound or by containment; q and key are what is compared.
 
-    An edit changes at most two bigrams, so with few edits a pair shares one, unless the bound reaches the
-    length: very short requests are paired by length instead.
+    Both share a bigram, unless one is a single letter (then letters are joined) or the bound reaches so far
+    that all bigrams may differ: so short a request is paired with the names of every length within the bound.
     """
-    r = requests.withColumn("bound", bound).withColumn("gram", F.explode(_grams(F.col("q"))))
-    d = names.withColumn("gram", F.explode(_grams(F.col("key"))))
-    by_gram = r.join(d, "gram").select("request", "q", "bound", "name", "key")
-    tiny = requests.withColumn("bound", bound).where(F.length("q") <= 2 * F.col("bound") + 1)
-    by_size = tiny.join(names, F.length("key") <= F.length("q") + F.col("bound")).select("request", "q", "bound", "name", "key")
-    return by_gram.unionByName(by_size).distinct()
+    r = requests.withColumn("bound", bound)
+    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
+    cols = ["request", "q", "bound", "name", "key"]
+    by_gram = r.withColumn("gram", F.explode(_grams(F.col("q")))).join(names.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").select(*cols)
+    letter_in_name = r.where(F.length("q") == 1).withColumn("gram", F.col("q")).join(names.withColumn("gram", letters(F.col("key"))), "gram").select(*cols)
+    letter_in_request = r.withColumn("gram", letters(F.col("q"))).join(names.where(F.length("key") == 1).withColumn("gram", F.col("key")), "gram").select(*cols)
+    lengths = F.explode(F.sequence(F.greatest(F.length("q") - F.col("bound"), F.lit(1)), F.length("q") + F.col("bound")))
+    short = r.where(F.length("q") <= 2 * F.col("bound") + 1).withColumn("size", lengths)
+    by_size = short.join(names.withColumn("size", F.length("key")), "size").select(*cols)
+    return by_gram.unionByName(letter_in_name).unionByName(letter_in_request).unionByName(by_size).distinct()
 
 
 def suggest(requests: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:

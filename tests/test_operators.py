@@ -137,10 +137,34 @@ def test_cycles_end_closure_and_fail_depth(spark):
         G.dependency_depth(edges.union(spark.createDataFrame([("x", "y"), ("b", "y")], "src string, dst string")), 8)
 
 
-def test_suggestions_of_short_and_blank_requests(spark):
-    names = spark.createDataFrame([("AP",), ("AR",), ("GL_CODES",)], "name string")
-    got = K.suggest(spark.createDataFrame([("ap",), ("",), ("AX",)], "request string"), names).collect()
-    assert sorted((r.request, r.name, r.score) for r in got) == [("AX", "AP", 6.0), ("AX", "AR", 6.0), ("ap", "AR", 6.0)]
+def plain_suggestions(request, names, k):
+    q = request.strip().upper()
+    scored = []
+    for n in names:
+        a, prev = q, list(range(len(n) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(n, 1):
+                row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+            prev = row
+        if not q or n == q:
+            continue
+        if q in n or n in q:
+            scored.append((abs(len(n) - len(q)) * 0.5, n))
+        elif prev[-1] <= max(2, len(q) // 3):
+            scored.append((prev[-1] + 5.0, n))
+    return [(n, s) for s, n in sorted(scored)[:k]]
+
+
+def test_suggestions_equal_plain_ones(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("ABCD_"), rng.integers(1, 9)))
+    names, requests = sorted({word() for _ in range(120)}), sorted({word().lower() for _ in range(40)} | {"", "a", "zz"})
+    out = K.suggest(spark.createDataFrame([(r,) for r in requests], "request string"), spark.createDataFrame([(n,) for n in names], "name string"), 6)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.request, []).append((r.name, r.score))
+    assert got == {r: w for r in requests if (w := plain_suggestions(r, names, 6))}
 
 
 def test_empty_tables_give_empty_results(spark):
