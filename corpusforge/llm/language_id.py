@@ -75,10 +75,11 @@ def learn_profiles(labelled: DataFrame, per_lang: int = 3000, top: int = 300) ->
     Nothing larger than per_lang ids and the count vectors of one language a task reaches the driver.
     """
     known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    # A share of each language by hash, somewhat above per_lang rows, goes into the exact pick.
+    # A share of each language by hash, somewhat above per_lang rows, goes into the exact pick. Counts are
+    # a row a language, like the profiles, so they are broadcast and the rest is left out before the shuffle.
     counts = known.groupBy(F.col("lang").alias("own")).agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.join(counts, F.col("lang") == F.col("own")).where(place * F.col("n") < 1.2 * per_lang + 100)
+    some = known.join(F.broadcast(counts), F.col("lang") == F.col("own")).where(place * F.col("n") < 1.2 * per_lang + 100)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select(F.col("doc_id").alias("chosen_id"))
     rows = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("chosen_id"), "left_semi").select("text", "lang")
