@@ -6,7 +6,7 @@ cut only where a sequence is full. Sources are queues. Each window grants every
 What is left of a grant, or overdrawn, is carried into the next window.
 
 How it runs on Spark: texts are tokenised once and kept on shared storage; documents are dealt by a hash
-of doc_id to lanes of about `lane_ids` ids, so a hot source is spread over all lanes; each lane is packed
+of doc_id and ids to lanes of about `lane_ids` ids, so a hot source (or a null doc_id) is spread over all lanes; each lane is packed
 by one task in a few MB. A lane places all its documents, so the deficit at its end is its grant less its
 ids by source: the deficits with which each lane begins are running sums of those small per-lane totals,
 and lanes carry deficits on without waiting for each other. Only a lane's last sequence is padded.
@@ -114,7 +114,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None
     """
     tokens = saved(token_rows(docs, path or default_path(), end_id))
     lanes = max(1, -(-(tokens.agg(F.sum("n")).first()[0] or 0) // lane_ids))
-    tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)))
+    tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(lanes)))
     targets = lane_targets(tokens, weights)
     schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     pieces = tokens.groupBy("lane").cogroup(targets.groupBy("for_lane")).applyInArrow(pack_lane(window, with_ids), schema)
