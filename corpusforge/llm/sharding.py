@@ -81,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     placed = sums.withColumn("lane", F.pmod(F.xxhash64(*key), F.lit(lanes))).groupBy("lane").applyInArrow(fill, "group_hash long, text_crc32 long, size long, piece long, shard int")
     placed = saved(rows.join(placed, key))
     buckets = max(1, -(-total[1] // bucket_rows))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group_hash", F.lit(5)), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "group_hash")
