@@ -5,8 +5,8 @@ order. A text gets the language whose profile is nearest by out-of-place distanc
 text's own most frequent n-grams, how far its rank is from the rank in the profile; `top` if not there.
 
 Learning counts n-grams over a bounded, documented sample: at most `per_lang` labelled rows a language,
-chosen by hash of doc_id. Letters beyond the `LETTERS` most frequent of that sample share one symbol.
-Profiles are a few thousand numbers a language; scoring is one pass without a shuffle.
+chosen by hash of doc_id. Every letter of every script is a symbol of its own, so n-grams have 64-bit codes and are
+counted sparsely. Profiles are `top` n-grams a language; scoring is one pass without a shuffle.
 
 Nulls: a null text, and one without a letter, is `und` with score 0. Rows without lang, or with a null
 doc_id, aren't learnt from. Without any labelled row every text is `und`. Ties go to the first
@@ -25,16 +25,28 @@ from pyspark.sql import functions as F
 from . import text as T
 from .tokens import LETTER, _classes
 
-LETTERS = 38
-BASE = LETTERS + 2  # a boundary (0), letters that share a symbol (1), the others
-SPACE_SIZE = BASE**3 + BASE**2 + BASE
-_CLASSES: list[np.ndarray] = []
+BASE = 1 << 18  # a boundary (0) and all letters of Unicode, fewer than 2**18
 
 
-def letter_classes() -> np.ndarray:
-    if not _CLASSES:
-        _CLASSES.append(_classes())
-    return _CLASSES[0]
+def letter_symbols() -> np.ndarray:
+    """Symbol of each code point: letters are numbered in order, all else is a boundary."""
+    letter = _classes() == LETTER
+    return np.where(letter, np.cumsum(letter), 0).astype(np.int32)
+
+
+class Ranks:
+    """Ranks of n-gram codes in the profiles: ranks[language, code], -1 where the profile lacks the code."""
+
+    def __init__(self, profiles: list[np.ndarray]):
+        self.codes = np.unique(np.concatenate([np.zeros(1, np.int64), *profiles]))
+        self.table = np.full((len(profiles), len(self.codes) + 1), -1, np.int32)
+        for own, codes in zip(self.table, profiles, strict=True):
+            own[np.searchsorted(self.codes, codes)] = np.arange(len(codes))
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        langs, codes = at
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return self.table[langs, np.where(self.codes[place] == codes, place, len(self.codes))]
 
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,20 +71,16 @@ def gram_codes(s: np.ndarray) -> np.ndarray:
     return np.concatenate([BASE**3 + BASE**2 + one, BASE**3 + two, three[s[1:-1] > 0]])
 
 
-def ranked(counts: np.ndarray, top: int) -> np.ndarray:
-    """Codes of the `top` largest counts, largest first, ties by code."""
-    codes = np.flatnonzero(counts)
-    order = counts[codes] * SPACE_SIZE + (SPACE_SIZE - 1 - codes)
-    if len(codes) > top:
-        some = np.argpartition(order, len(codes) - top)[len(codes) - top :]
-        codes, order = codes[some], order[some]
-    return codes[np.argsort(-order)]
+def ranked(codes: np.ndarray, top: int) -> np.ndarray:
+    """The `top` most frequent of the codes, most frequent first, ties by code."""
+    found, counts = np.unique(codes, return_counts=True)
+    return found[np.argsort(-counts, kind="stable")[:top]]
 
 
-def learn_profiles(labelled: DataFrame, per_lang: int = 3000, top: int = 300) -> tuple[np.ndarray, list[str], np.ndarray]:
+def learn_profiles(labelled: DataFrame, per_lang: int = 3000, top: int = 300) -> tuple[np.ndarray, list[str], Ranks]:
     """(symbol of each code point, languages, profile ranks[language, code]) from rows (doc_id, text, lang).
 
-    Nothing larger than per_lang ids and the count vectors of one language a task reaches the driver.
+    Nothing larger than per_lang ids and `top` codes a language reaches the driver.
     """
     known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     # A share of each language by hash, somewhat above per_lang rows, goes into the exact pick. Counts are
@@ -84,48 +92,37 @@ def learn_profiles(labelled: DataFrame, per_lang: int = 3000, top: int = 300) ->
     chosen = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).select(F.col("doc_id").alias("chosen_id"))
     rows = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("chosen_id"), "left_semi").select("text", "lang")
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for part in T.slices(batches, "text"):
-            cps = code_points(part.column("text").to_pylist())[0]
-            total += np.bincount(cps, minlength=0x110000)
-        found = np.flatnonzero(total * (letter_classes() == LETTER))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["cp", "n"])
-
-    frequent = rows.select("text").mapInArrow(letters, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cp").limit(LETTERS).collect()
-    table = np.where(letter_classes() == LETTER, 1, 0).astype(np.uint8)
-    table[[r.cp for r in frequent]] = np.arange(2, len(frequent) + 2)
+    table = letter_symbols()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
         for part in T.slices(batches, "text"):
             cps, at = code_points(part.column("text").to_pylist())
             s, keep = symbols(cps, table)
             at = np.concatenate([[0], np.cumsum(keep)])[at]
+            held: dict[str, list[np.ndarray]] = {}
             for i, lang in enumerate(part.column("lang").to_pylist()):
-                counts = np.bincount(gram_codes(s[at[i] : at[i + 1]]), minlength=SPACE_SIZE)
-                totals[lang] = totals[lang] + counts if lang in totals else counts
-        for lang, counts in totals.items():
-            codes = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts[codes])], ["lang", "code", "n"])
+                held.setdefault(lang, []).append(gram_codes(s[at[i] : at[i + 1]]))
+            for lang, own in held.items():
+                codes, counts = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "code", "n"])
 
     totals = rows.mapInArrow(grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     profile = totals.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < top).select("lang", "code", "rank").collect()
-    langs = sorted({r.lang for r in profile})
-    ranks = np.full((len(langs), SPACE_SIZE), -1, np.int16)
+    own: dict[str, list[tuple[int, int]]] = {}
     for r in profile:
-        ranks[langs.index(r.lang), r.code] = r.rank
-    return table, langs, ranks
+        own.setdefault(r.lang, []).append((r.rank, r.code))
+    langs = sorted(own)
+    return table, langs, Ranks([np.array([c for _, c in sorted(own[x])], np.int64) for x in langs])
 
 
-def distances(codes: np.ndarray, ranks: np.ndarray, top: int) -> np.ndarray:
+def distances(codes: np.ndarray, ranks: Ranks, top: int) -> np.ndarray:
     """Out-of-place distance of a text's ranked codes to each profile."""
     there = ranks[:, codes]
     return np.where(there < 0, top, np.abs(there - np.arange(len(codes)))).sum(axis=1)
 
 
-def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], top: int = 300) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], Ranks], top: int = 300) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs` (doc_id, text).
 
     score: 1 less the distance as a share of the largest possible one.
@@ -145,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], t
                     pred.append("und")
                     score.append(0.0)
                     continue
-                own = ranked(np.bincount(codes, minlength=SPACE_SIZE), top)
+                own = ranked(codes, top)
                 d = distances(own, ranks, top)
                 best = int(np.argmin(d))
                 pred.append(langs[best])

@@ -270,6 +270,19 @@ def test_languages_odd_rows(odd_docs, no_docs):
     assert language_id.identify(no_docs, model).count() == 0
 
 
+def test_languages_of_all_scripts(spark):
+    """Two languages a script that differ in letters alone, among many Latin rows."""
+    alphabets = {"en": "etaoin", "fr": "ésurlà", "el1": "αεικλμ", "el2": "νοπρστ", "ru1": "аеиодв", "ru2": "кнлрст", "ar1": "ابتثجح", "ar2": "دذرزسش", "ja": "あいうかきく", "ko": "가나다라마바", "zh1": "的一是不了人", "zh2": "我在有他这为", "xx": "𐐨𐐩𐐪𐐫𐐬𐐭"}
+    rng = np.random.default_rng(5)
+    latin = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñóíáú"
+    text = lambda letters, n=60: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+    rows = [(lang, text(letters)) for lang, letters in alphabets.items() for _ in range(8)] + [("de", text(latin, 1500)) for _ in range(8)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language_id.learn_profiles(docs.where("doc_id % 2 = 0"))
+    wrong = [r for r in language_id.identify(docs, model).join(docs, "doc_id").collect() if r.lang != r.lang_pred]
+    assert not wrong, sorted({(r.lang, r.lang_pred) for r in wrong})
+
+
 # -- training order --------------------------------------------------------------------------------------------------
 
 
