@@ -8,8 +8,9 @@ tree, and suffix positions sampled every `SAMPLE` symbols. All phrases are searc
 wavelet ranks; occurrences are located by walking to a sampled suffix; spans that touch or overlap merge.
 
 How it runs on Spark: one pass over the documents without a shuffle. Phrases are the only thing
-broadcast; items are taken in parts of at most `max_phrases` phrases, each a pass of its own, so that the
-broadcast stays bounded however large the benchmark is.
+broadcast; items are taken in parts of at most `max_phrases` phrases, each a pass of its own over the original
+texts, so that the broadcast stays bounded however large the benchmark is. With several parts, rows are saved with a
+number of their own, and a row's spans of all parts are merged by it before anything is cut.
 
 Nulls: a null text or item has no words. Repeated items count under each of their ids. An empty benchmark
 hits nothing; an empty table gives no rows.
@@ -18,6 +19,7 @@ hits nothing; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .durable import saved
 
 SAMPLE = 8
 
@@ -188,7 +191,12 @@ def item_parts(benchmark: DataFrame, window: int, max_phrases: int) -> Iterator[
 SPANS = "doc_id long, n_words long, word_spans array<struct<start:long,end:long>>, byte_spans array<struct<start:long,end:long>>, items array<string>"
 
 
+ROW = "_decontaminate_row"
+
+
 def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
+    """SPANS of every row, after its number where `docs` has one."""
+    numbered = [ROW] if ROW in docs.columns else []
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +205,10 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
         for part in T.slices(batches, "text"):
             by_words, by_bytes, items, n = spans_of(part.column("text"), p)
             as_structs = lambda rows: pa.array([[{"start": a, "end": b} for a, b in r] for r in rows], span)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), as_structs(by_words), as_structs(by_bytes), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "word_spans", "byte_spans", "items"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in numbered), part.column("doc_id"), pa.array(n, pa.int64()), as_structs(by_words), as_structs(by_bytes), pa.array(items, pa.list_(pa.string()))], [*numbered, "doc_id", "n_words", "word_spans", "byte_spans", "items"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(work, SPANS)
+    source = docs.select(*numbered, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(work, ", ".join([*(f"{c} long" for c in numbered), SPANS]))
 
 
 def spans_of(column: pa.Array, p: Phrases) -> tuple[list, list, list, np.ndarray]:
@@ -225,21 +233,32 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     benchmark: (item_id, text). Spans are half-open and sorted; items are ids as strings, sorted.
     """
-    parts = [_scan(docs, p) for p in item_parts(benchmark, window, max_phrases)] or [_scan(docs, Phrases([], window))]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    spans = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("word_spans", "byte_spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def join(name: str):
-        last = lambda acc: F.element_at(acc, -1)
-        grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], x["end"]).alias("end"))))
-        none = F.slice(F.col(name), 1, 0)
-        return F.aggregate(F.array_sort(name), none, lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
-
-    return spans.withColumns({c: join(c) for c in ("word_spans", "byte_spans")})
+    parts = item_parts(benchmark, window, max_phrases)
+    first, second = next(parts, None) or Phrases([], window), next(parts, None)
+    if second is None:
+        return _scan(docs, first)
+    return _merged_scans(_numbered(docs), chain([first, second], parts)).drop(ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of each row's own; saved, as numbers hold for one run only."""
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _merged_scans(numbered: DataFrame, parts: Iterator[Phrases]) -> DataFrame:
+    """(ROW, SPANS) of every row over all parts: spans that touch or overlap in words are one, as within a part."""
+    both = None
+    for p in parts:
+        found = _scan(numbered, p).withColumn("both", F.arrays_zip("word_spans", "byte_spans"))
+        both = found if both is None else both.unionByName(found.where("size(both) > 0"))
+    spans = both.groupBy(ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("both"))).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda a, b, c: F.struct(a[c]["start"].alias("start"), F.greatest(a[c]["end"], b[c]["end"]).alias("end")).alias(c)
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(longer(last(acc), x, "word_spans"), longer(last(acc), x, "byte_spans"))))
+    meets = lambda acc, x: (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["word_spans"]["end"] >= x["word_spans"]["start"])
+    joined = F.aggregate("both", F.slice("both", 1, 0), lambda acc, x: F.when(meets(acc, x), grown(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    spans = spans.withColumn("both", joined)
+    return spans.select(ROW, "doc_id", "n_words", F.col("both.word_spans").alias("word_spans"), F.col("both.byte_spans").alias("byte_spans"), "items")
 
 
 def removed(text: str | None, spans: list) -> str | None:
@@ -257,20 +276,32 @@ def removed(text: str | None, spans: list) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_phrases: int = 500_000) -> DataFrame:
     """`docs` with every occurrence cut out of `text` (n_chars, if there, follows); all else stays as it is."""
-    out = docs
-    for p in item_parts(benchmark, window, max_phrases):
-        shared = docs.sparkSession.sparkContext.broadcast(p)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for part in T.slices(batches, "text"):
-                _, spans, _, _ = spans_of(part.column("text"), shared.value)
-                if any(spans):
-                    texts = [removed(t, s) if s else t for t, s in zip(part.column("text").to_pylist(), spans, strict=True)]
-                    part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.schema.field("text").type))
-                    if "n_chars" in part.schema.names:
-                        chars = [len(t) if s else n for t, s, n in zip(texts, spans, part.column("n_chars").to_pylist(), strict=True)]
-                        part = part.set_column(part.schema.get_field_index("n_chars"), "n_chars", pa.array(chars, part.schema.field("n_chars").type))
-                yield part
-
-        out = out.mapInArrow(work, out.schema)
-    return out
+    parts = item_parts(benchmark, window, max_phrases)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return docs
+    names = docs.columns
+    if second is None:
+        shared, source = docs.sparkSession.sparkContext.broadcast(first), docs
+    else:
+        numbered = _numbered(docs)
+        hit = _merged_scans(numbered.select(ROW, F.lit(None).alias("doc_id"), "text"), chain([first, second], parts)).where("size(byte_spans) > 0")
+        hit = hit.select(F.col(ROW).alias("_hit"), F.col("byte_spans").alias("_spans"))
+        shared, source = None, numbered.join(hit, F.col(ROW) == F.col("_hit"), "left").select(*names, "_spans")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches, "text"):
+            if shared is None:
+                spans = [[(s["start"], s["end"]) for s in row or []] for row in part.column("_spans").to_pylist()]
+                part = part.select(names)
+            else:
+                spans = spans_of(part.column("text"), shared.value)[1]
+            if any(spans):
+                texts = [removed(t, s) if s else t for t, s in zip(part.column("text").to_pylist(), spans, strict=True)]
+                part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, part.schema.field("text").type))
+                if "n_chars" in part.schema.names:
+                    chars = [len(t) if s else n for t, s, n in zip(texts, spans, part.column("n_chars").to_pylist(), strict=True)]
+                    part = part.set_column(part.schema.get_field_index("n_chars"), "n_chars", pa.array(chars, part.schema.field("n_chars").type))
+            yield part
+
+    return source.mapInArrow(work, docs.schema)

@@ -217,6 +217,23 @@ def test_removed_spans_leave_the_rest(spark):
 # -- classifiers -----------------------------------------------------------------------------------------------------
 
 
+def test_several_parts_cut_like_one(spark):
+    """Items that overlap, touch or would join over a cut, in parts of their own; null and repeated ids."""
+    w = [f"w{i}" for i in range(60)]
+    text = "Begin, " + " ".join(w) + "! The end."
+    bench = [(1, " ".join(w[1:20])), (2, " ".join(w[11:28])), (3, " ".join(w[28:40])), (4, "begin " + " ".join(w[40:44])), (5, "Begin w0 w40 w41")]
+    rows = [(1, text, len(text)), (None, text, len(text)), (None, "clean words", 11), (None, None, None), (7, text, len(text)), (7, "other words " + " ".join(w[11:25]), 9), (7, "clean", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    lines = lambda df: sorted(map(str, df.collect()))
+    assert len(list(decontaminate.item_parts(items, 10, 15))) == 4
+    assert lines(decontaminate.contaminated_spans(docs, items, 10, 15)) == lines(decontaminate.contaminated_spans(docs, items))
+    out = decontaminate.remove_spans(docs, items, 10, 15)
+    assert out.schema == docs.schema and lines(out) == lines(decontaminate.remove_spans(docs, items))
+    rest = "Begin, w0 " + " ".join(w[40:]) + "! The end."
+    assert sorted(r.text or "" for r in out.collect()) == sorted([rest] * 3 + ["clean words", "", "other words", "clean"])
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op4_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
