@@ -7,7 +7,6 @@ folder and read again as the next one's docs. All but the last keep the columns
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusforge.llm import decontaminate, durable, jaccard_join, language_id, line_dedup, packing
 
@@ -15,9 +14,7 @@ from corpusforge.llm import decontaminate, durable, jaccard_join, language_id, l
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found (no text, or not a letter in it)."""
     model = language_id.learn_profiles(docs.select("doc_id", "text", "lang"))
-    found = language_id.identify(docs, model)
-    rejected = found.where("lang_pred = 'und'").select(F.col("doc_id").alias("rejected_id"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("rejected_id")), "left_anti")
+    return language_id.with_language(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +24,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of similar ones (five words, 0.8)."""
-    found = jaccard_join.similar_documents(docs, size=5, percent=80)
-    others = found.where("component_id <> doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("other_id"), "left_anti")
+    return jaccard_join.keep_first(docs, size=5, percent=80)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,27 @@ def distances(codes: np.ndarray, ranks: Ranks, top: int) -> np.ndarray:
     return np.where(there < 0, top, np.abs(there - np.arange(len(codes)))).sum(axis=1)
 
 
+def predicted(column: pa.Array, model: tuple[np.ndarray, list[str], Ranks], top: int) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    table, langs, ranks = model
+    cps, at = code_points(column.to_pylist())
+    s, keep = symbols(cps, table)
+    at = np.concatenate([[0], np.cumsum(keep)])[at]
+    pred, score = [], []
+    for i in range(len(column)):
+        codes = gram_codes(s[at[i] : at[i + 1]])
+        if not len(codes) or not langs:
+            pred.append("und")
+            score.append(0.0)
+            continue
+        own = ranked(codes, top)
+        d = distances(own, ranks, top)
+        best = int(np.argmin(d))
+        pred.append(langs[best])
+        score.append(1.0 - float(d[best]) / (top * len(own)))
+    return pred, score
+
+
 def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], Ranks], top: int = 300) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of `docs` (doc_id, text).
 
@@ -130,24 +151,21 @@ def identify(docs: DataFrame, model: tuple[np.ndarray, list[str], Ranks], top: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, langs, ranks = shared.value
         for part in T.slices(batches, "text"):
-            cps, at = code_points(part.column("text").to_pylist())
-            s, keep = symbols(cps, table)
-            at = np.concatenate([[0], np.cumsum(keep)])[at]
-            pred, score = [], []
-            for i in range(part.num_rows):
-                codes = gram_codes(s[at[i] : at[i + 1]])
-                if not len(codes) or not langs:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                own = ranked(codes, top)
-                d = distances(own, ranks, top)
-                best = int(np.argmin(d))
-                pred.append(langs[best])
-                score.append(1.0 - float(d[best]) / (top * len(own)))
+            pred, score = predicted(part.column("text"), shared.value, top)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return source.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: tuple[np.ndarray, list[str], Ranks], top: int = 300) -> DataFrame:
+    """The rows of `docs` in which a language is found; each is judged by its own text, whatever its doc_id."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches, "text"):
+            pred, _ = predicted(part.column("text"), shared.value, top)
+            yield part.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

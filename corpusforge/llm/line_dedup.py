@@ -20,7 +20,8 @@ How it runs on Spark, in SQL functions alone:
 4. Variants are grouped by key (partial sums first, so a hot key costs a row a task); where an earlier
    line is found, the edit distance of the two lines is verified on their words.
 
-Nulls: a null text has no lines. Rows with the same doc_id count as one document and are decided alike.
+Nulls: a null text has no lines. Rows with the same doc_id count as one document and are decided alike;
+each row with a null doc_id is a document of its own, after those with ids.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import saved
+from .row_ids import Numbered
 
 
 def words_of(line: Column) -> Column:
@@ -87,6 +89,14 @@ def own_hash(words: Column) -> Column:
 def line_decisions(docs: DataFrame, min_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lines, dropped): every line's (doc_id, line_no), and the lines to drop as (doc_id, line_no, of_doc, of_line)
     with the earlier line that each repeats."""
+    numbered = Numbered(docs.select("doc_id", "text"))
+    lines, dropped = _decisions(numbered.docs, min_words)
+    given = lambda c: numbered.given(F.col(c)).cast("long").alias(c)
+    return lines.select(given("doc_id"), "line_no"), dropped.select(given("doc_id"), "line_no", given("of_doc"), "of_line")
+
+
+def _decisions(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """line_decisions of rows without a null doc_id."""
     lines = saved(keyed_lines(docs))
     identity = ["h1", "h2"]
     first = lines.groupBy(identity).agg(F.min(F.struct("doc_id", "line_no")).alias("place"), F.max("n").alias("n"), F.count("*").alias("times"), F.max("halves").alias("halves"))
@@ -123,7 +133,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
     Documents of which every line was dropped go; those without a text, or that lost no line, stay as they are.
     """
-    _, dropped = line_decisions(docs, min_words)
+    numbered = Numbered(docs)
+    docs = numbered.docs
+    _, dropped = _decisions(docs, min_words)
     gone = dropped.select("doc_id", "line_no").groupBy(F.col("doc_id").alias("gone_doc")).agg(F.collect_set("line_no").alias("gone"))
     columns = docs.columns
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_doc"), "left")
@@ -134,13 +146,15 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         joined = joined.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return joined.select(*columns)
+    return joined.select(*columns).withColumn("doc_id", numbered.given(F.col("doc_id")))
 
 
 def line_counts(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, dropped) for every doc_id with a line: dropped line numbers, ascending, comma-joined."""
-    lines, dropped = line_decisions(docs, min_words)
+    """(doc_id, n_lines, n_dropped, dropped) for every doc_id, and every row without one, with a line: dropped line
+    numbers, ascending, comma-joined."""
+    numbered = Numbered(docs.select("doc_id", "text"))
+    lines, dropped = _decisions(numbered.docs, min_words)
     counts = lines.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"))
     gone = dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     gone = gone.select("doc_id", F.size("gone").cast("long").alias("n_dropped"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("dropped"))
-    return counts.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))
+    return counts.join(gone, "doc_id", "left").select(numbered.given(F.col("doc_id")).cast("long").alias("doc_id"), "n_lines", F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))

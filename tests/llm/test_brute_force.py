@@ -143,6 +143,27 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert jaccard_join.similar_documents(no_docs).count() == 0
 
 
+def test_null_ids_among_copies_and_lines(spark):
+    """Rows without an id stand for no other, but are found as copies, near copies and repeated lines."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a = [f"a{i}" for i in range(60)]
+    near = " ".join([*a[:-1], "x"])
+    a, b, c = " ".join(a), "b c d e f g h", "only words without an id here"
+    rows = [(None, a), (3, a), (5, near), (None, near), (8, b), (None, b), (None, c), (None, c), (None, None), (None, ""), (9, "a text of nine")]
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in rows], "doc_id int, text string, lang string, n_chars int").repartition(3)
+    got = sorted(((r.doc_id or 0, r.component_id or 0, r.class_id or 0) for r in jaccard_join.similar_documents(docs, 5, 80).collect()))
+    assert got == sorted([(0, 3, 3), (3, 3, 3), (5, 3, 5), (0, 3, 5), (8, 8, 8), (0, 8, 8), *[(0, 0, 0)] * 4, (9, 9, 9)])
+    kept = pipeline.near_duplicates(spark, docs, "")
+    lines = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()), key=str)
+    assert kept.schema == docs.schema and lines(kept) == sorted([(0, c), (0, None), (0, ""), (3, a), (8, b), (9, "a text of nine")], key=str)
+
+    out = line_dedup.dedup_lines(docs)
+    assert out.schema == docs.schema and lines(out) == lines(kept)
+    counts = sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in line_dedup.line_counts(docs).collect())
+    assert counts == sorted([(0, 1, 1), (3, 1, 0), (5, 1, 1), (0, 1, 1), (8, 1, 0), (0, 1, 1), (0, 1, 0), (0, 1, 1), (0, 1, 0), (9, 1, 0)])
+    assert lines(pipeline.language(spark, docs, "")) == sorted([(i or 0, t) for i, t in rows if t], key=str)
+
+
 def test_components_by_star_rounds(spark, monkeypatch):
     monkeypatch.setattr(components, "HELD_EDGES", 20)
     rng = np.random.default_rng(3)
