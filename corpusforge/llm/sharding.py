@@ -1,12 +1,13 @@
 """Sharding by vector bin packing (operator 8): bytes, tokens and rows are balanced jointly.
 
-Equal texts are a group and stay together, unless the group is larger than about half a shard's share of a
-lane (below): then it is dealt in pieces of that size. Each group goes to the shard where the dot product of its vector
+Equal texts are a group and stay together, unless the group fits whole in no shard's share of bytes and rows: then it
+is dealt in pieces of about half a shard's share of a lane (below). Each group goes to the shard where the dot product of its vector
 (bytes, tokens, rows) with the shard's residual capacity is highest, largest groups first; the last and
 smallest groups go by bytes alone, so that bytes are as near equal as they can be.
 
 How it runs on Spark: texts are read once, for sizes and hashes. Groups are summed before anything is
-placed, so copies cost one row a group and piece. Groups are dealt by hash to lanes of about `lane_groups`; each lane fills its own equal share of every shard, so the sums are
+placed, so copies cost one row a group and piece. Groups above half a shard's share of a lane (at most
+4 x shards x (lanes + 1) of them) are placed whole in a first pass over all shards. The others are dealt by hash to lanes of about `lane_groups`; each lane fills its own share of what the first pass left of every shard, so the sums are
 balanced as well. Slots are counts of (shard, bucket) before a bucket plus the place in the bucket.
 
 Nulls: a null text has no bytes and the crc of the empty text; null and empty texts are two groups. Rows
@@ -23,13 +24,26 @@ from pyspark.sql import functions as F
 from .durable import saved
 
 
-def place(vectors: np.ndarray, shards: int, tail: float = 0.25) -> np.ndarray:
+def place_whole(vectors: np.ndarray, totals: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each row of `vectors` (bytes, tokens, rows) with room for its bytes and rows, -1 where there is none."""
+    scaled = vectors / np.maximum(1, totals)
+    left = np.full((shards, scaled.shape[1]), 1 / shards)
+    out = np.full(len(vectors), -1, np.int32)
+    for i in np.argsort(-vectors[:, 0], kind="stable").tolist():
+        fits = np.flatnonzero((left[:, [0, 2]] >= scaled[i, [0, 2]] - 1e-12).all(axis=1))
+        if len(fits):
+            out[i] = fits[np.argmax(left[fits] @ scaled[i])]
+            left[out[i]] -= scaled[i]
+    return out
+
+
+def place(vectors: np.ndarray, shards: int, tail: float = 0.25, room: np.ndarray | None = None) -> np.ndarray:
     """Shard of each row of `vectors` (bytes, tokens, rows), largest bytes first; ties go to the lower shard.
 
-    The last rows, up to a share `tail` of the bytes, are placed by bytes alone: the law that must hold.
+    room: each shard's share of each dimension, equal if not given. The last rows, up to a share `tail` of the bytes, are placed by bytes alone: the law that must hold.
     """
     scaled = vectors / np.maximum(1, vectors.sum(axis=0))
-    left = np.full((shards, scaled.shape[1]), 1 / shards).tolist()
+    left = (np.full((shards, scaled.shape[1]), 1 / shards) if room is None else room).tolist()
     out = np.zeros(len(vectors), np.int32)
     laid = 0.0
     for i in np.argsort(-vectors[:, 0], kind="stable").tolist():
@@ -59,7 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
         F.xxhash64(text, text.isNull()).alias("group_hash"),
     )
     rows = saved(rows)
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     group = ["group_hash", "text_crc32", "size"]
     lanes = max(1, -(-total[1] // lane_groups))
     limit = max(1, total[0] // (shards * 2 * (lanes + 1)))
@@ -67,19 +81,36 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
     pieces = F.greatest(F.ceil(F.col("n") * F.col("size") / limit), F.ceil(F.col("n") / row_limit))
     split = F.least(pieces, F.col("n")).cast("long")
-    hot = counts.where((split > 1) & ((F.col("n") * F.col("size") > limit) | (F.col("n") > row_limit))).select(*group, split.alias("pieces"))
-    rows = rows.join(hot, group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
+    large = counts.where((split > 1) & ((F.col("n") * F.col("size") > limit) | (F.col("n") > row_limit))).select(*group, "n", "tokens", split.alias("pieces"))
+
+    def vectors(table: pa.Table) -> np.ndarray:
+        n, size, tokens = (table.column(c).to_numpy().astype(float) for c in ("n", "size", "tokens"))
+        return np.stack([n * size, n * tokens, n], axis=1)
+
+    def fill_whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in group])
+        shard = place_whole(vectors(table), np.array([total[0], total[2], total[1]], float), shards)
+        return table.append_column("whole", pa.array(shard))
+
+    large = saved(large.groupBy().applyInArrow(fill_whole, "group_hash long, text_crc32 long, size long, n long, tokens long, pieces long, whole int"))
+    full = np.zeros((shards, 3))
+    for r in large.where("whole >= 0").groupBy("whole").agg(F.sum(F.expr("n * size")), F.sum(F.expr("n * tokens")), F.sum("n")).collect():
+        full[r[0]] = r[1:]
+    left = np.array([total[0], total[2], total[1]], float) / shards - full
+    room = left / np.maximum(1, left.sum(axis=0))
+    hot = large.select(*group, F.when(F.col("whole") < 0, F.col("pieces")).alias("pieces"), F.when(F.col("whole") >= 0, F.col("whole")).alias("whole"))
+    rows = rows.join(F.broadcast(hot), group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
     key = [*group, "piece"]
-    sums = rows.groupBy(key).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
+    sums = rows.where("whole is null").groupBy(key).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in key])
-        n, size, tokens = (table.column(c).to_numpy().astype(float) for c in ("n", "size", "tokens"))
-        shard = place(np.stack([n * size, n * tokens, n], axis=1), shards)
+        shard = place(vectors(table), shards, room=room)
         return table.select(key).append_column("shard", pa.array(shard))
 
     placed = sums.withColumn("lane", F.pmod(F.xxhash64(*key), F.lit(lanes))).groupBy("lane").applyInArrow(fill, "group_hash long, text_crc32 long, size long, piece long, shard int")
-    placed = saved(rows.join(placed, key))
+    placed = rows.where("whole is null").drop("whole").join(placed, key)
+    placed = saved(placed.unionByName(rows.where("whole is not null").withColumnRenamed("whole", "shard")))
     buckets = max(1, -(-total[1] // bucket_rows))
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group_hash", F.lit(5)), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

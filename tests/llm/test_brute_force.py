@@ -425,6 +425,22 @@ def test_a_hot_group_is_dealt_in_pieces(spark):
     assert max(sums.values()) < 1.02 * min(sums.values())
 
 
+def test_groups_below_a_shards_share_stay_whole(spark):
+    """Groups above a lane's bound have one shard each at any number of lanes; bytes stay balanced."""
+    n = 8000
+    text = F.when(F.col("id") < 600, "one hot text").when(F.col("id") < 1100, "another hot one").when(F.col("id") < 1150, F.repeat(F.lit("long "), 40)).otherwise(F.concat(F.lit("text number "), "id"))
+    docs = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    for lane_groups in (200, 20_000):
+        rows = sharding.shard_documents(docs, 8, lane_groups=lane_groups, bucket_rows=900).collect()
+        check_shards(rows, [r.text for r in docs.collect()])
+        shards, sums = defaultdict(set), Counter()
+        for r in rows:
+            shards[r.group_hash].add(r.shard)
+            sums[r.shard] += r.size
+        assert all(len(s) == 1 for s in shards.values())
+        assert max(sums.values()) < 1.05 * min(sums.values())
+
+
 def test_shards_odd_rows(odd_docs, no_docs):
     check_shards(sharding.shard_documents(odd_docs).collect(), [r.text for r in odd_docs.collect()])
     assert sharding.shard_documents(no_docs).count() == 0
