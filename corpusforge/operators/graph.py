@@ -7,6 +7,7 @@ stays short and a lost executor costs no earlier round. Only counts come back to
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,18 +16,17 @@ from ..sources.shared import checkpointed
 from .picks import top_n
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_depth: int = 60) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """G1: (seed, node, depth): what each seed (column `seed`) reaches over edges (src, dst); least depth, the seed at 0."""
     seen = checkpointed(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     frontier = seen
     links = edges.select("src", "dst").distinct()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):  # ends on cycles too: nodes seen before aren't in the frontier
         step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def rank_seeds(reached: DataFrame, meta: DataFrame, n: int) -> DataFrame:

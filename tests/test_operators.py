@@ -137,6 +137,12 @@ def test_cycles_end_closure_and_fail_depth(spark):
         G.dependency_depth(edges.union(spark.createDataFrame([("x", "y"), ("b", "y")], "src string, dst string")), 8)
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(63)], "src long, dst long").coalesce(1)
+    got = G.closure(spark.createDataFrame([(0,)], "seed long").coalesce(1), edges).collect()
+    assert sorted((r.node, r.depth) for r in got) == [(i, i) for i in range(64)]
+
+
 def plain_suggestions(request, names, k):
     q = request.strip().upper()
     scored = []
