@@ -1,24 +1,29 @@
 """Mixture-controlled packing by deficit round robin (operator 1).
 
-Every document's ids (its text's ids, then the end id) are laid into sequences of at most `window` ids,
-cut only where a sequence is full. Sources are queues. Each window grants every queue its quantum
-(target share x window); the queue furthest below its target goes next and pays for the ids it places.
-What is left of a grant, or overdrawn, is carried into the next window.
-
-How it runs on Spark: texts are tokenised once and kept on shared storage; documents are dealt by a hash
-of doc_id and ids to lanes of about `lane_ids` ids, so a hot source (or a null doc_id) is spread over all lanes; each lane is packed
-by one task in a few MB. A lane places all its documents, so the deficit at its end is its grant less its
-ids by source: the deficits with which each lane begins are running sums of those small per-lane totals,
-and lanes carry deficits on without waiting for each other. Only a lane's last sequence is padded.
+Every document's ids (its text's ids, then the end id) are laid into sequences of `window` ids. Sources are queues.
+Each window takes from every queue its quantum (target share x window): the whole ids at once, and one more
+in those windows in which the fractions left over add up to one. These deficits are carried on from window to window and
+from partition to partition, so every window holds each source's target share within one id. Documents are cut where
+a quantum ends. A queue that can't give its quantum any longer leaves; the others share it by their targets. What is
+left of such queues (less than a quantum each) is the tail, after all other windows; only its last window is padded.
+
+How it runs on Spark: texts are tokenised once and kept on shared storage. Only each source's sum of ids reaches the
+driver: from the sums follow the phases between which queues leave, and within a phase the ids that a queue
+has given before any window are a closed form (STEPS windows are a period). So a document's place follows from the ids
+before it in its queue: queues are dealt by hash into buckets of about `bucket_ids` ids, running sums of the
+buckets (one row each) give where each begins, and one task lays a bucket without waiting for others. A hot source
+has many buckets, as rows are dealt by their number; sequences are put together by no one, their pieces fit.
 
 Nulls: a null text counts as empty and gives the end id alone; a null source is a queue of its own; a
-repeated doc_id is packed once a row. An empty table gives no rows.
+repeated doc_id is packed once a row. Equal rows are packed each. An empty table gives no rows. A very long text
+is held whole by one task, at about ten bytes an id.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,58 @@ from .durable import saved
 from .tokens import binary, default_path, tokenizer, with_end
 
 
+#: Windows of a period: shares are rounded to one id in so many windows.
+STEPS = 4096
+#: The order in which windows of a period get the ids of fractions; odd, near the golden ratio of STEPS.
+STRIDE = 2531
+
+
+@dataclass
+class Quantum:
+    """What a queue gives in each window of a phase, numbered from 0: `base` ids, and one more in `more` of STEPS windows.
+
+    before, low: the sums of `base` and `more` of the queues before it; at: its ids placed before the phase.
+    """
+
+    before: int
+    base: int
+    low: int
+    more: int
+    at: int
+
+    def earlier(self, k: np.ndarray) -> np.ndarray:
+        """Ids of fractions that the queues before it give in windows k."""
+        return -(-(self.low - k * STRIDE % STEPS) // STEPS)
+
+    def chosen(self, k: np.ndarray) -> np.ndarray:
+        """Whether it gives one more id in windows k."""
+        return -(-(self.low + self.more - k * STRIDE % STEPS) // STEPS) - self.earlier(k)
+
+    def given(self, k: np.ndarray) -> np.ndarray:
+        """Its ids in the windows before each of k."""
+        if not hasattr(self, "sums"):
+            self.sums = np.concatenate([[0], np.cumsum(self.chosen(np.arange(STEPS)))])
+        return k * self.base + k // STEPS * self.more + self.sums[k % STEPS]
+
+    def lasting(self, ids: int) -> int:
+        """How many windows `ids` ids last."""
+        most = ids * STEPS // (self.base * STEPS + self.more) + STEPS
+        low, high = 0, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if int(self.given(np.array([middle]))[0]) <= ids else (low, middle - 1)
+        return low
+
+
+@dataclass
+class Phase:
+    """`windows` windows from `first` on, in which the same queues give their quanta."""
+
+    first: int
+    windows: int
+    queues: dict[int, Quantum]
+
+
 def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """(doc_id, source, n, width, ids) for every row: ids little-endian, `width` bytes each."""
 
@@ -44,78 +101,116 @@ def token_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, source string, n long, width int, ids binary")
 
 
-def lane_targets(tokens: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    """(for_lane, name, share, carry): each source's target share, and its deficit as the lane begins."""
-    by_source = tokens.groupBy("lane", "source").agg(F.sum("n").alias("n"))
-    totals = by_source.groupBy("source").agg(F.sum("n").alias("all_n"))
-    if weights:
-        given = tokens.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, weight double")
-        totals = totals.join(F.broadcast(given), "source", "left").withColumn("all_n", F.coalesce("weight", F.lit(0.0)))
-    whole = totals.agg(F.sum("all_n").alias("whole"))
-    shares = totals.crossJoin(F.broadcast(whole)).select(F.col("source").alias("s"), F.try_divide("all_n", "whole").alias("share"))
-    lanes = by_source.groupBy("lane").agg(F.sum("n").alias("lane_n"))
-    before = Window.orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    lanes = lanes.select("lane", F.coalesce(F.sum("lane_n").over(before), F.lit(0)).alias("granted"))
-    spent = Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_source.select("lane", "source", F.coalesce(F.sum("n").over(spent), F.lit(0)).alias("spent"))
-    share = F.coalesce("share", F.lit(0.0))
-    return rows.join(lanes, "lane").join(shares, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("lane").alias("for_lane"), F.col("source").alias("name"), share.alias("share"), (share * F.col("granted") - F.col("spent")).alias("carry"))
-
-
-def pack_lane(window: int, with_ids: bool):
-    """The packer of one lane: (documents, targets) to pieces."""
-
-    def work(docs: pa.Table, targets: pa.Table) -> pa.Table:
-        names = targets.column("name").to_pylist()
-        share = dict(zip(names, targets.column("share").to_pylist(), strict=True))
-        deficit = dict(zip(names, targets.column("carry").to_pylist(), strict=True))
-        doc_id, source, n, width, ids, lane = (docs.column(c).to_pylist() for c in ("doc_id", "source", "n", "width", "ids", "lane"))
-        queues: dict[str | None, list[int]] = {}
-        for i in sorted(range(len(n)), key=lambda i: (doc_id[i] is None, doc_id[i] or 0, n[i]), reverse=True):
-            queues.setdefault(source[i], []).append(i)
-        order = sorted(queues, key=lambda s: (s is None, s or ""))
-        out: list[tuple] = []
-        sequence, done, held = 0, 0, None  # held: the source whose document was cut at the last window's end
-        while queues:
-            for s in order:
-                deficit[s] += share[s] * window
-            offset = 0
-            while offset < window and queues:
-                s = max((x for x in order if x in queues), key=deficit.__getitem__) if not done else held
-                i = queues[s][-1]
-                take = min(n[i] - done, window - offset)
-                raw = np.frombuffer(ids[i], f"<u{width[i]}")[done : done + take].astype("<u4").tobytes()
-                out.append((doc_id[i], source[i], done, take, zlib.crc32(raw), n[i], lane[0] << 32 | sequence, offset, raw if with_ids else None))
-                deficit[s] -= take
-                offset += take
-                done += take
-                held = s
-                if done == n[i]:
-                    done = 0
-                    queues[s].pop()
-                    if not queues[s]:
-                        del queues[s]
-            sequence += 1
-        names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 6, pa.binary()]
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def schedule(totals: list[int], shares: list[float], window: int) -> tuple[list[Phase], dict[int, int], int]:
+    """Phases of the packing of queues of `totals` ids; each queue's place in the tail that follows; the tail's first window.
+
+    A phase ends when a queue can't give its quantum any longer: what it still has goes to the tail, and the others
+    share its quantum. Queues of share 0 wait until no other is left. Only whole windows are in phases.
+    """
+    left, live, phases, tail, first, tail_ids = list(totals), [s for s, n in enumerate(totals) if n > 0], [], {}, 0, 0
+    while live:
+        some = [s for s in live if shares[s] > 0] or live
+        weigh = shares if shares[some[0]] > 0 else left
+        whole = sum(weigh[s] for s in some)
+        exact = [weigh[s] / whole * window * STEPS for s in some]
+        units = [int(x) for x in exact]
+        for k in sorted(range(len(some)), key=lambda k: units[k] - exact[k])[: window * STEPS - sum(units)]:
+            units[k] += 1
+        queues, before, low = {}, 0, 0
+        for s, u in zip(some, units, strict=True):
+            queues[s] = Quantum(before, u // STEPS, low, u % STEPS, totals[s] - left[s])
+            before, low = before + u // STEPS, low + u % STEPS
+        lasts = {s: q.lasting(left[s]) for s, q in queues.items() if q.base or q.more}
+        windows = min(lasts.values())
+        if windows:
+            phases.append(Phase(first, windows, queues))
+            first += windows
+            for s, q in queues.items():
+                left[s] -= int(q.given(np.array([windows]))[0])
+        for s in [s for s in live if not left[s] or lasts.get(s) == windows]:
+            tail[s] = tail_ids
+            tail_ids += left[s]
+            live.remove(s)
+    return phases, tail, first
+
+
+def laid(plan: tuple[list[Phase], dict[int, int], int], queue: int, low: int, high: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a queue's ids low .. high - 1 lie: where each run in one window begins, its window, and its offset there."""
+    phases, tail, tail_first = plan
+    begins, windows, offsets = [], [], []
+    end = 0
+    for p in phases:
+        q = p.queues.get(queue)
+        if q is None:
+            continue
+        end = q.at + int(q.given(np.array([p.windows]))[0])
+        if end <= low or q.at >= high:
+            continue
+        period = STEPS * q.base + q.more  # the windows that can matter, by whole periods
+        k = np.arange(max(0, (low - q.at) // period * STEPS), min(p.windows, ((high - q.at) // period + 1) * STEPS))
+        begin, size = q.at + q.given(k), q.base + q.chosen(k)
+        here = (size > 0) & (begin < high) & (begin + size > low)
+        begins.append(begin[here])
+        windows.append(p.first + k[here])
+        offsets.append(q.before + q.earlier(k[here]))
+    if high > end:  # the tail: one queue's ids after the other's
+        place = np.unique(np.concatenate([[tail[queue]], np.arange((tail[queue] // window + 1) * window, tail[queue] + high - end, window)]))
+        begins.append(end + place - tail[queue])
+        windows.append(tail_first + place // window)
+        offsets.append(place % window)
+    return tuple(np.concatenate(x).astype(np.int64) for x in (begins, windows, offsets))
+
+
+def pack_bucket(plan, window: int, with_ids: bool):
+    """The packer of one bucket of a queue: (documents, its first id's number in the queue) to pieces."""
+
+    def work(docs: pa.Table, base: pa.Table) -> pa.Table:
+        docs = docs.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+        low, n = base.column("base")[0].as_py(), docs.column("n").to_numpy()
+        at = np.concatenate([[0], np.cumsum(n)])
+        ids = np.concatenate([np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(docs.column("ids").to_pylist(), docs.column("width").to_pylist(), strict=True)])
+        begin, seq, offset = laid(plan.value, docs.column("queue")[0].as_py(), low, low + int(at[-1]), window)
+        cuts = np.unique(np.concatenate([np.maximum(begin - low, 0), at[:-1]]))
+        run = np.searchsorted(begin - low, cuts, "right") - 1
+        doc = np.searchsorted(at, cuts, "right") - 1
+        ends = np.append(cuts[1:], at[-1])
+        raw = memoryview(ids.tobytes())
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+        columns = {"start": cuts - at[doc], "length": ends - cuts, "ids_crc32": crc, "doc_tokens": n[doc], "sequence_id": seq[run], "offset": offset[run] + cuts - (begin[run] - low)}
+        held = pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)] if with_ids else [None] * len(cuts), pa.binary())
+        own = [docs.column(c).take(pa.array(doc)).combine_chunks() for c in ("doc_id", "source")]
+        return pa.table([*own, *(pa.array(x, pa.int64()) for x in columns.values()), held], ["doc_id", "source", *columns, "ids"])
 
     return work
 
 
-def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None = None, weights: dict[str, float] | None = None, lane_ids: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None = None, weights: dict[str, float] | None = None, bucket_ids: int = 2_000_000, max_queues: int = 1000, with_ids: bool = False) -> DataFrame:
     """One row a piece of a document of `docs` (doc_id, text, source).
 
     weights: target proportions by source (scaled to sum 1; sources not named get 0 and are packed when
     nothing else is left); None: each source's own share of all ids. start: the document's ids before the
     piece; ids_crc32: of the piece's ids as little-endian uint32; doc_tokens: the document's ids with the
     end id; offset: the piece's place in its sequence, without gaps. with_ids adds the ids themselves.
+    max_queues: sources beyond the largest so many (and those named) share one queue; each has less than one
+    in max_queues of the ids, about two a window.
     """
     tokens = saved(token_rows(docs, path or default_path(), end_id))
-    lanes = max(1, -(-(tokens.agg(F.sum("n")).first()[0] or 0) // lane_ids))
-    tokens = tokens.withColumn("lane", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(lanes)))
-    targets = lane_targets(tokens, weights)
+    sums = tokens.groupBy("source").agg(F.sum("n").alias("ids"))
+    named = [(s, float(w)) for s, w in (weights or {}).items()]
+    rows = sums.orderBy(F.desc("ids"), "source").limit(max_queues).collect() + (sums.where(F.col("source").isin([s for s, _ in named])).collect() if named else [])
+    found = sorted({r.source: r.ids for r in rows}.items(), key=lambda x: (x[0] is None, x[0] or ""))
+    whole = tokens.agg(F.sum("n")).first()[0] or 0
+    totals = [n for _, n in found] + [whole - sum(n for _, n in found)]
+    given = dict(named)
+    shares = [given.get(s, 0.0) for s, _ in found] + [0.0] if weights else [float(n) for n in totals]
+    spark = tokens.sparkSession
+    plan = spark.sparkContext.broadcast(schedule(totals, shares, window))
+    table = spark.createDataFrame([(s, k, max(1, -(-n // bucket_ids))) for k, (s, n) in enumerate(found)], "of string, queue int, buckets long")
+    last = len(found), max(1, -(-totals[-1] // bucket_ids))
+    tokens = tokens.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    tokens = tokens.withColumn("queue", F.coalesce("queue", F.lit(last[0]))).withColumn("bucket", F.pmod(F.xxhash64("row"), F.coalesce("buckets", F.lit(last[1])))).drop("buckets")
+    before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = tokens.groupBy("queue", "bucket").agg(F.sum("n").alias("n")).select("queue", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).toDF("of_queue", "of_bucket", "base")
     schema = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    pieces = tokens.groupBy("lane").cogroup(targets.groupBy("for_lane")).applyInArrow(pack_lane(window, with_ids), schema)
+    pieces = tokens.groupBy("queue", "bucket").cogroup(bases.groupBy("of_queue", "of_bucket")).applyInArrow(pack_bucket(plan, window, with_ids), schema)
     return pieces if with_ids else pieces.drop("ids")

@@ -58,23 +58,60 @@ def check_pieces(rows, docs, window):
     return by_sequence
 
 
-def test_packing_lays_every_id_once(spark, sf):
+@pytest.mark.parametrize("bucket_ids, max_queues", [(20_000, 1000), (2_000_000, 7)])
+def test_packing_lays_every_id_once(spark, sf, bucket_ids, max_queues):
     docs = table(spark, sf, "documents")
-    rows = packing.pack(docs, lane_ids=50_000).collect()
+    rows = packing.pack(docs, bucket_ids=bucket_ids, max_queues=max_queues).collect()
     sequences = check_pieces(rows, {r.doc_id: [r.text] for r in docs.collect()}, 2048)
-    full = sum(sum(p.length for p in s) == 2048 for s in sequences.values())
-    assert len(sequences) - full <= max(1, -(-sum(r.length for r in rows) // 50_000))
+    assert sorted(sequences) == list(range(-(-sum(r.length for r in rows) // 2048)))
+    assert all(sum(p.length for p in s) == 2048 for k, s in sequences.items() if k < len(sequences) - 1)
 
 
-def test_packing_follows_the_mixture(spark, sf):
-    docs = table(spark, sf, "documents").where("source in ('src1', 'src2', 'src3')")
-    rows = packing.pack(docs, window=256, weights={"src1": 2, "src2": 1, "src3": 1}).collect()
+def mixtures(rows, window):
+    """Each full window's ids by source."""
     per = defaultdict(Counter)
     for r in rows:
         per[r.sequence_id][r.source] += r.length
-    whole = [per[k] for k in sorted(per)]
-    first = sum(whole[: len(whole) // 4], Counter())
-    assert abs(first["src1"] / first.total() - 0.5) < 0.1
+    return [per[k] for k in sorted(per) if per[k].total() == window]
+
+
+@pytest.mark.parametrize("weighted, bucket_ids", [(False, 2_000_000), (False, 30_000), (True, 30_000)])
+def test_packing_follows_the_mixture_in_every_window(spark, weighted, bucket_ids):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    weights = {f"src{k}": 1.0 + k % 3 for k in range(20)} if weighted else None
+    rows = packing.pack(docs, weights=weights, bucket_ids=bucket_ids).collect()
+    ids = Counter()
+    for r in rows:
+        ids[r.source] += r.length
+    shares = weights or ids
+    assert len(ids) == 20 and set(ids) == set(shares)
+    target = {s: n / sum(shares.values()) for s, n in shares.items()}
+    away = [sum(abs(w[s] / 2048 - target[s]) for s in target) / 2 for w in mixtures(rows, 2048)]
+    lasting = int(min(ids[s] / target[s] for s in target) / 2048) - 1  # until the first queue is empty
+    assert lasting > 40 and max(away[:lasting]) < 0.01
+    assert weighted or np.mean(away) < 0.02
+
+
+def test_quanta_add_up():
+    """Windows are full and offsets gapless in every phase, whatever the shares; all ids are laid once."""
+    rng = np.random.default_rng(2)
+    for shares in ([1.0], [3.0, 1e-9, 1.0], [0.0, 2.0, 5.0, 0.0], rng.random(60).tolist(), [1e6, *[1.0] * 40]):
+        totals = [int(x) for x in rng.integers(0, 20_000, len(shares))]
+        plan = packing.schedule(totals, shares, 256)
+        runs = []
+        for s, n in enumerate(totals):
+            edges = sorted({0, n, *rng.integers(0, n + 1, 3).tolist()})
+            for low, high in zip(edges, edges[1:], strict=False):
+                begin, seq, offset = packing.laid(plan, s, low, high, 256)
+                stop = np.append(begin[1:], high)
+                begin, offset = np.maximum(begin, low), offset + np.maximum(low - begin, 0)
+                assert begin[0] == low and (stop > begin).all()
+                runs += zip(seq.tolist(), offset.tolist(), (stop - begin).tolist(), strict=True)
+        at = 0
+        for seq, offset, n in sorted(runs):
+            assert seq * 256 + offset == at and offset + n <= 256
+            at += n
+        assert at == sum(totals)
 
 
 def test_packing_odd_rows(odd_docs, no_docs):
@@ -83,6 +120,7 @@ def test_packing_odd_rows(odd_docs, no_docs):
         docs[r.doc_id].append(r.text)
     check_pieces(packing.pack(odd_docs).collect(), docs, 2048)
     assert packing.pack(no_docs).count() == 0
+    assert packing.pack(odd_docs, weights={"a": 1.0, "nowhere": 2.0}).agg(F.sum("length")).first()[0] == sum(len(plain_ids(t)) for x in docs.values() for t in x)
 
 
 # -- near duplicates -------------------------------------------------------------------------------------------------
@@ -519,8 +557,39 @@ def test_lines_equal_plain(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     planted = [(50_000, "a b c d e f\na b c d e x\na b c d e\na b c d\nb a c d e f"), (50_001, "a x c d e f g\na a b b c c d\na b b c c d\na a b c c d\n\n  \nshort one\nshort two\nshort one")]
     docs = docs.union(spark.createDataFrame(planted, docs.schema))
-    _, dropped = line_dedup.line_decisions(docs)
-    assert {(r.doc_id, r.line_no) for r in dropped.collect()} == plain_lines([(r.doc_id, r.text) for r in docs.collect()])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = line_dedup.line_counts(docs).collect()
+    assert len(rows) == docs.where("text is not null").count()
+    assert {(r.doc_id, int(k)) for r in rows for k in r.dropped.split(",") if k} == plain_lines([(r.doc_id, r.text) for r in docs.collect()])
+    assert all((r.n_lines, r.n_dropped) == (t.count("\n") + 1, len(r.dropped.split(",")) if r.dropped else 0) for r in rows for t in [texts[r.doc_id]])
+
+
+def test_lines_of_random_words(spark):
+    """Short vocabularies make many near copies, at all lengths, edits at every place, and ids above 2**32."""
+    rng = np.random.default_rng(8)
+    lines = []
+    for n in (4, 5, 6, 9, 17, 40, 100):
+        for _ in range(6):
+            line = [f"w{x}" for x in rng.integers(0, 9, n)]
+            lines.append(line)
+            for _ in range(5):
+                other, at = list(lines[-1]), int(rng.integers(0, len(lines[-1])))
+                {0: lambda: other.pop(at), 1: lambda: other.insert(at, "w3"), 2: lambda: other.__setitem__(at, "x")}[int(rng.integers(0, 3))]()  # noqa: B023, PLC2801
+                lines.append(other)
+    order = rng.permutation(len(lines))
+    docs = [(int(i) * (1 << 36), "\n".join("  ".join(lines[k]).upper() for k in order[i::20])) for i in range(20)]
+    rows = line_dedup.line_counts(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id, int(k)) for r in rows for k in r.dropped.split(",") if k} == plain_lines(docs)
+
+
+def test_lines_of_repeated_rows(spark):
+    """Rows that share a doc_id are documents of their own: a repeated row loses its lines, others keep theirs."""
+    rows = [(7, "one line of five words\nanother"), (7, "one line of five words\nanother"), (7, "not seen before"), (8, "not seen before"), (9, "another\n \n")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id int, text string, n_chars int").repartition(3)
+    out = sorted((r.doc_id, r.text, r.n_chars) for r in line_dedup.dedup_lines(docs).collect())
+    assert out == [(7, "one line of five words", 22), (8, "not seen before", 15), (9, "another\n \n", 10)]
+    counts = sorted((r.doc_id, r.n_lines, r.n_dropped, r.dropped) for r in line_dedup.line_counts(docs).collect())
+    assert counts == [(7, 1, 1, "0"), (7, 2, 1, "1"), (7, 2, 2, "0,1"), (8, 1, 0, ""), (9, 3, 0, "")]
 
 
 def test_lines_odd_rows(odd_docs, no_docs):
