@@ -74,11 +74,13 @@ class Places:
 
 
 def lines_of(docs: DataFrame, places: Places) -> DataFrame:
-    """(place, words, n) of every line with a word."""
+    """(place, line, n) of every line with a word: its words joined by one space, and how many they are."""
     # Outer generators here and below: the others make Spark compute the array twice, to leave out empty ones before.
     source = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("text")).where("text is not null")
     lines = source.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
-    return lines.select(places.place(), words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    single = F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", " +", " ")).otherwise(F.col("line"))
+    lines = lines.select(places.place(), F.trim(single).alias("line"))
+    return lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
 def half_length(m: Column) -> Column:
@@ -89,15 +91,16 @@ def half_length(m: Column) -> Column:
 
 
 def half_keys(min_words: int) -> Column:
-    """Keys (kind, k1, k2) of `words`: their first and last parts, for both lengths of a shorter near copy."""
+    """Keys (kind, k1, k2) of `line`: its first and last words, for both lengths of a shorter near copy."""
     n = F.col("n")
     lengths = F.filter(F.array_distinct(F.array(half_length(n), half_length(F.greatest(n - 1, F.lit(min_words))))), lambda k: n >= min_words)
-    part = lambda kind, words, k: F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), words).alias("k1"), k.cast("long").alias("k2"))
-    return F.flatten(F.transform(lengths, lambda k: F.array(part(FIRST, F.slice("words", F.lit(1), k), k), part(LAST, F.slice("words", n - k + 1, k), k))))
+    words = lambda k: F.call_function("substring_index", F.col("line"), F.lit(" "), k)
+    part = lambda kind, k: F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), words(k if kind == FIRST else -k)).alias("k1"), k.cast("long").alias("k2"))
+    return F.flatten(F.transform(lengths, lambda k: F.array(part(FIRST, k), part(LAST, k))))
 
 
 def _identity() -> list[Column]:
-    return [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), "words").alias("h2")]
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(3), "line").alias("h2")]
 
 
 def shared_parts(lines: DataFrame, places: Places, min_words: int) -> DataFrame:

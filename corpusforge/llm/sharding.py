@@ -2,16 +2,18 @@
 
 Equal texts are a group and stay together, unless the group fits whole in no shard's share of bytes and rows: then it
 is dealt in pieces of about half a shard's share of a lane (below). Each group goes to the shard where the dot product of its vector
-(bytes, tokens, rows) with the shard's residual capacity is highest, largest groups first; the last and
-smallest groups go by bytes alone, so that bytes are as near equal as they can be.
+(bytes, tokens, rows) with the shard's residual capacity is highest: largest groups first up to half of the bytes, then
+most others in order of their hash, so that groups of all shapes level every dimension, and the smallest last. In this second
+half bytes weigh more in the dot product (`law_weight`), as shards must be near equal in bytes before all.
 
 How it runs on Spark: texts are read once, for sizes and hashes. Groups are summed before anything is
 placed, so copies cost one row a group and piece. Groups above half a shard's share of a lane (at most
-4 x shards x (lanes + 1) of them) are placed whole in a first pass over all shards. The others are dealt by hash to lanes of about `lane_groups`; each lane fills its own share of what the first pass left of every shard, so the sums are
+4 x shards x (lanes + 1) of them, of at most `max_lanes` lanes) are placed whole in a first pass over all shards. The others are dealt by hash to lanes of about `lane_groups`; each lane fills its own share of what the first pass left of every shard, so the sums are
 balanced as well. Slots are counts of (shard, bucket) before a bucket plus the place in the bucket.
 
 Nulls: a null text has no bytes and the crc of the empty text; null and empty texts are two groups. Rows
-with a null or repeated doc_id are placed like others. An empty table gives no rows.
+with a null or repeated doc_id are placed like others. Ties go to the lower shard. An empty table gives no rows. Texts of any
+length are read in the JVM, row by row; extra columns are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -37,32 +39,36 @@ def place_whole(vectors: np.ndarray, totals: np.ndarray, shards: int) -> np.ndar
     return out
 
 
-def place(vectors: np.ndarray, shards: int, tail: float = 0.25, room: np.ndarray | None = None) -> np.ndarray:
-    """Shard of each row of `vectors` (bytes, tokens, rows), largest bytes first; ties go to the lower shard.
+def place(vectors: np.ndarray, shards: int, law_weight: float = 16.0, room: np.ndarray | None = None) -> np.ndarray:
+    """Shard of each row of `vectors` (bytes, tokens, rows): where its dot product with the residual capacity is highest.
 
-    room: each shard's share of each dimension, equal if not given. The last rows, up to a share `tail` of the bytes, are placed by bytes alone: the law that must hold.
+    Rows of the largest bytes come first, up to half of all bytes, then others as they are, and from nine tenths of the bytes
+    on the smallest, by size. In the second part the first dimension weighs `law_weight` times, in the last one the square
+    of it. Ties go to the lower shard.
+    room: each shard's share of each dimension, equal if not given.
     """
     scaled = vectors / np.maximum(1, vectors.sum(axis=0))
     left = (np.full((shards, scaled.shape[1]), 1 / shards) if room is None else room).tolist()
     out = np.zeros(len(vectors), np.int32)
-    laid = 0.0
-    for i in np.argsort(-vectors[:, 0], kind="stable").tolist():
+    by_size = np.argsort(-vectors[:, 0], kind="stable")
+    half, most = np.searchsorted(np.cumsum(scaled[by_size, 0]), [0.5, 0.9], "right").tolist()
+    for k, i in enumerate([*by_size[:half].tolist(), *np.sort(by_size[half:most]).tolist(), *by_size[most:].tolist()]):
         x, y, z = scaled[i].tolist()
-        by_law = laid > 1 - tail
-        best = max(range(shards), key=lambda s: (left[s][0] if by_law else x * left[s][0] + y * left[s][1] + z * left[s][2], -s))
-        room = left[best]
-        room[0] -= x
-        room[1] -= y
-        room[2] -= z
-        laid += x
+        weight = 1.0 if k < half else law_weight if k < most else law_weight**2
+        best = max(range(shards), key=lambda s, w=weight * x: (w * left[s][0] + y * left[s][1] + z * left[s][2], -s))  # noqa: B023
+        own = left[best]
+        own[0] -= x
+        own[1] -= y
+        own[2] -= z
         out[i] = best
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000, bucket_rows: int = 20_000, max_lanes: int = 4096) -> DataFrame:
     """(doc_id, size, text_crc32, tokens, group_hash, piece, shard, slot) for every row of `docs` (doc_id, text).
 
-    size: UTF-8 bytes plus 1; slot: 0 .. rows of the shard - 1.
+    size: UTF-8 bytes plus 1; slot: 0 .. rows of the shard - 1. max_lanes bounds the first pass and what is broadcast of
+    it; with more rows, lanes are larger.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
@@ -75,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     rows = saved(rows)
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     group = ["group_hash", "text_crc32", "size"]
-    lanes = max(1, -(-total[1] // lane_groups))
+    lanes = min(max_lanes, max(1, -(-total[1] // lane_groups)))
     limit = max(1, total[0] // (shards * 2 * (lanes + 1)))
     row_limit = max(1, total[1] // (shards * 2 * (lanes + 1)))
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))

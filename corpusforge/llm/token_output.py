@@ -7,12 +7,14 @@ any record and goes on from there.
 
 How it runs on Spark: row numbers are partition offsets plus the place in the partition, so only the
 row counts of partitions reach the driver; the permutation is computed per row; texts are shuffled once,
-to their shard's partition (`repartitionById`), sorted there by slot, and tokenised once. A shard's file
+to the partition of their range of shards (at most spark.sql.shuffle.partitions ranges), sorted there by slot, and
+tokenised once; a task writes the shards of its range one after the other. A shard's file
 is written under a name of its attempt and renamed, so a task that is run again leaves one whole file.
 `docs` must be read from files or saved: its partitions may not change between two readings.
 
-Nulls: a null text counts as empty and gives the end id alone. A repeated row has a slot of its own. An
-empty table gives no rows and no files.
+Nulls: a null text counts as empty and gives the end id alone. A repeated row, and one with a null doc_id, has a slot of
+its own. An empty table gives no rows and no files. Of a very long text one task holds text and ids. Extra columns
+are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -123,7 +125,8 @@ def write_training_order(docs: DataFrame, folder: str, key: int = 17, stride: in
             out.close()
 
     dealt = rows.withColumn("slot", slot("row_no")).withColumn("shard", F.floor(F.col("slot") / shard_docs).cast("int")).drop("row_no")
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+    ranges = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("shard", "slot")
     return dealt.mapInArrow(work, "doc_id long, slot long, shard int, record long, offset long, n_tokens long, ids_crc32 long, id_bytes int")
 
 
