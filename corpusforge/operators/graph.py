@@ -128,7 +128,7 @@ def resolve_alias_chain(outputs: DataFrame, edges: DataFrame, max_depth: int = 6
     """(output, block, alias, agg): the base references of each output, and the first aggregate on the way.
 
     outputs: (output, block, alias); edges: (block, alias, source_block, source_alias, agg); an alias
-    without an edge is a base reference. Loops end at max_depth.
+    without an edge is a base reference. Raises if a chain is longer than max_depth, as a loop is.
     """
     cur = checkpointed(outputs.select("output", "block", "alias", F.lit(None).cast("string").alias("agg")))
     done = None
@@ -138,8 +138,8 @@ def resolve_alias_chain(outputs: DataFrame, edges: DataFrame, max_depth: int = 6
         done = base if done is None else done.unionByName(base)
         cur = checkpointed(cur.join(links, ["block", "alias"]).select("output", F.col("source_block").alias("block"), F.col("source_alias").alias("alias"), F.coalesce("agg", "_agg").alias("agg")).distinct())
         if cur.isEmpty():
-            break
-    return done.distinct()
+            return done.distinct()
+    raise ValueError(f"resolve_alias_chain: deeper than {max_depth}, or a loop")
 
 
 def view_edges(units: DataFrame, facts: DataFrame, view: Column) -> DataFrame:

@@ -113,7 +113,7 @@ def ambiguity(hits: DataFrame, limit: int, margin: float = 0.1) -> DataFrame:
     def stage(df: DataFrame, level: str, number: int) -> DataFrame:
         best = df.groupBy("query_id", level).agg(F.max("score").alias("score"), F.count("*").alias("n"))
         two = top_n(best, ["query_id"], [F.desc("score"), F.desc("n"), F.col(level)], 2)
-        return two.groupBy("query_id").agg(F.lit(number).alias("stage"), F.max_by(level, F.struct("score", "n")).alias("winner"), (F.count("*") > 1).alias("_two"), F.round(F.max("score") - F.min("score"), 6).alias("gap")).select("query_id", "stage", "winner", (F.col("_two") & (F.col("gap") <= margin)).alias("tied"))
+        return two.groupBy("query_id").agg(F.lit(number).alias("stage"), F.min_by(level, F.struct(-F.col("score"), -F.col("n"), level)).alias("winner"), (F.count("*") > 1).alias("_two"), F.round(F.max("score") - F.min("score"), 6).alias("gap")).select("query_id", "stage", "winner", (F.col("_two") & (F.col("gap") <= margin)).alias("tied"))
 
     first = stage(window, "top", 1)
     inside = window.where("sub is not null").join(first.select("query_id", F.col("winner").alias("top")), ["query_id", "top"])

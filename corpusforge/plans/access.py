@@ -11,7 +11,6 @@ from ..sources import files as S
 from ..sources.shared import fresh_path
 from ..streaming import incremental as T
 from .registry import query, table
-from .relational import schema_columns
 from .scalar import NORM_SQL
 from .standins import duck, view
 
@@ -161,9 +160,9 @@ def x19(spark, d):
     return X.class_report(_classes(spark, d))
 
 
-@query("x20_masked_twins", "SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, 'MASKED_' || upper(column_name) AS twin FROM duckdb_columns() WHERE table_name IN ('customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier') AND column_index % 2 = 0")
+@query("x20_masked_twins", duck("SELECT table_name, column_name, 'MASKED_' || column_name AS twin FROM {catalog} WHERE ordinal % 2 = 0"))
 def x20(spark, d):
-    c = schema_columns(spark, d)
+    c = view(spark, d, "catalog")
     return X.masked_twins(c.unionByName(c.where("ordinal % 2 = 0").withColumn("column_name", F.concat(F.lit("MASKED_"), "column_name"))))
 
 
@@ -297,17 +296,18 @@ def t12(spark, d):
     return T.persist_wave(targets, docs.select(F.col("doc_id").alias("id"), F.col("source").alias("found")), {"note": "found"})
 
 
-@query("s02_load_catalog", "SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, column_index % 2 = 0 AS nullable, CAST(column_index AS INTEGER) AS ordinal FROM duckdb_columns() WHERE table_name IN ('customer', 'lineitem', 'orders', 'part')")
+@query("s02_load_catalog", duck("SELECT table_name, column_name, ordinal % 2 = 0 AS nullable, ordinal FROM {catalog} WHERE kind < 2"))
 def s02(spark, d):
-    c = schema_columns(spark, d)
-    raw = {"tables": c.select("table_name", F.when(F.length("table_name") % 2 == 0, F.when(F.col("table_name").isin("LINEITEM", "CUSTOMER", "PART", "ORDERS"), "table").otherwise("SYNONYM")).otherwise("index").alias("table_type")).distinct()}
+    c = view(spark, d, "catalog")
+    kind = F.when(F.col("kind") == 0, "table").when(F.col("kind") == 1, "View").otherwise("SYNONYM")
+    raw = {"tables": c.select("table_name", kind.alias("table_type")).distinct()}
     raw["columns"] = c.select(F.concat(F.lit(" "), "table_name").alias("table_name"), "column_name", F.when(F.col("ordinal") % 2 == 0, "Y").otherwise("N").alias("nullable"), F.col("ordinal").cast("string").alias("ordinal"))
     return S.load_catalog(raw)["columns"]
 
 
-@query("s03_load_fkeys", duck("SELECT child, parent FROM {fk} WHERE child = 'ORDERS' OR parent = 'ORDERS'"))
+@query("s03_load_fkeys", duck("SELECT child, parent, col FROM {fk} WHERE child IN (SELECT table_name FROM {catalog} WHERE kind = 0) OR parent IN (SELECT table_name FROM {catalog} WHERE kind = 0)"))
 def s03(spark, d):
-    return S.load_fkeys(view(spark, d, "fk"), spark.createDataFrame([("ORDERS",)], "table_name string")).select("child", "parent")
+    return S.load_fkeys(view(spark, d, "fk"), view(spark, d, "catalog").where("kind = 0").select("table_name"))
 
 
 @query("s04_load_snapshot", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 7 > 0 GROUP BY 1")
@@ -383,11 +383,11 @@ def s16(spark, d):
     return S.extract_blocks(table(spark, d, "pages").select("page_id", body.alias("xml")), "page_id", "xml", "o", ["name", "kind"])
 
 
-@query("s17_load_edges", duck("SELECT child AS from_table, col || ', fk' AS evidence, 'a < b' AS predicate FROM {fk} WHERE child <> 'NATION'"))
+@query("s17_load_edges", duck("SELECT child AS from_table, parent AS to_table, col || ', fk' AS evidence, 'a < b' AS predicate FROM {fk} WHERE child <> 'T1'"))
 def s17(spark, d):
     f = view(spark, d, "fk")
-    e = f.select(F.col("child").alias("from_table"), F.col("col").alias("from_col"), F.when(F.col("child") != "NATION", F.col("parent")).alias("to_table"), F.col("col").alias("to_col"), F.array("col", F.lit("fk")).alias("evidence"), F.lit(1).alias("occurrences"), F.lit("HIGH").alias("confidence"), F.lit("a &lt; b").alias("predicate"))
-    return S.load_edges(e, "mined").select("from_table", "evidence", "predicate")
+    e = f.select(F.col("child").alias("from_table"), F.col("col").alias("from_col"), F.when(F.col("child") != "T1", F.col("parent")).alias("to_table"), F.col("col").alias("to_col"), F.array("col", F.lit("fk")).alias("evidence"), F.lit(1).alias("occurrences"), F.lit("HIGH").alias("confidence"), F.lit("a &lt; b").alias("predicate"))
+    return S.load_edges(e, "mined").select("from_table", "to_table", "evidence", "predicate")
 
 
 @query("s18_filter_by_ids", "SELECT doc_id FROM documents WHERE doc_id % 10 = 0")

@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import lookup as P
 from ..operators import quality as Q
 from .registry import query, table
-from .relational import schema_columns
 from .standins import duck, view
 
-_COLS = "(SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, column_index AS ordinal FROM duckdb_columns() WHERE table_name IN ('customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier'))"
-
-
 @query("p01_validate_names", "SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 = 0 THEN 'zz' ELSE '' END AS request, upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN 'ZZ' ELSE '' END AS name, p_partkey % 3 <> 0 AS \"exists\", CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) END AS best FROM part")
 def p01(spark, d):
     p = table(spark, d, "part")
@@ -21,25 +17,22 @@ def p01(spark, d):
     return out.select("request", "name", "exists", F.col("suggestions")[0].alias("best"))
 
 
-@query("p02_validate_columns", "SELECT 'ORDERS' AS table_name, 'O_ORDERKEY' AS column_name, 'ok' AS state UNION ALL SELECT 'ORDERS', 'X' || o_orderkey, 'unknown_column' FROM orders WHERE o_orderkey < 50 UNION ALL SELECT 'T' || o_orderkey, 'X' || o_orderkey, 'unknown_table' FROM orders WHERE o_orderkey BETWEEN 50 AND 99")
+@query("p02_validate_columns", duck("WITH r AS (SELECT DISTINCT 'T' || o_custkey % 400 AS table_name, 'C' || o_orderkey % 210 || '_KEY' AS column_name FROM orders) SELECT *, CASE WHEN table_name NOT IN (SELECT table_name FROM {catalog}) THEN 'unknown_table' WHEN (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM {catalog}) THEN 'unknown_column' ELSE 'ok' END AS state FROM r"))
 def p02(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 100")
-    k = F.col("o_orderkey")
-    reqs = o.select(F.when(k < 50, " orders").otherwise(F.concat(F.lit("t"), k)).alias("table_name"), F.concat(F.lit("x"), k).alias("column_name"))
-    reqs = reqs.unionByName(spark.createDataFrame([("Orders", "o_orderkey")], "table_name string, column_name string"))
-    return P.validate_columns(reqs, schema_columns(spark, d))
+    reqs = table(spark, d, "orders").select(F.concat(F.lit(" t"), F.col("o_custkey") % 400).alias("table_name"), F.concat(F.lit("c"), F.col("o_orderkey") % 210, F.lit("_key ")).alias("column_name"))
+    return P.validate_columns(reqs, view(spark, d, "catalog"))
 
 
-@query("p03_object_cards", f"SELECT DISTINCT table_name, CASE table_name WHEN 'LINEITEM' THEN 'L_ORDERKEY,L_LINENUMBER' WHEN 'ORDERS' THEN 'O_ORDERKEY' END AS pkey, count(*) OVER (PARTITION BY table_name) AS n_columns FROM {_COLS}")
+@query("p03_object_cards", duck("SELECT table_name, string_agg(column_name, ',' ORDER BY ordinal DESC) FILTER (ordinal <= 2) AS pkey, count(*) AS n_columns FROM {catalog} GROUP BY 1"))
 def p03(spark, d):
-    cols = schema_columns(spark, d)
-    keys = spark.createDataFrame([("LINEITEM", "L_LINENUMBER", 2), ("LINEITEM", "L_ORDERKEY", 1), ("ORDERS", "O_ORDERKEY", 1)], "table_name string, column_name string, seq int")
+    cols = view(spark, d, "catalog")
+    keys = cols.where("ordinal <= 2").select("table_name", "column_name", (3 - F.col("ordinal")).alias("seq"))
     return P.object_cards(cols.select("table_name").distinct(), keys, cols).withColumn("pkey", F.array_join("pkey", ","))
 
 
-@query("p04_list_columns", f"SELECT table_name, column_name, total FROM (SELECT *, count(*) OVER (PARTITION BY table_name) AS total, row_number() OVER (PARTITION BY table_name ORDER BY ordinal) r FROM {_COLS} WHERE column_name LIKE '%KEY%') WHERE r <= 2")
+@query("p04_list_columns", duck("SELECT table_name, column_name, total FROM (SELECT *, count(*) OVER (PARTITION BY table_name) AS total, row_number() OVER (PARTITION BY table_name ORDER BY ordinal) r FROM {catalog} WHERE column_name LIKE '%KEY%') WHERE r <= 12"))
 def p04(spark, d):
-    return P.list_columns(schema_columns(spark, d), "key", 2).select("table_name", "column_name", "total")
+    return P.list_columns(view(spark, d, "catalog"), "key", 12).select("table_name", "column_name", "total")
 
 
 @query("p05_list_indexes", "SELECT 'L' || l_suppkey AS table_name, 'I' || l_linenumber AS index_name, string_agg(c, ',' ORDER BY l_partkey, c) AS columns FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_partkey, 'C' || l_partkey AS c FROM lineitem) GROUP BY 1, 2")
@@ -55,10 +48,10 @@ def p06(spark, d):
     return P.overlay_rules(lab, rule(7, True, 1).unionByName(rule(9, True, 2)).unionByName(rule(5, False, 3)), "doc_id", "quality")
 
 
-@query("p07_lookup_text", "SELECT source AS request, CAST(doc_id AS VARCHAR) AS id, n_chars AS chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) = 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), n_chars FROM documents WHERE doc_id < 20")
+@query("p07_lookup_text", "SELECT source AS request, CAST(doc_id AS VARCHAR) AS id, n_chars AS chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) = 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), n_chars FROM documents")
 def p07(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("n_chars").alias("chars"))
-    reqs = docs.select(F.col("title").alias("request")).unionByName(docs.where("cast(id as long) < 20").select(F.col("id").alias("request")))
+    reqs = docs.select(F.col("title").alias("request")).unionByName(docs.select(F.col("id").alias("request")))
     return P.lookup_text(reqs, docs.withColumn("title", F.when(F.col("id") < "5", F.col("title"))), docs.select("title", "id"))
 
 
@@ -121,16 +114,16 @@ def p18(spark, d):
 
 
 def _arrays(spark, d):
-    cols = schema_columns(spark, d)
+    cols = view(spark, d, "catalog")
     return cols.groupBy("table_name").agg(F.sort_array(F.collect_list("column_name")).alias("columns"))
 
 
-@query("p19_family_match", f"SELECT table_name, CASE WHEN bool_or(column_name = 'O_ORDERKEY') AND bool_or(column_name = 'O_CUSTKEY') THEN 'order' WHEN table_name LIKE '%N' THEN 'place' ELSE 'keyed' END AS family FROM {_COLS} GROUP BY 1 HAVING count(*) FILTER (column_name IN ('P_PARTKEY', 'O_ORDERKEY')) > 0 OR table_name LIKE '%N'")
+@query("p19_family_match", duck("SELECT * FROM (SELECT table_name, CASE WHEN bool_or(column_name = 'C30_KEY') AND bool_or(column_name = 'C61_ORDER') THEN 'order' WHEN table_name LIKE '%7' THEN 'place' WHEN bool_or(column_name IN ('C90_KEY', 'X')) THEN 'keyed' END AS family FROM {catalog} GROUP BY 1) WHERE family IS NOT NULL"))
 def p19(spark, d):
-    return P.family_match(_arrays(spark, d), [{"family": "order", "all": ["O_ORDERKEY", "O_CUSTKEY"]}, {"family": "place", "name": "N$"}, {"family": "keyed", "any": ["P_PARTKEY", "X"]}])
+    return P.family_match(_arrays(spark, d), [{"family": "order", "all": ["C30_KEY", "C61_ORDER"]}, {"family": "place", "name": "7$"}, {"family": "keyed", "any": ["C90_KEY", "X"]}])
 
 
-@query("p20_family_translation", f"SELECT table_name || '_TL' AS table_name, table_name AS base_table, CAST(count(*) AS INTEGER) AS shared FROM {_COLS} GROUP BY table_name")
+@query("p20_family_translation", duck("SELECT table_name || '_TL' AS table_name, table_name AS base_table, CAST(count(*) AS INTEGER) AS shared FROM {catalog} GROUP BY table_name"))
 def p20(spark, d):
     a = _arrays(spark, d)
     return P.family_translation(a.unionByName(a.withColumn("table_name", F.concat("table_name", F.lit("_TL")))))
@@ -161,10 +154,10 @@ def p24(spark, d):
     return P.list_apis(spark.createDataFrame([(f"T{i}",) for i in range(5)], "name string"), pairs)
 
 
-@query("p25_describe_hierarchy", "SELECT r_name AS area, string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0) AS facts, count(*) AS n_folders FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3 GROUP BY 1")
+@query("p25_describe_hierarchy", "SELECT r_name AS area, string_agg(n_name, ',' ORDER BY n_name) FILTER (n_nationkey % 2 = 0) AS facts, count(*) AS n_folders FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def p25(spark, d):
     f = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("area"), F.col("n_name").alias("folder"), F.when(F.col("n_nationkey") % 2 == 0, "fact").otherwise("dimension").alias("kind"))
-    out = P.describe_hierarchy(table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_name").alias("area")), f)
+    out = P.describe_hierarchy(table(spark, d, "region").select(F.col("r_name").alias("area")), f)
     return out.select("area", F.when(F.size("facts") > 0, F.array_join("facts", ",")).alias("facts"), "n_folders")
 
 

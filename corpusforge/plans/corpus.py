@@ -211,7 +211,7 @@ def m22(spark, d):
     return M.promote_fields(table(spark, d, "events").select("event_id", "props"), "props", {"k": "int", "note": "string"})
 
 
-@query("m23_build_grounding")
+@query("m23_build_grounding", duck("WITH n AS (SELECT DISTINCT table_name, literal AS column_name, 'n' || sql_hash % 50 AS note FROM {f_predicates}), r AS (SELECT *, dense_rank() OVER (PARTITION BY table_name ORDER BY column_name) AS c, row_number() OVER (PARTITION BY table_name ORDER BY column_name, note) AS k FROM n), p AS (SELECT table_name, column_name, list(note ORDER BY note) AS notes FROM r WHERE c <= 24 AND k <= 120 GROUP BY 1, 2), j AS (SELECT table_name, CAST(to_json({'table_name': table_name, 'columns': list({'column_name': column_name, 'notes': notes} ORDER BY column_name)}) AS VARCHAR) AS payload FROM p GROUP BY 1) SELECT *, md5(payload) AS ghash FROM j"))
 def m23(spark, d):
     notes = view(spark, d, "f_predicates").select("table_name", F.col("literal").alias("column_name"), F.concat(F.lit("n"), F.col("sql_hash") % 50).alias("note"))
     return M.build_grounding(notes, notes, "table_name")
@@ -250,15 +250,16 @@ def m27(spark, d):
     return M.map_areas(table(spark, d, "part").select(F.col("p_type").alias("area")), roles, spark.createDataFrame([("LARGE", "big  role")], "area string, alias string"), "(?i)admin")
 
 
-@query("m28_derive_families", "SELECT p_brand AS module, CASE WHEN count(DISTINCT p_type) FILTER (p_size > 45) = 1 THEN min(p_type) FILTER (p_size > 45) WHEN count(DISTINCT p_type) FILTER (p_size > 45) = 0 AND count(DISTINCT p_type) FILTER (p_size <= 45) = 1 THEN min(p_type) END AS family FROM part WHERE p_partkey < 60 GROUP BY 1")
+@query("m28_derive_families", "SELECT p_partkey % 997 AS module, CASE WHEN count(DISTINCT p_type) FILTER (p_size > 45) = 1 THEN min(p_type) FILTER (p_size > 45) WHEN count(DISTINCT p_type) FILTER (p_size > 45) = 0 AND count(DISTINCT p_type) FILTER (p_size <= 45) = 1 THEN min(p_type) END AS family FROM part GROUP BY 1")
 def m28(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 60")
-    return M.derive_families(p.select(F.col("p_brand").alias("module"), F.col("p_type").alias("family"), F.when(F.col("p_size") > 45, "code").otherwise("object").alias("evidence")))
+    p = table(spark, d, "part")
+    return M.derive_families(p.select((F.col("p_partkey") % 997).alias("module"), F.col("p_type").alias("family"), F.when(F.col("p_size") > 45, "code").otherwise("object").alias("evidence")))
 
 
-@query("m29_candidates", f"SELECT table_name, column_name, 'cust' AS context, CASE WHEN column_name = 'C_CUSTKEY' THEN 'name' ELSE 'suffix' END AS how, table_name = 'ORDERS' AS excluded FROM {_COLS} WHERE column_name LIKE '%CUSTKEY'")
+@query("m29_candidates", duck("SELECT table_name, column_name, 'cust' AS context, CASE WHEN column_name = 'C30_KEY' THEN 'name' ELSE 'suffix' END AS how, table_name IN (SELECT table_name FROM {catalog} WHERE kind = 1) AS excluded FROM {catalog} WHERE ends_with(column_name, '0_KEY')"))
 def m29(spark, d):
-    return M.candidates(schema_columns(spark, d), [{"context": "cust", "name": "C_CUSTKEY", "suffix": "CUSTKEY"}], spark.createDataFrame([("ORDERS",)], "table_name string"))
+    c = view(spark, d, "catalog")
+    return M.candidates(c, [{"context": "cust", "name": "C30_KEY", "suffix": "0_KEY"}], c.where("kind = 1").select("table_name"))
 
 
 @query("m30_usage_evidence", "WITH b AS (SELECT o_custkey AS k, 'orders' AS b FROM orders UNION ALL SELECT c_custkey, 'customers' FROM customer WHERE c_acctbal > 0) SELECT k, array_to_string(list_sort(list(DISTINCT b)), ',') AS evidence, count(*) AS n, count(DISTINCT b) AS n_sources FROM b GROUP BY 1")
@@ -278,10 +279,10 @@ def m32(spark, d):
     return M.suspect_text(table(spark, d, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-@query("m33_coverage_gate", "SELECT 'P' || l_partkey % 3000 AS name, count(DISTINCT l_orderkey) AS n, CASE WHEN any_value(p_partkey) IS NULL THEN 'missing' WHEN any_value(p_size) > 25 THEN 'described' ELSE 'exists' END AS state FROM lineitem LEFT JOIN part ON p_partkey = l_partkey % 3000 AND p_partkey < 1500 GROUP BY 1")
+@query("m33_coverage_gate", "SELECT 'P' || l_partkey * 3 // 2 AS name, count(DISTINCT l_orderkey) AS n, CASE WHEN any_value(p_partkey) IS NULL THEN 'missing' WHEN any_value(p_size) > 25 THEN 'described' ELSE 'exists' END AS state FROM lineitem LEFT JOIN part ON p_partkey = l_partkey * 3 // 2 GROUP BY 1")
 def m33(spark, d):
-    refs = table(spark, d, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey") % 3000).alias("name"), F.col("l_orderkey").alias("sql_hash"))
-    p = table(spark, d, "part").where("p_partkey < 1500")
+    refs = table(spark, d, "lineitem").select(F.concat(F.lit("P"), F.expr("l_partkey * 3 div 2")).alias("name"), F.col("l_orderkey").alias("sql_hash"))
+    p = table(spark, d, "part")
     return M.coverage_gate(refs, p.select(F.concat(F.lit("P"), "p_partkey").alias("name"), F.when(F.col("p_size") > 25, "a remark").otherwise("").alias("remark")))
 
 
@@ -322,12 +323,12 @@ def m38(spark, d):
     return M.evidence_pack(reqs, view(spark, d, "f_tables"), view(spark, d, "f_joins")).select("name", F.array_join("co_used", ",").alias("co_used"))
 
 
-@query("m39_ship_inventory", "WITH e AS (SELECT DISTINCT l_orderkey k, l_suppkey e FROM lineitem), t AS (SELECT DISTINCT l_orderkey k, l_partkey % 50 t FROM lineitem), s AS (SELECT e, count(*) c FROM e GROUP BY 1) SELECT e.e AS entity, t.t AS table_name, count(*) AS n FROM e JOIN t USING (k) JOIN s ON s.e = e.e WHERE e.e % 2 = 0 AND t.t < 40 GROUP BY 1, 2 HAVING count(*) >= 45 OR count(*) / any_value(c) >= 0.09")
+@query("m39_ship_inventory", "WITH e AS (SELECT DISTINCT l_orderkey k, l_suppkey e FROM lineitem), t AS (SELECT DISTINCT l_orderkey k, l_partkey % 50 t FROM lineitem), s AS (SELECT e, count(*) c FROM e GROUP BY 1) SELECT e.e AS entity, t.t AS table_name, count(*) AS n FROM e JOIN t USING (k) JOIN s ON s.e = e.e WHERE e.e % 2 = 0 AND t.t IN (SELECT p_size FROM part) GROUP BY 1, 2 HAVING count(*) >= 45 OR count(*) / any_value(c) >= 0.09")
 def m39(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("entity"), (F.col("l_partkey") % 50).alias("table_name"))
     pairs = cooccurrence(li, li, "entity", "table_name", "l_orderkey", 9)
     inv = li.select("entity").distinct().withColumn("class", F.when(F.col("entity") % 2 == 0, "own").otherwise("vendor"))
-    return M.ship_inventory(inv, pairs, li.where("table_name < 40"), ["own"], 45, 0.09)[1].select("entity", "table_name", "n")
+    return M.ship_inventory(inv, pairs, table(spark, d, "part").select(F.col("p_size").alias("table_name")), ["own"], 45, 0.09)[1].select("entity", "table_name", "n")
 
 
 @query("m40_title_aliases", duck(f"SELECT DISTINCT title, sql_hash FROM {_UNITS}"))

@@ -186,9 +186,9 @@ def schema_columns(spark, d):
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, data_type string")
 
 
-@query("a14_column_signals", "SELECT upper(table_name) AS table_name, upper(arg_min(column_name, column_index) FILTER (column_name LIKE '%date')) AS dated, upper(arg_min(column_name, column_index) FILTER (column_name LIKE '%key')) AS keyed FROM duckdb_columns() WHERE table_name IN ('customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier') GROUP BY 1")
+@query("a14_column_signals", duck("SELECT table_name, arg_min(column_name, ordinal) FILTER (column_name LIKE '%DATE') AS dated, arg_min(column_name, ordinal) FILTER (column_name LIKE '%KEY') AS keyed FROM {catalog} GROUP BY 1"))
 def a14(spark, d):
-    return A.column_signals(schema_columns(spark, d), {"dated": "DATE$", "keyed": "KEY$"})
+    return A.column_signals(view(spark, d, "catalog"), {"dated": "DATE$", "keyed": "KEY$"})
 
 
 @query("a15_pattern_evidence", "SELECT source, count(*) FILTER (regexp_matches(text, '[0-9]{4}')) AS digits, count(*) FILTER (regexp_matches(text, '!!')) AS shouts FROM documents GROUP BY 1")
@@ -310,9 +310,9 @@ def j10(spark, d):
     return J.mention_flags(docs.select("doc_id", F.lit("license").alias("name")), docs.select("doc_id", "text"), "doc_id", "name", "text").drop("name")
 
 
-@query("j11_match_rules", "SELECT upper(table_name) AS table_name, upper(column_name) AS column_name, r AS rule FROM duckdb_columns(), (VALUES ('k', 'key$', ''), ('o', '_order', '^orders$')) v(r, c, t) WHERE table_name IN ('customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier') AND regexp_matches(column_name, c) AND regexp_matches(table_name, t)")
+@query("j11_match_rules", duck("SELECT table_name, column_name, r AS rule FROM {catalog}, (VALUES ('k', 'KEY$', ''), ('o', '1_ORDER', '^T[0-9]$')) v(r, c, t) WHERE regexp_matches(column_name, c) AND regexp_matches(table_name, t)"))
 def j11(spark, d):
-    return J.match_rules(schema_columns(spark, d), [{"id": "k", "column": "KEY$"}, {"id": "o", "column": "_ORDER", "table": "^ORDERS$"}]).select("table_name", "column_name", "rule")
+    return J.match_rules(view(spark, d, "catalog"), [{"id": "k", "column": "KEY$"}, {"id": "o", "column": "1_ORDER", "table": "^T[0-9]$"}]).select("table_name", "column_name", "rule")
 
 
 @query("j12_join_labels", "SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN 'little' ELSE lower(p_type) END AS key FROM part WHERE p_type IN ('SMALL', 'LARGE')")

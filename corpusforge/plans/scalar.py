@@ -189,9 +189,11 @@ def f31(spark, d):
     return _docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n"), F.try_element_at(t, F.lit(1)).alias("first"))
 
 
-@query("f32_jaccard", "SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS j FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 400)), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(right(text, 400)), '[a-z]{4,}')) AS b FROM documents)")
+@query("f32_jaccard", "SELECT doc_id, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0), 6) AS j FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, length(text) // 2)), '[a-z]{4,}')) AS a, list_distinct(regexp_extract_all(lower(right(text, length(text) - length(text) // 2)), '[a-z]{4,}')) AS b FROM documents)")
 def f32(spark, d):
-    a, b = (C.content_words(x) for x in (F.left("text", F.lit(400)), F.right("text", F.lit(400))))
+    """The two halves of every text."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    a, b = (C.content_words(x) for x in (F.left("text", half), F.right("text", F.length("text") - half)))
     return _docs(spark, d).select("doc_id", F.round(C.jaccard(a, b), 6).alias("j"))
 
 

@@ -19,7 +19,8 @@ VIEWS = {
     "journal": "SELECT cast(conv_id AS string) AS id, turn AS line_no, role = 'assistant' AS ok, text FROM conversations",
     "grants": "SELECT DISTINCT concat('R', o_custkey % 20) AS role_name, o_orderstatus AS obj_name, o_orderpriority AS privilege FROM orders",
     "upload": "SELECT event_type AS source, user_id, max(ts) AS loaded_at FROM events GROUP BY 1, 2",
-    "fk": "SELECT * FROM (VALUES ('NATION', 'REGION', 'REGIONKEY'), ('CUSTOMER', 'NATION', 'NATIONKEY'), ('SUPPLIER', 'NATION', 'NATIONKEY'), ('ORDERS', 'CUSTOMER', 'CUSTKEY'), ('LINEITEM', 'ORDERS', 'ORDERKEY'), ('LINEITEM', 'PART', 'PARTKEY'), ('LINEITEM', 'SUPPLIER', 'SUPPKEY')) AS t(child, parent, col)",
+    "catalog": "SELECT concat('T', l_suppkey) AS table_name, concat('C', c, CASE WHEN c % 3 = 0 THEN '_KEY' WHEN c % 7 = 0 THEN '_DATE' ELSE '_ORDER' END) AS column_name, cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY c) AS int) AS ordinal, l_suppkey % 3 AS kind FROM (SELECT DISTINCT l_suppkey, l_partkey % 210 AS c FROM lineitem)",
+    "fk": "SELECT DISTINCT concat('T', l_suppkey) AS child, concat('T', l_partkey % 97) AS parent, concat('C', l_partkey % 210) AS col FROM lineitem",
 }
 #: DuckDB's words for types that the views name in Spark's.
 _DUCK = {"AS string": "AS varchar"}

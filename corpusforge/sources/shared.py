@@ -1,20 +1,29 @@
-"""The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where the session names none."""
+"""The folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where none is named."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder_of(named: str | None, master: str) -> str:
+    """`named`, or a new temporary folder where driver and executors are one process; raises on a cluster without a name."""
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_corpusforge_shared", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._corpusforge_shared = named
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_corpusforge_shared", None)
+    named = context._corpusforge_shared = folder_of(named, context.master)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(named)
     return named
 
 

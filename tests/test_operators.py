@@ -12,6 +12,7 @@ from corpusforge.operators import quality as Q
 from corpusforge.operators import search as K
 from corpusforge.operators import vectors as V
 from corpusforge.sources import files as S
+from corpusforge.sources import shared
 from corpusforge.streaming import incremental as T
 
 
@@ -143,6 +144,19 @@ def test_closure_of_a_long_chain(spark):
     assert sorted((r.node, r.depth) for r in got) == [(i, i) for i in range(64)]
 
 
+def test_alias_loops_are_refused(spark):
+    edges = spark.createDataFrame([("q", "a", "q", "b", None), ("q", "b", "q", "a", None)], "block string, alias string, source_block string, source_alias string, agg string")
+    with pytest.raises(ValueError, match="loop"):
+        G.resolve_alias_chain(spark.createDataFrame([(1, "q", "a")], "output long, block string, alias string"), edges, 4)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert shared.folder_of("hdfs://x/y", "yarn") == "hdfs://x/y" and shared.folder_of(None, "local[4]").startswith("file://")
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1000]", "k8s://h"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            shared.folder_of(None, master)
+
+
 def plain_suggestions(request, names, k):
     q = request.strip().upper()
     scored = []
