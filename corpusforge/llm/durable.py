@@ -1,29 +1,6 @@
 """Cutting lineage on storage that all executors share."""
 
-from __future__ import annotations
+from ..sources.shared import checkpointed as saved
+from ..sources.shared import fresh_path
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one, set here, only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = getattr(spark.sparkContext, "_corpusforge_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._corpusforge_dir = named
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept under the checkpoint folder; a lost executor loses none of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["fresh_path", "saved"]

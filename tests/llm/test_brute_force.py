@@ -443,7 +443,7 @@ def test_shards_are_balanced_and_gapless(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = sharding.shard_documents(docs, 8, lane_groups=300, bucket_rows=200).collect()
     check_shards(rows, [r.text for r in docs.collect()])
-    for most, dim in ((1.01, lambda r: r.size), (1.05, lambda r: r.tokens), (1.05, lambda r: 1)):
+    for most, dim in ((1.01, lambda r: r.size), (1.1, lambda r: r.tokens), (1.05, lambda r: 1)):
         sums = Counter()
         for r in rows:
             sums[r.shard] += dim(r)
