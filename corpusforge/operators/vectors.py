@@ -1,8 +1,8 @@
-"""Vector retrieval K4 to K6, K12 to K17: exact and multi-vector neighbours, ambiguity, expansion, probes.
+"""Vector retrieval K4 to K6, K12 to K17: exact, multi-vector and approximate neighbours, ambiguity, expansion, probes.
 
-The exact search is a blocked matrix product: queries are cut into blocks of at most `block` vectors (the
-only thing broadcast), each task keeps the k nearest of its rows for each query, and the few kept are
-ranked after one small shuffle.
+The exact search is a blocked matrix product: queries and vectors are dealt into blocks by hash, a pair of blocks is one
+task's cogroup, of which the k nearest of each query go on and are ranked after one small shuffle. Nothing
+but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,69 +13,58 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .picks import top_n
 
 
-def _block_knn(queries: list, vectors: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
-    ids = np.array([r[0] for r in queries], np.int64)
-    asked = np.array([r[1] for r in queries], np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, asked))
-    schema = "query_id long, " + ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", distance double"
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, asked = shared.value
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            d = np.sqrt(np.maximum(0, (asked * asked).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * asked @ x.T))
-            n = min(k, d.shape[1])
-            edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-            q, at = np.nonzero(d <= edge[:, None])  # all ties at the edge go on: the final order is exact
-            part = pa.Table.from_batches([batch.select(keys)]).take(pa.array(at)).add_column(0, "query_id", pa.array(ids[q])).append_column("distance", pa.array(d[q, at]))
-            kept = part if kept is None else pa.concat_tables([kept, part])
-            if kept.num_rows > 4 * k * len(ids) + 10_000:
-                kept = _nearest(kept, k)
-        if kept is not None:
-            yield from _nearest(kept, k).combine_chunks().to_batches()
-
-    return vectors.select(*keys, "embedding").mapInArrow(work, schema)
-
-
-def _nearest(table: pa.Table, k: int) -> pa.Table:
-    q, d = table.column("query_id").to_numpy(), table.column("distance").to_numpy()
-    order = np.lexsort((d, q))
-    first = np.searchsorted(q[order], q[order], "left")
-    edge = d[order][np.minimum(first + k - 1, np.searchsorted(q[order], q[order], "right") - 1)]
-    return table.take(pa.array(order[d[order] <= edge]))
-
-
-def knn(queries: DataFrame, vectors: DataFrame, k: int, keys: Sequence[str] = ("vec_id",), where: Column | None = None, block: int = 2_000) -> DataFrame:
+def _nearest(asked: pa.Table, held: pa.Table, k: int, keys: Sequence[str]) -> pa.Table:
+    """(query_id, *keys, distance) of the k nearest rows of `held` for each row of `asked`, with all ties of the last."""
+    matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    ids, found, at, distance = asked.column("query_id").to_numpy(), [], [], []
+    if asked.num_rows and held.num_rows:
+        q, x = matrix(asked), matrix(held)
+        square, n, step = (x * x).sum(1), min(k, len(x)), max(1, (1 << 22) // len(x))
+        for i in range(0, len(q), step):
+            some = q[i : i + step]
+            d = np.sqrt(np.maximum(0, (some * some).sum(1)[:, None] + square - 2 * some @ x.T))
+            edge = np.partition(d, n - 1, axis=1)[:, n - 1, None]
+            row, col = np.nonzero(d <= edge + 1e-9)  # all ties go on: the final order is exact
+            found.append(ids[i + row])
+            at.append(col)
+            distance.append(d[row, col])
+    none = [np.zeros(0, np.int64)]
+    table = held.select(list(keys)).take(pa.array(np.concatenate(at or none)))
+    return table.add_column(0, "query_id", pa.array(np.concatenate(found or none), pa.int64())).append_column("distance", pa.array(np.concatenate(distance or [np.zeros(0)])))
+
+
+def _search_groups(asked: DataFrame, held: DataFrame, by: Sequence[str], k: int, keys: Sequence[str]) -> DataFrame:
+    """_nearest in each group of equal `by`: (query_id, *keys, distance)."""
+    # A column of its own: those that both sides have from one source reach only one side of a cogroup.
+    asked = asked.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double")))
+    schema = "query_id long, " + ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in keys) + ", distance double"
+    return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(lambda a, h: _nearest(a, h, k, keys), schema)
+
+
+def _ranked(found: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), *keys)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, keys: Sequence[str] = ("vec_id",), where: Column | None = None, block: int = 20_000) -> DataFrame:
     """K4: (query_id, *keys, distance, rank): the k nearest rows by L2 for queries (query_id, embedding).
 
-    `where` filters vectors before the search. Queries come to the driver block by block; vectors never do.
+    `where` filters vectors before the search; null embeddings take no part. block: queries, and vectors, a task holds.
     """
-    pool = vectors.where(where) if where is not None else vectors
-    pool = pool.where(F.col("embedding").isNotNull())
-    out, held = None, []
-
-    def flush() -> None:
-        nonlocal out, held
-        part = _block_knn(held, pool, k, keys)
-        out, held = part if out is None else out.unionByName(part), []
-
-    for row in queries.where("embedding is not null").select("query_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            flush()
-    if held or out is None:
-        if not held:
-            return queries.sparkSession.createDataFrame([], "query_id long, " + ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", distance double, rank int")
-        flush()
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), *keys)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    pool = (vectors.where(where) if where is not None else vectors).where("embedding is not null")
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    many = lambda df: max(1, -(-df.count() // block))
+    n_asked, n_pool = many(asked), many(pool)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    asked = asked.select("query_id", "embedding", own(n_asked, "query_id").alias("qb"), each(n_pool).alias("vb"))
+    pool = pool.select(*keys, "embedding", own(n_pool, *keys).alias("vb"), each(n_asked).alias("qb"))
+    return _ranked(_search_groups(asked, pool, ["qb", "vb"], k, keys), k, keys)
 
 
 def knn_multi(queries: DataFrame, slots: DataFrame, k: int, source: Column | None = None) -> DataFrame:
@@ -164,17 +153,49 @@ def topk_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.select("query_id", size.alias("overlap"), F.coalesce(F.col("a_first") == F.col("b_first"), F.lit(False)).alias("same_first"))
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", bucket: float = 1.0, tables: int = 12, seed: int = 3) -> DataFrame:
-    """Like K4 by random-projection buckets of Spark's own learner, ranked by exact distance.
+def centroids(vectors: DataFrame, lists: int, sample: int, rounds: int = 6) -> np.ndarray:
+    """Centres of `lists` clusters of a sample of at most `sample` rows by hash of the vector: a few rounds of k-means."""
+    rows = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    centres = x[:: max(1, len(x) // lists)][:lists].copy()
+    for _ in range(rounds):
+        own = np.argmin((centres * centres).sum(1) - 2 * x @ centres.T, axis=1)
+        for c in np.unique(own):
+            centres[c] = x[own == c].mean(axis=0)
+    return centres
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", lists: int = 32, probes: int = 20, sample: int = 10_000, block: int = 20_000) -> DataFrame:
+    """Like K4 over inverted lists: a vector is in the list of its nearest centre, a query searches its `probes`
+    nearest lists, ranked by exact distance. May give fewer than k rows.
 
-    The exact search is the contract; recall against it is measured in tests.
+    Centres are fit on a bounded sample; every vector is indexed. Lists longer than `block` are dealt into parts by hash,
+    each a task with the queries that visit it. Recall depends on lists and probes; tests measure it on the registered query.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    as_vector = lambda df, name: df.where("embedding is not null").select(F.col(name).alias("id"), array_to_vector("embedding").alias("x"))
-    pool, asked = as_vector(vectors, key), as_vector(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(pool)
-    pairs = model.approxSimilarityJoin(asked, pool, float("inf"), "distance").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias(key), "distance")
-    w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), key)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    pool = vectors.where("embedding is not null").select(key, "embedding")
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    n = pool.count()
+    if not n:
+        return _ranked(_search_groups(asked.withColumn("list", F.lit(0)), pool.withColumn("list", F.lit(0)), ["list"], k, [key]), k, [key])
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids(pool, lists, sample))
+
+    def nearest_lists(most: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    order = np.argsort((c * c).sum(1) - 2 * x @ c.T, axis=1, kind="stable")[:, :most].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
+
+        return work
+
+    def in_lists(df: DataFrame, most: int) -> DataFrame:
+        made = df.mapInArrow(nearest_lists(most), StructType([*df.schema.fields, StructField("lists", ArrayType(IntegerType()))]))
+        return made.select(*df.columns, F.explode("lists").alias("list"))
+
+    held, asked = in_lists(pool, 1), in_lists(asked, probes)
+    parts = max(1, -(-n // block))
+    held = held.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return _ranked(_search_groups(asked, held, ["list", "part"], k, [key]), k, [key])

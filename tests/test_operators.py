@@ -118,7 +118,7 @@ def test_knn_approx_recall(spark):
     x = np.random.default_rng(2).normal(size=(300, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    both = V.topk_overlap(V.knn(q, df, 10), V.knn_approx(q, df, 10, bucket=4.0), "vec_id")
+    both = V.topk_overlap(V.knn(q, df, 10), V.knn_approx(q, df, 10, lists=10, probes=7, block=60), "vec_id")
     assert both.agg(F.avg("overlap")).first()[0] >= 9
 
 
