@@ -12,8 +12,11 @@ broadcast; items are taken in parts of at most `max_phrases` phrases, each a pas
 texts, so that the broadcast stays bounded however large the benchmark is. With several parts, rows are saved with a
 number of their own, and a row's spans of all parts are merged by it before anything is cut.
 
-Nulls: a null text or item has no words. Repeated items count under each of their ids. An empty benchmark
-hits nothing; an empty table gives no rows.
+Nulls: a null text or item has no words. Repeated items count under each of their ids; an item without an id has hits but
+is not listed. Rows with a null or repeated doc_id are each scanned by their own text and keep their ids. An empty
+benchmark hits nothing; an empty table gives no rows. Ties can't occur: spans that touch are one. Extra columns are left
+out of spans and kept by remove_spans. A very long text is a shard of its own and takes memory in proportion to its
+length, several times its bytes.
 """
 
 from __future__ import annotations
@@ -224,7 +227,7 @@ def spans_of(column: pa.Array, p: Phrases) -> tuple[list, list, list, np.ndarray
         spans = merged(at[mine], at[mine] + p.lengths[phrase[mine]])
         by_words[r] = [(a - first[r], b - first[r]) for a, b in spans]
         by_bytes[r] = [(starts[a] - offsets[r], ends[b - 1] - offsets[r]) for a, b in spans]
-        items[r] = sorted({str(p.ids[i]) for k in np.unique(phrase[mine]).tolist() for i in p.items[k]})
+        items[r] = sorted({str(p.ids[i]) for k in np.unique(phrase[mine]).tolist() for i in p.items[k] if p.ids[i] is not None})
     return by_words, by_bytes, items, np.diff(first)
 
 

@@ -10,7 +10,9 @@ counted sparsely. Profiles are `top` n-grams a language; scoring is one pass wit
 
 Nulls: a null text, and one without a letter, is `und` with score 0. Rows without lang, or with a null
 doc_id, aren't learnt from. Without any labelled row every text is `und`. Ties go to the first
-language in order.
+language in order. Repeated rows and ids are predicted each by their own text; of a repeated doc_id all rows may be
+learnt from. A very long text takes memory in proportion to its length, several times its bytes. Extra columns are left
+out (kept by with_language).
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ product of a text's features and the weights (a broadcast of fixed size, 4 x 2**
 
 Nulls: a null or wordless text has no features and gets the bias's score. Labels that are null or of
 unknown documents aren't learnt from; of several labels of one doc_id the least counts. Without any
-label every score is 0.5.
+label every score is 0.5. Rows with a null or repeated doc_id are scored each; equal texts have equal scores. A very
+long text takes memory in proportion to its length, several times its bytes; extra columns are left out.
 """
 
 from __future__ import annotations

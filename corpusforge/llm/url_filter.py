@@ -4,13 +4,16 @@ Rules name a host (its subdomains included) and the beginning of a path. URLs th
 labelled ones; boosted trees learn from them and decide the rest. Features: lengths, depth, digit ratio,
 entropy of the characters, query parameters, and statistics of the host's suffix.
 
-Everything is DataFrame functions and Spark's own tree learner. Features of the suffix are shares among
-the labelled rows, joined back by suffix. Training rows are the first `max_train` labelled ones by hash of
+Everything is DataFrame functions and Spark's own tree learner. Features of the suffix are counts and shares among
+the labelled rows, joined back by suffix; a training row's are of the other folds (by hash of the URL), so that its own
+label is no part of them. Training rows are the first `max_train` labelled ones by hash of
 the URL; the learner works on partitions of them and returns a few hundred splits, which are turned into
 CASE expressions, so scoring stays inside one generated stage.
 
 Nulls: a null URL, and one without `://`, has an empty host and path, no rule, and features of zero
-lengths. With labels of one kind only, or none, undecided URLs are allowed. Repeated rows are judged alike.
+lengths. With labels of one kind only, or none, undecided URLs are allowed. Repeated rows are judged alike; rows with a null
+or repeated page_id each by their own URL. Ties between rules go to the longer host, then to a block. Very long URLs are
+read in the JVM, row by row; extra columns are left out, so their names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .durable import saved
 
+#: Folds by which a training row's suffix features leave its own label out.
+FOLDS = 4
 FEATURES = ["url_length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "entropy", "n_params", "n_hyphens", "has_fragment", "last_digits", "suffix_rows", "suffix_share"]
 
 
@@ -82,19 +87,41 @@ def tree_column(node) -> Column:
     return F.when(low, tree_column(node.leftChild())).otherwise(tree_column(node.rightChild()))
 
 
-def learn_trees(labelled: DataFrame, trees: int, depth: int) -> Column | None:
-    """The log-odds of `label` 1 as a column over FEATURES; None unless both labels occur."""
+def fit_trees(labelled: DataFrame, trees: int, depth: int):
+    """Boosted trees for `label` over FEATURES; None unless both labels occur."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     if labelled.select("label").distinct().count() < 2:
         return None
     rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(labelled).select("x", "label")
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=11).fit(rows)
+    return GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, seed=11).fit(rows)
+
+
+def log_odds(model) -> Column:
+    """The log-odds of `label` 1 by a model of fit_trees, as a column over FEATURES."""
     parts = [F.lit(float(w)) * tree_column(t._java_obj.rootNode()) for t, w in zip(model.trees, model.treeWeights, strict=True)]
     return 2 * reduce(lambda a, b: a + b, parts)
 
 
+def with_suffix(df: DataFrame, labelled: DataFrame, folds: int = 0) -> DataFrame:
+    """Adds suffix_rows and suffix_share: labelled rows of the suffix, and the share of label 1 among them (0.5 if none).
+
+    With `folds`, those of a row's own fold are left out. The labelled rows' suffixes (at most max_train) are broadcast.
+    """
+    fold = F.pmod(F.xxhash64("url", F.lit(4)), F.lit(max(1, folds)))
+    known = labelled.select(F.col("suffix").alias("own_suffix"), fold.alias("f"), "label")
+    sums = [F.count("*").cast("double").alias("n"), F.sum("label").alias("ones")]
+    total = known.groupBy("own_suffix").agg(*sums)
+    joined = df.join(F.broadcast(total), F.col("suffix") == F.col("own_suffix"), "left").drop("own_suffix")
+    n, ones = F.coalesce("n", F.lit(0.0)), F.coalesce("ones", F.lit(0.0))
+    if folds:
+        own = known.groupBy("own_suffix", "f").agg(F.count("*").cast("double").alias("own_n"), F.sum("label").alias("own_ones"))
+        joined = joined.withColumn("_f", fold).join(F.broadcast(own), (F.col("suffix") == F.col("own_suffix")) & (F.col("_f") == F.col("f")), "left").drop("own_suffix", "_f", "f")
+        n, ones = n - F.coalesce("own_n", F.lit(0.0)), ones - F.coalesce("own_ones", F.lit(0.0))
+    return joined.withColumns({"suffix_rows": n, "suffix_share": F.when(n > 0, ones / n).otherwise(0.5)})
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], trees: int = 12, depth: int = 4, max_train: int = 50_000) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of `pages` (page_id, url).
 
@@ -106,13 +133,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], trees:
     rows = lexical(with_rule(rows, rules))
     labelled = rows.where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
     labelled = saved(labelled.orderBy(F.xxhash64("url"), "page_id").limit(max_train))
-    suffixes = labelled.select(F.col("suffix").alias("own_suffix"), "label").groupBy("own_suffix").agg(F.count("*").cast("double").alias("suffix_rows"), F.avg("label").alias("suffix_share"))
-
-    def with_suffix(df: DataFrame) -> DataFrame:
-        return df.join(suffixes, F.col("suffix") == F.col("own_suffix"), "left").fillna({"suffix_rows": 0.0, "suffix_share": 0.5})
-
-    odds = learn_trees(saved(with_suffix(labelled)), trees, depth)
-    score = 1 / (1 + F.exp(-odds)) if odds is not None else F.lit(0.0)
-    scored = with_suffix(rows).withColumn("score", score)
+    model = fit_trees(saved(with_suffix(labelled, labelled, FOLDS)), trees, depth)
+    score = 1 / (1 + F.exp(-log_odds(model))) if model is not None else F.lit(0.0)
+    scored = with_suffix(rows, labelled).withColumn("score", score)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusforge.llm import text as T
 from corpusforge.llm import ann, components, decontaminate, jaccard_join, language_id, line_dedup, packing, quality, queries, sharding, token_output, tokens, url_filter
 
 
@@ -228,25 +229,24 @@ def plain_hits(text, items, window):
             for i in range(len(words) - size + 1):
                 if words[i : i + size] == w[k : k + size]:
                     hit[i : i + size] = [True] * size
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
     return len(words), sum(hit), sorted(found)
 
 
 @pytest.mark.parametrize("max_phrases", [500_000, 60])
 def test_decontamination(spark, sf, odd_docs, max_phrases):
-    docs = table(spark, sf, "documents").select("doc_id", "text").limit(60).union(odd_docs.where("doc_id is not null and doc_id not in (7, 8, 9)").selectExpr("doc_id + 10000", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").limit(60).union(odd_docs.selectExpr("doc_id + 10000", "text"))
     bench = table(spark, sf, "benchmark").limit(12)
-    extra = spark.createDataFrame([(900, "One"), (901, None), (902, ""), (903, "it s\nx"), (904, "one")], bench.schema)
+    extra = spark.createDataFrame([(900, "One"), (901, None), (902, ""), (903, "it s\nx"), (904, "one"), (None, "words come here")], bench.schema)
     bench = bench.union(extra)
     passage = bench.first().text
     docs = docs.union(spark.createDataFrame([(77777, f"Start {passage.upper()} end, and again: {passage} {passage}")], docs.schema))
     items = [(r.item_id, r.text) for r in bench.collect()]
     out = decontaminate.contaminated_spans(docs, bench, 10, max_phrases).collect()
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    assert len(out) == len(texts)
-    for r in out:
-        n_hit = sum(s.end - s.start for s in r.word_spans)
-        assert (r.n_words, n_hit, list(r["items"])) == plain_hits(texts[r.doc_id], items, 10), r.doc_id
+    rows = docs.collect()
+    assert len(out) == len(rows)
+    want = sorted((r.doc_id or 0, *plain_hits(r.text, items, 10)) for r in rows)
+    assert sorted((r.doc_id or 0, r.n_words, sum(s.end - s.start for s in r.word_spans), list(r["items"])) for r in out) == want
 
 
 def test_suffix_search_equals_find():
@@ -301,6 +301,56 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_equals_plain(spark):
+    """Features, weights and scores against a dictionary version: plain words, shapes and repeats, plain FTRL."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").where("doc_id < 60").select("doc_id", "text").collect()
+    docs = [(r.doc_id, r.text) for r in docs] + [(900, None), (901, ""), (902, "Ab Ab 12x éÉ"), (903, "Ab Ab 12x éÉ")]
+    hash_of = lambda raw: T.hash_one(raw) if raw else 0
+    mix = lambda x: int(T.mix(np.array([x % 2**64], np.uint64))[0])
+
+    def plain_features(text):
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+        kind = lambda b: 0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b
+        shape = lambda w: bytes(k for i, k in enumerate(map(kind, w)) if i == 0 or k != kind(w[i - 1]))
+        lower = [bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in w) for w in words]
+        out = Counter()
+        for salt, stream in ((1, [hash_of(w) for w in lower]), (2, [hash_of(shape(w)) for w in words])):
+            for i, x in enumerate(stream):
+                after = stream[i + 1] if i + 1 < len(stream) else 0
+                out[mix(x + salt) >> 64 - quality.BITS] += 1
+                out[mix(x * int(T.RADIX) + after + salt + 8) >> 64 - quality.BITS] += 1
+        for i, w in enumerate(lower):
+            out[mix(21 if i + 1 < len(lower) and lower[i + 1] == w else 20) >> 64 - quality.BITS] += 1
+        return {k: v * quality.SCALE / sum(out.values()) for k, v in out.items()}
+
+    feats = {i: plain_features(t) for i, t in docs}
+    labels = {i: i % 3 % 2 for i, _ in docs if i % 7}
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        over = abs(z[k]) - 1e-4
+        return 0.0 if over <= 0 else -np.sign(z[k]) * over / ((1 + np.sqrt(n[k])) / 0.1 + 1e-4)
+
+    def margin(f):
+        return weight("bias") + sum(v * weight(k) for k, v in f.items())
+
+    rows, order = sorted(labels), np.random.default_rng(7)
+    for _ in range(3):
+        for j in order.permutation(len(rows)):
+            f, w = feats[rows[j]] | {"bias": 1.0}, {}
+            p = 1 / (1 + np.exp(-margin(feats[rows[j]])))
+            w = {k: weight(k) for k in f}
+            for k, v in f.items():
+                g = (p - labels[rows[j]]) * v
+                z[k] += g - (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / 0.1 * w[k]
+                n[k] += g * g
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    model = quality.train(df, spark.createDataFrame(list(labels.items()), "doc_id long, label int"))
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert got.keys() == feats.keys() and got[902] == got[903] and got[900] == got[901]
+    assert all(abs(got[i] - 1 / (1 + np.exp(-margin(f)))) < 1e-4 for i, f in feats.items())
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (4, 0), (6, 1), (None, 1), (99, 0), (8, None)], "doc_id long, label int")
     model = quality.train(odd_docs, labels)
@@ -426,6 +476,9 @@ def test_multiprobe_odd_vectors(spark):
         got[r.query_id].append(r.vec_id)
     assert got == {0: [105, *range(1, 20)], 20: [105, *range(0, 19)]}
     assert ann.search(v.limit(0), v).count() == 0
+    clash = v.withColumns({c: F.lit("clash") for c in ("t", "bucket", "salt", "class", "score", "query", "rank", "v")})
+    again = ann.search(clash, clash.where("vec_id % 20 = 0"), bucket_rows=3, group_rows=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in again) == sorted((q, k + 1, x) for q, xs in got.items() for k, x in enumerate(xs))
 
 
 # -- shards ----------------------------------------------------------------------------------------------------------
@@ -528,6 +581,36 @@ def test_url_rules(spark, sf):
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_trees_as_columns_equal_the_model(spark):
+    """The CASE expressions give the learner's own probability; a row's suffix share leaves its fold out."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    pages = table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    rows = pages.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    rows = url_filter.lexical(rows).withColumn("label", F.pmod(F.length("url") + F.length("path"), F.lit(2)).cast("double"))
+    full = url_filter.with_suffix(rows, rows, url_filter.FOLDS)
+    model = url_filter.fit_trees(full, 4, 3)
+    scored = model.transform(VectorAssembler(inputCols=url_filter.FEATURES, outputCol="x").transform(full))
+    apart = scored.select(F.abs(vector_to_array("probability")[1] - 1 / (1 + F.exp(-url_filter.log_odds(model)))).alias("d")).agg(F.max("d"), F.count("*")).first()
+    assert apart[0] < 1e-9 and apart[1] == pages.count()
+    fold = {r.page_id: r.f for r in rows.select("page_id", F.pmod(F.xxhash64("url", F.lit(4)), F.lit(url_filter.FOLDS)).alias("f")).collect()}
+    plain = [(r.page_id, r.suffix, r.label) for r in rows.collect()]
+    for r in full.collect():
+        others = [y for i, s, y in plain if s == r.suffix and fold[i] != fold[r.page_id]]
+        assert r.suffix_rows == len(others) and abs(r.suffix_share - (np.mean(others) if others else 0.5)) < 1e-9
+    assert url_filter.fit_trees(full.where("label = 1"), 2, 2) is None
+
+
+def test_urls_long_tied_and_repeated(spark):
+    long = "http://a.org/es/" + "x/" * 40_000
+    rows = [(1, long), (1, long), (None, "http://b.net/de/1"), (None, "http://b.net/de/1"), (2, "http://t.co/ab"), (3, long[:-1] + "?" + "q=1&" * 9000)]
+    rules = [("block", "org", "/es/"), ("allow", "net", "/de/"), ("block", "t.co", "/a"), ("allow", "co", "/ab"), ("allow", "t.co", "/a")]
+    got = sorted(((r.page_id or 0, len(r.path), r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()))
+    path = len(long) - len("http://a.org")
+    assert got == [(0, 5, "net/de/", "allow")] * 2 + [(1, path, "org/es/", "block")] * 2 + [(2, 3, "t.co/a", "block"), (3, path - 1, "org/es/", "block")]
+
+
 def test_url_trees_learn_the_rules(spark):
     rows = [(i, f"http://h{i}.bad{i % 3}.test/{'x' * (i % 9)}{'9' * 12}") if i % 2 else (i, f"http://h{i}.good.test/about") for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
@@ -638,6 +721,42 @@ def test_pipeline_stages(spark, sf):
     assert sorted(map(str, run.select(sorted(run.columns)).collect())) == sorted(map(str, spark.createDataFrame(out).select(sorted(run.columns)).collect()))
 
 
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    """Every stage with nulls, empty and long texts, ties, repeated rows and ids, clashing columns; and no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(1, "no id but words to read here"), (None, "a line of its own"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs, kept = odd_docs, []
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema == docs.schema, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        kept.append(sorted((r.doc_id or 0 for r in docs.collect())))
+        assert all(stage(spark, no_docs, sf).count() == 0 for _ in [0]), name
+    assert kept[0] == [0, 4, 5, 6, 7, 7, 8, 9, 11]  # a letter in the text
+    assert kept[1] == [0, 4, 6, 7, 8, 11] or kept[1] == [0, 4, 6, 8, 11]  # 5 repeats 4, 7 has near copies of 6's lines
+    assert set(kept[2]) <= set(kept[1]) and 0 not in kept[3] and 6 in kept[3]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert texts[6] == "The same words come here again and again\n stands here now"
+    pieces = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    check_pieces(pieces, {k: [t] for k, t in texts.items()}, 2048)
+    assert pipeline.STAGES[-1][1](spark, no_docs, sf).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in want.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_query_digests(spark, sf):
     rows = queries.op3_decontamination(spark, sf).collect()
     empty = hashlib.sha256(b"").hexdigest()
