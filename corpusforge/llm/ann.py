@@ -9,10 +9,11 @@ tables are merged and ranked by the exact inner product in double precision. A q
 by all vectors.
 
 How it runs on Spark: equal vectors are one class; of a class at most k + 1 ids can matter. Buckets larger
-than `bucket_rows` are salted and their probes repeated for each salt. A table's buckets are dealt to groups
-of about `group_rows` vectors; a group is one task's cogroup of vectors and probes, from which at most k
-candidates a query go on. Every vector is indexed and every query answered; only the largest norm and the
-number of rows reach the driver. The functions come from a seed.
+than `bucket_rows` (more where MOST_LARGE buckets would not do) are dealt into parts and their probes repeated for
+each. A table's buckets are dealt to groups of about `group_rows` vectors; a group is one task's cogroup of vectors
+and of the queries that visit it, each with its list of buckets, from which at most k candidates a query go on. Every
+vector is indexed and every query answered; only the largest norm, the number of rows and the sizes of at most
+MOST_LARGE large buckets reach the driver. The functions come from a seed.
 
 Nulls: vectors that are null, all zero, or hold a null or a number that isn't finite take no part, neither
 as query nor as candidate. All vectors have one length. Ties go to the smaller vec_id; a repeated vec_id
@@ -23,6 +24,7 @@ number of functions has a fifth or more of 50,000 vectors as candidates (README.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +37,10 @@ from .durable import saved
 from .text import mix
 
 
+#: Buckets that may be larger than a part, over all tables: what is broadcast of them stays below 3 MB.
+MOST_LARGE = 100_000
+
+
 def hash_functions(dims: int, tables: int, functions: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Directions [dims, tables x functions] and offsets, from the seed."""
     rng = np.random.default_rng(seed)
@@ -61,6 +67,28 @@ def bucket_keys(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+class Salts:
+    """How many parts each bucket is dealt into: 1, but for the given (table, bucket, parts); and the group of a part."""
+
+    def __init__(self, large: list[tuple[int, int, int]], tables: int, groups: int):
+        self.groups = np.uint64(groups)
+        by_table = [sorted((b, k) for t, b, k in large if t == own) for own in range(tables)]
+        self.buckets = [np.array([b for b, _ in x], np.int64) for x in by_table]
+        self.parts = [np.array([k for _, k in x] + [1], np.int64) for x in by_table]
+
+    def of(self, t: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        out = np.ones(len(bucket), np.int64)
+        for own, (known, parts) in enumerate(zip(self.buckets, self.parts, strict=True)):
+            if len(known):
+                mine = np.flatnonzero(t == own)
+                place = np.minimum(np.searchsorted(known, bucket[mine]), len(known) - 1)
+                out[mine] = np.where(known[place] == bucket[mine], parts[place], 1)
+        return out
+
+    def group(self, bucket: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (mix(bucket.view(np.uint64) ^ mix(salt.astype(np.uint64) + np.uint64(1))) % self.groups).astype(np.int32)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10, functions: int = 8, width: float = 2.0, probes: int = 100, seed: int = 5, group_rows: int = 50_000, bucket_rows: int = 5_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors`, itself left out.
 
@@ -97,29 +125,52 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
     def buckets_of(v: pd.Series) -> pd.Series:
         return pd.Series(list(bucket_keys(np.floor(projected(v, largest)).astype(np.int64))))
 
-    @F.pandas_udf("array<array<long>>")
-    def probes_of(v: pd.Series) -> pd.Series:
-        out = []
-        for place in projected(v, None):
-            cell = np.floor(place).astype(np.int64)
-            up = (1 - (place - cell)) ** 2
-            down = (place - cell) ** 2
-            cost = up @ (moves > 0).T + down @ (moves < 0).T
-            best = np.argsort(cost, axis=1, kind="stable")[:, : probes + 1]
-            out.append([bucket_keys(cell[t] + moves[best[t]]).tolist() for t in range(tables)])
-        return pd.Series(out)
+    def probes_of(v: pd.Series) -> np.ndarray:
+        """[query, table, probe]: the buckets to visit, in order of estimated success."""
+        place = projected(v, None)
+        cell = np.floor(place).astype(np.int64)
+        up, down = (1 - (place - cell)) ** 2, (place - cell) ** 2
+        cost = up @ (moves > 0).T + down @ (moves < 0).T
+        best = np.argsort(cost, axis=2, kind="stable")[:, :, : probes + 1]
+        return bucket_keys(cell[:, :, None, :] + moves[best])
 
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("class"))
     asked_classes = asked.groupBy("v").agg(F.min("vec_id").alias("class"))
-    indexed = classes.withColumn("keys", buckets_of("v")).select("class", "v", F.posexplode("keys").alias("t", "bucket"))
-    indexed = saved(indexed)
-    large = indexed.groupBy("t", "bucket").count().where(F.col("count") > bucket_rows).select("t", "bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("salts"))
-    indexed = indexed.join(large, ["t", "bucket"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("class"), "salts").cast("int"), F.lit(0)))
-    group = F.pmod(F.xxhash64("bucket", "salt"), F.lit(groups)).cast("int").alias("g")
-    indexed = indexed.select("t", group, "bucket", "salt", "class", "v")
-    visited = asked_classes.withColumn("probes", probes_of("v")).select("class", "v", F.posexplode("probes").alias("t", "bucket")).select("class", "v", "t", F.explode("bucket").alias("bucket"))
-    visited = visited.join(large, ["t", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))))
-    visited = visited.select("t", group, "bucket", "salt", "class", "v").groupBy("t", "g", "class").agg(F.first("v").alias("v"), F.collect_list(F.struct("bucket", "salt")).alias("cells"))
+    indexed = saved(classes.withColumn("keys", buckets_of("v")))
+    most = max(bucket_rows, tables * n // MOST_LARGE)
+    counts = indexed.select(F.posexplode("keys").alias("t", "bucket")).groupBy("t", "bucket").count().where(F.col("count") > most)
+    salts = Salts([(r.t, r.bucket, -(-r["count"] // most)) for r in counts.collect()], tables, groups)
+    shared = vectors.sparkSession.sparkContext.broadcast(salts)
+
+    def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, tables).T.ravel()
+                row, t = np.tile(np.arange(batch.num_rows), tables), np.repeat(np.arange(tables), batch.num_rows)
+                salt = (mix(batch.column("class").to_numpy().view(np.uint64))[row] % shared.value.of(t, bucket).astype(np.uint64)).astype(np.int32)
+                own = batch.select(["class", "v"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(shared.value.group(bucket, salt)), pa.array(bucket), pa.array(salt), *own.columns], ["t", "g", "bucket", "salt", "class", "v"])
+
+    def visit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                bucket = probes_of(batch.column("v").to_pandas())
+                row, t = (np.repeat(x, bucket.shape[2]) for x in (np.repeat(np.arange(batch.num_rows), tables), np.tile(np.arange(tables), batch.num_rows)))
+                times = shared.value.of(t, bucket.ravel())
+                salt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, t, bucket = (np.repeat(x, times) for x in (row, t, bucket.ravel()))
+                g = shared.value.group(bucket, salt)
+                order = np.lexsort((g, t, row))
+                row, t, bucket, salt, g = (x[order] for x in (row, t, bucket, salt, g))
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
+                ends = pa.array(np.append(first, len(row)), pa.int32())
+                own = batch.select(["class", "v"]).take(pa.array(row[first]))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(bucket)), pa.ListArray.from_arrays(ends, pa.array(salt, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(t[first], pa.int32()), pa.array(g[first]), *own.columns, *lists], ["t", "g", "class", "v", "buckets", "salts"])
+
+    placed = indexed.mapInArrow(index_rows, "t int, g int, bucket long, salt int, class long, v array<double>")
+    visited = asked_classes.select("class", "v").mapInArrow(visit_rows, "t int, g int, class long, v array<double>, buckets array<long>, salts array<int>")
 
     def nearest(index: pa.Table, ask: pa.Table) -> pa.Table:
         names = ["query", "class", "score"]
@@ -131,10 +182,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
         for i, cell in enumerate(zip(index.column("bucket").to_pylist(), index.column("salt").to_pylist(), strict=True)):
             where.setdefault(cell, []).append(i)
         visits: dict[tuple[int, int], list[int]] = {}
-        for q, cells in enumerate(ask.column("cells").to_pylist()):
-            for c in cells:
-                if (c["bucket"], c["salt"]) in where:
-                    visits.setdefault((c["bucket"], c["salt"]), []).append(q)
+        for q, cells in enumerate(zip(ask.column("buckets").to_pylist(), ask.column("salts").to_pylist(), strict=True)):
+            for cell in zip(*cells, strict=True):
+                if cell in where:
+                    visits.setdefault(cell, []).append(q)
         question = _matrix(ask)
         best = np.full((len(question), k + 1), -np.inf)
         found = np.full((len(question), k + 1), -1, np.int64)
@@ -155,13 +206,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
         who = np.broadcast_to(ask.column("class").to_numpy()[:, None], found.shape)
         return pa.table([pa.array(who[keep]), pa.array(found[keep]), pa.array(best[keep])], names)
 
-    near = visited.groupBy("t", "g").cogroup(indexed.groupBy("t", "g"))
+    near = visited.groupBy("t", "g").cogroup(placed.groupBy("t", "g"))
     merged = near.applyInArrow(lambda ask, index: nearest(index, ask), "query long, class long, score double")
     merged = saved(merged.groupBy("query", "class").agg(F.max("score").alias("score")))
-    # Queries with too few candidates see all vectors: those of one table, in its groups.
+    # Queries with too few candidates see all vectors, dealt to groups by hash.
     found = merged.groupBy("query").agg(F.count("*").alias("found"))
     few = asked_classes.join(found, F.col("class") == F.col("query"), "left").where(F.coalesce("found", F.lit(0)) <= k)
-    few = few.select(F.lit(0).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "v")
+    own_group = F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int")
+    few = few.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "v")
 
     def scan(ask: pa.Table, index: pa.Table) -> pa.Table:
         out = []
@@ -174,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "class", "score"])
 
-    scanned = few.groupBy("g").cogroup(indexed.where("t = 0").select("g", "class", "v").groupBy("g")).applyInArrow(scan, "query long, class long, score double")
+    scanned = few.groupBy("g").cogroup(indexed.select(own_group.alias("g"), "class", "v").groupBy("g")).applyInArrow(scan, "query long, class long, score double")
     merged = merged.unionByName(scanned).groupBy("query", "class").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     merged = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")

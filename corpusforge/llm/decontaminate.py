@@ -9,8 +9,9 @@ wavelet ranks; occurrences are located by walking to a sampled suffix; spans tha
 
 How it runs on Spark: one pass over the documents without a shuffle. Phrases are the only thing
 broadcast; items are taken in parts of at most `max_phrases` phrases, each a pass of its own over the original
-texts, so that the broadcast stays bounded however large the benchmark is. With several parts, rows are saved with a
-number of their own, and a row's spans of all parts are merged by it before anything is cut.
+texts, so that the broadcast stays bounded however large the benchmark is (items come to the driver one part at a time).
+With several parts, rows are saved with a number of their own, each part's spans are saved and its phrases released, and a
+row's spans of all parts are merged by its number before anything is cut.
 
 Nulls: a null text or item has no words. Repeated items count under each of their ids; an item without an id has hits but
 is not listed. Rows with a null or repeated doc_id are each scanned by their own text and keep their ids. An empty
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,10 +199,9 @@ SPANS = "doc_id long, n_words long, word_spans array<struct<start:long,end:long>
 ROW = "_decontaminate_row"
 
 
-def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """SPANS of every row, after its number where `docs` has one."""
+def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """SPANS of every row by the broadcast Phrases, after its number where `docs` has one."""
     numbered = [ROW] if ROW in docs.columns else []
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -239,7 +240,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     parts = item_parts(benchmark, window, max_phrases)
     first, second = next(parts, None) or Phrases([], window), next(parts, None)
     if second is None:
-        return _scan(docs, first)
+        return _scan(docs, docs.sparkSession.sparkContext.broadcast(first))
     return _merged_scans(_numbered(docs), chain([first, second], parts)).drop(ROW)
 
 
@@ -252,8 +253,11 @@ def _merged_scans(numbered: DataFrame, parts: Iterator[Phrases]) -> DataFrame:
     """(ROW, SPANS) of every row over all parts: spans that touch or overlap in words are one, as within a part."""
     both = None
     for p in parts:
-        found = _scan(numbered, p).withColumn("both", F.arrays_zip("word_spans", "byte_spans"))
-        both = found if both is None else both.unionByName(found.where("size(both) > 0"))
+        shared = numbered.sparkSession.sparkContext.broadcast(p)
+        found = _scan(numbered, shared).withColumn("both", F.arrays_zip("word_spans", "byte_spans"))
+        found = saved(found if both is None else found.where("size(both) > 0"))
+        shared.destroy()  # one part's phrases at a time
+        both = found if both is None else both.unionByName(found)
     spans = both.groupBy(ROW).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("both"))).alias("both"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     last = lambda acc: F.element_at(acc, -1)
     longer = lambda a, b, c: F.struct(a[c]["start"].alias("start"), F.greatest(a[c]["end"], b[c]["end"]).alias("end")).alias(c)
