@@ -21,6 +21,7 @@ UNICODE_SPACES = "".join(map(chr, [160, 5760, 8192, 8193, 8194, 8195, 8196, 8197
 ENTITIES = [("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 #: Dashes that count as a hyphen in labels (fixed values).
 DASHES = "‐‑‒–—―−﹘﹣－"
+#: Endings of table names that say their kind (fixed values).
 STEM_SUFFIXES = ["TL", "VL", "V", "B", "F", "M", "ALL"]
 
 
@@ -109,7 +110,9 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def norm_label(c: Column, nfkc: bool = True) -> Column:
     """NFKC, lower case, dashes as hyphens with a space on each side as found, white space collapsed."""
-    t = F.translate(F.lower(_nfkc(c) if nfkc else c), DASHES, "-" * len(DASHES))
+    # NFKC leaves ASCII as it is, so only other values go through Python.
+    other = F.when(~c.rlike(r"^[\x00-\x7F]*$"), c)
+    t = F.translate(F.lower(F.coalesce(_nfkc(other), c) if nfkc else c), DASHES, "-" * len(DASHES))
     t = F.regexp_replace(t, r"\s*-\s+|\s+-\s*", " - ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

@@ -90,10 +90,12 @@ def list_by_prefix(requests: DataFrame, corpus: DataFrame, sep: str = ".") -> Da
 
 
 def near_titles(requests: DataFrame, titles: DataFrame, n: int = 8) -> DataFrame:
-    """P10: (request, title): the first n titles that contain the request. Candidates share its first three letters."""
+    """P10: (request, title): the first n titles that contain the request. Candidates share its first three letters, or all of
+    a shorter request's."""
     t = titles.select("title").distinct()
-    grams = t.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - 2, F.lit(1))), lambda i: F.lower(F.substr("title", i, F.lit(3)))))))
-    r = requests.select("request").distinct().where(F.length("request") >= 3).withColumn("g", F.lower(F.left("request", F.lit(3))))
+    of = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - (size - 1), F.lit(1))), lambda i: F.lower(F.substr("title", i, F.lit(size))))
+    grams = t.withColumn("g", F.explode(F.array_distinct(F.concat(of(1), of(2), of(3)))))
+    r = requests.select("request").distinct().where("request <> ''").withColumn("g", F.lower(F.left("request", F.lit(3))))
     hits = r.join(grams, "g").where(F.contains(F.lower("title"), F.lower("request"))).select("request", "title").distinct()
     return top_n(hits, ["request"], [F.col("title")], n)
 

@@ -63,7 +63,7 @@ def phrase_search(queries: DataFrame, docs: DataFrame, field: str, key: str) ->
     q = q.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     whole = q.where(F.col("at") < F.col("n") - 1).join(index, F.col("term") == F.col("token"))
     last = q.where(F.col("at") == F.col("n") - 1)
-    starts = index.select("token").distinct().withColumn("stem", F.left("token", F.lit(2)))
+    starts = index.select("token").distinct().withColumn("stem", F.explode(F.array_distinct(F.array(F.left("token", F.lit(1)), F.left("token", F.lit(2))))))
     last = last.join(starts, (F.left("term", F.lit(2)) == F.col("stem")) & F.startswith("token", "term")).select("query_id", "at", "term", "n", "token").join(index, "token")
     cols = ["query_id", "n", key, (F.col("pos") - F.col("at")).alias("start"), "at"]
     runs = whole.select(*cols).unionByName(last.select(*cols)).groupBy("query_id", "n", key, "start").agg(F.countDistinct("at").alias("hit"))
@@ -85,6 +85,8 @@ def _near(requests: DataFrame, names: DataFrame, bound: Column) -> DataFrame:
     letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
     cols = ["request", "q", "bound", "name", "key"]
     by_gram = r.withColumn("gram", F.explode(_grams(F.col("q")))).join(names.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").select(*cols)
+    # Before pairs of several common bigrams are made one: longer differences than the bound are out, but for containment.
+    by_gram = by_gram.where((F.abs(F.length("q") - F.length("key")) <= F.col("bound")) | F.contains("key", "q") | F.contains("q", "key"))
     letter_in_name = r.where(F.length("q") == 1).withColumn("gram", F.col("q")).join(names.withColumn("gram", letters(F.col("key"))), "gram").select(*cols)
     letter_in_request = r.withColumn("gram", letters(F.col("q"))).join(names.where(F.length("key") == 1).withColumn("gram", F.col("key")), "gram").select(*cols)
     lengths = F.explode(F.sequence(F.greatest(F.length("q") - F.col("bound"), F.lit(1)), F.length("q") + F.col("bound")))
@@ -151,7 +153,9 @@ def propose_aliases(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame
     left, right = side(a, "a"), side(b, "b")
     by = lambda p: F.explode(_grams(match_key(F.col(f"{p}_name")), 4)).alias("gram")
     pairs = left.select("a_name", "a_payload", by("a")).join(right.select("b_name", "b_payload", by("b")), "gram").drop("gram").distinct()
-    pairs = pairs.where(F.col("a_name") != F.col("b_name")).withColumn("ratio", F.round(_ratio(match_key(F.col("a_name")), match_key(F.col("b_name"))), 4)).where(F.col("ratio") >= least)
+    n, m = (F.length(match_key(F.col(c))) for c in ("a_name", "b_name"))
+    pairs = pairs.where((F.col("a_name") != F.col("b_name")) & (2 * F.least(n, m) >= least * (n + m)))  # the most that the ratio can be
+    pairs = pairs.withColumn("ratio", F.round(_ratio(match_key(F.col("a_name")), match_key(F.col("b_name"))), 4)).where(F.col("ratio") >= least)
     best = lambda p: F.rank().over(Window.partitionBy(f"{p}_name").orderBy(F.desc("ratio")))
     only = lambda p: F.count("*").over(Window.partitionBy(f"{p}_name"))
     top = pairs.withColumns({"ra": best("a"), "rb": best("b")}).where("ra = 1 and rb = 1").withColumns({"na": only("a"), "nb": only("b")})

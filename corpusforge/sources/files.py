@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -155,8 +155,9 @@ def export_inventory(df: DataFrame, folder: str, order: Sequence[Column], top: i
 
 def load_with_count(df: DataFrame, path: str) -> int:
     """Writes df and raises unless as many rows are read back; returns their number."""
-    df.write.mode("overwrite").parquet(path)
-    n, m = df.count(), df.sparkSession.read.parquet(path).count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    n, m = seen.get["n"], df.sparkSession.read.parquet(path).count()
     if n != m:
         raise GateError(f"load_with_count: {m} of {n} rows in {path}")
     return n
