@@ -174,6 +174,22 @@ def test_jaccard_chains_and_blocks(spark):
         assert got == {i: (n[i], root[i]) for i in range(len(texts))}
 
 
+def test_hot_lists_lose_no_link(spark, monkeypatch):
+    """With every list hot (all rows sampled), each class is tied by size class: the same components."""
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 1)
+    docs = table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id")
+    rows = docs.collect()
+    for percent, size in ((90, 3), (80, 5), (100, 3)):
+        n, root = plain_components([r.text for r in rows], size, percent)
+        classes = jaccard_join.set_rows(docs, size, percent).where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select("x.*")
+        edges = jaccard_join.candidates(classes, percent, hot_rows=1)
+        group = {r.node: r.component for r in components.components(edges).collect()}
+        held = {r.doc_id for r in classes.collect()}
+        for i, r in enumerate(rows):
+            if r.doc_id in held and rows[root[i]].doc_id in held and root[i] != i:
+                assert group[r.doc_id] == group[rows[root[i]].doc_id], (percent, r.doc_id)
+
+
 def test_jaccard_odd_rows(odd_docs, no_docs):
     rows = jaccard_join.similar_documents(odd_docs, 3, 90).collect()
     assert len(rows) == odd_docs.count()
