@@ -20,7 +20,7 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 #: Contractions that the vocabulary keeps as words (fixed values).
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 SPACE, LETTER, DIGIT, OTHER = range(4)
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 500_000
 
 
 def default_path() -> str:
