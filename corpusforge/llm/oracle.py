@@ -1,4 +1,4 @@
-"""DuckDB SQL for the rows of the queries that SQL can express: op2, op3 and op10."""
+"""DuckDB SQL for the rows of the queries that SQL can express: op2, op3, op10 and op12."""
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -39,3 +39,26 @@ dropped AS (SELECT doc_id, line_no FROM lines l JOIN firsts f ON l.w = f.w WHERE
 SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, count(line_no) AS n_dropped, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no), '') AS dropped
 FROM documents LEFT JOIN dropped USING (doc_id) WHERE text IS NOT NULL GROUP BY doc_id, text
 """
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds written out: each assigns every part to its nearest entry and floors the means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select p.vec_id, p.label, p.part, p.v, arg_min(b.entry, b.d) as entry, min(b.d // {entries}) as d from p, lateral (
+  select entry, {entries} * list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::bigint + entry as d from b{r} c where c.part = p.part) b group by all)""")
+        if r < rounds:
+            steps.append(f"""m{r} as (select part, entry, i, sum(x)::bigint as s, count(*) as n from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as i from a{r}) group by all),
+b{r + 1} as materialized (select b.part, b.entry, coalesce(m.v, b.v) as v from b{r} b left join (
+  select part, entry, list((s - ((s % n) + n) % n) // n order by i) as v from m{r} group by all) m on m.part = b.part and m.entry = b.entry)""")
+    return f"""with kept as (select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as w from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, part, w[part * (len(w) // {parts}) + 1 : (part + 1) * (len(w) // {parts})] as v from kept, range({parts}) r(part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from p where vec_id in (select vec_id from kept order by vec_id limit {entries})),
+{", ".join(steps)},
+books as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from b{rounds}),
+rows as (select vec_id, label, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from a{rounds} group by all)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from rows, books"""
+
+
+OP12 = _vector_codes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, durable, jaccard_join, language_id, line_dedup, oracle, packing, quality, sharding, token_output, url_filter
+from . import ann, byte_bpe, decontaminate, durable, jaccard_join, language_id, line_dedup, oracle, packing, periodic_runs, quality, sharding, token_output, url_filter, vector_codes
 
 #: Rules of the URL filter's query (fixed values): verdict, host, path prefix.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -85,6 +85,47 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_counts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_ngram_jaccard, op3_decontamination, op4_quality, op5_training_order, op6_multiprobe, op7_language_id, op8_bin_packing, op9_url_filter, op10_line_dedup)}
-#: Tokenising, learnt scores, hashing and placement have no SQL; tests hold those queries against plain versions.
-ORACLE_SQL = {"op2_ngram_jaccard": oracle.OP2, "op3_decontamination": oracle.OP3, "op10_line_dedup": oracle.OP10}
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by crc32 of their ids, get a periodic tail: words from `_a` on repeat the `_p` words there."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("_h"))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = hashed.withColumns({"_w": words, "_g": F.floor(F.col("_h") / 10)}).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, (F.col("_g") % F.col("_n")).cast("int")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)).cast("int"))
+    tailed = F.transform("_w", lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.get("_w", F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    return rows.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(tailed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of at least four periods and six words in all documents, a tenth of which get a periodic tail."""
+    found = periodic_runs.find_runs(_with_tails(_table(spark, sf_dir, "documents")), least=6, exponent=4)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r.alias("run"))))
+    best = found.withColumn("best", longest.getField("run"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    every = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    r = F.col("best")
+    milli = F.floor(1000 * r["length"] / r["period"])
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"), milli.alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: eight parts, 16 entries each, six rounds; errors by row and by label."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train(rows, parts=8, entries=16, rounds=6, scale=4096)
+    coded = vector_codes.with_label_error(vector_codes.encode(rows, books))
+    numbers = ",".join(str(c) for book in books.final for entry in book for c in entry)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return coded.select("vec_id", code.alias("code"), "error", "label_error", F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids of the multilingual byte-level vocabulary, and decoded again."""
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    back = byte_bpe.decode(ids)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixture_packing, op2_ngram_jaccard, op3_decontamination, op4_quality, op5_training_order, op6_multiprobe, op7_language_id, op8_bin_packing, op9_url_filter, op10_line_dedup, op11_periodic_runs, op12_vector_codes, op13_byte_bpe)}
+#: Tokenising, learnt scores, hashing, placement and runs have no SQL; tests hold those queries against plain versions.
+ORACLE_SQL = {"op2_ngram_jaccard": oracle.OP2, "op3_decontamination": oracle.OP3, "op10_line_dedup": oracle.OP10, "op12_vector_codes": oracle.OP12}
