@@ -60,53 +60,6 @@ def tag_mentions(texts: DataFrame, dictionary: DataFrame, key: str, text: str) -
     return words.join(names, "name").join(froms, [key, "name"], "left").select(key, "name", F.coalesce("_f", F.lit(False)).alias("after_from"))
 
 
-def call_facts(texts: DataFrame, objects: DataFrame, packages: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """M4: (key, seq, package_name, function_name, paren): dotted calls. Comments and literals are masked first.
-
-    First calls with parentheses count; then bare references whose package is in the dictionary or called in
-    `least` statements, isn't an object and holds an underscore, and whose name isn't an alias in that text.
-    """
-    masked = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "), r"'[^']*'", "''")
-    upper = texts.select(key, F.upper(masked).alias("_t"))
-    every = F.regexp_extract_all(F.col("_t"), F.lit(r"([A-Z][A-Z0-9_$#]*\.[A-Z][A-Z0-9_$#]*\s*\(?)"), F.lit(1))
-    found = upper.select(key, "_t", F.posexplode(every).alias("seq", "ref"))
-    found = found.select(key, "seq", F.substring_index("ref", ".", 1).alias("package_name"), F.regexp_extract("ref", r"\.([A-Z0-9_$#]+)", 1).alias("function_name"), F.endswith("ref", F.lit("(")).alias("paren"), F.regexp_extract_all(F.col("_t"), F.lit(r"\b(?:FROM|JOIN)\s+[A-Z0-9_.]+\s+(?:AS\s+)?([A-Z0-9_]+)"), F.lit(1)).alias("_aliases"))
-    calls = found.where("paren")
-    seen = calls.groupBy("package_name").agg(F.countDistinct(key).alias("_n")).where(F.col("_n") >= least).select("package_name")
-    names = packages.select(F.upper("name").alias("package_name")).union(seen).distinct()
-    names = names.where(F.contains("package_name", F.lit("_"))).join(objects.select(F.upper("name").alias("package_name")), "package_name", "left_anti")
-    bare = found.where(~F.col("paren") & ~F.array_contains("_aliases", F.col("package_name"))).join(names, "package_name", "left_semi")
-    cols = [key, "seq", "package_name", "function_name", "paren"]
-    return calls.select(*cols).unionByName(bare.select(*cols))
-
-
-def api_inventory(calls: DataFrame, corpus: DataFrame, tables: DataFrame, modules: DataFrame, min_module: int = 5, top: int = 8, samples: int = 2) -> DataFrame:
-    """M5: per (package_name, function_name): statements, calls, sources, argument counts, top tables, best samples
-    and module (the mode of its package's prefix with min_module rows, else of its own statements' tables).
-
-    calls: (sql_hash, package_name, function_name, arg_count); corpus: (sql_hash, source, chars);
-    tables: (sql_hash, table_name); modules: (name, module).
-    """
-    key = ["package_name", "function_name"]
-    base = calls.groupBy(*key).agg(F.countDistinct("sql_hash").alias("statements"), F.count("*").alias("calls"), F.sort_array(F.collect_set("arg_count")).alias("arg_counts"))
-    once = calls.select("sql_hash", *key).distinct()
-    joined = once.join(corpus, "sql_hash")
-    sources = joined.groupBy(*key, "source").agg(F.count("*").alias("n")).groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("by_source"))
-    counts = once.join(tables.select("sql_hash", "table_name").distinct(), "sql_hash").groupBy(*key, "table_name").agg(F.count("*").alias("n"))
-    ranked = lambda df, order, n, name: top_n(df, key, order, n).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), name))).alias("_l")).select(*key, F.transform("_l", lambda x: x[name]).alias("top_" + name))
-    top_tables = ranked(counts, [F.desc("n"), F.col("table_name")], top, "table_name")
-    best = ranked(joined.withColumn("n", F.col("chars")), [F.desc("chars"), F.col("sql_hash")], samples, "sql_hash")
-    prefix = C.prefix_of(F.col("name"))
-    by_prefix = modules.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("_n"), F.mode("module", True).alias("_m")).where(F.col("_n") >= min_module)
-    by_use = counts.join(modules.select(F.col("name").alias("table_name"), "module"), "table_name").groupBy(*key, "module").agg(F.sum("n").alias("n"))
-    by_use = top_n(by_use, key, [F.desc("n"), F.col("module")], 1).select(*key, F.col("module").alias("_u"))
-    out = base
-    for part in (sources, top_tables, best, by_use):
-        out = out.join(part, key, "left")
-    out = out.join(by_prefix.select("prefix", "_m"), C.prefix_of(F.col("package_name")) == F.col("prefix"), "left")
-    return out.select(*key, "statements", "calls", "arg_counts", "by_source", "top_table_name", "top_sql_hash", F.coalesce("_m", "_u").alias("module"))
-
-
 def package_rollup(inventory: DataFrame, packages: DataFrame) -> DataFrame:
     """M6: (name, in_dictionary, functions, statements): dictionary and called packages in one full join."""
     called = inventory.groupBy(F.col("package_name").alias("name")).agg(F.count("*").alias("functions"), F.sum("statements").alias("statements"))

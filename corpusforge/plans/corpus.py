@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calls as A
 from ..operators import mining as M
 from ..operators.aggregates import cooccurrence
 from .registry import query, table
@@ -41,17 +42,26 @@ def m03(spark, d):
     return M.tag_mentions(table(spark, d, "documents"), spark.createDataFrame([("license",), ("work",), ("Version",)], "name string"), "doc_id", "text")
 
 
-def _sql_texts(spark, d):
-    """Statements made of the orders' columns, with calls in them."""
-    o = table(spark, d, "orders")
-    pkg = F.concat(F.lit("PKG_"), F.col("o_custkey") % 7)
-    text = F.concat(F.lit("select "), pkg, F.lit(".F"), F.col("o_orderkey") % 3, F.lit("(x), 'A.B(c)' /* Z.Z(1) */, pkg_"), F.col("o_custkey") % 5, F.lit(".g from T t -- no.call(1)"))
-    return o.select(F.col("o_orderkey").alias("sql_hash"), text.alias("text"))
+#: M4's facts of the stand-in statements, by their shape.
+_FACTS = """facts AS (
+  SELECT sql_hash, 0 AS seq, NULL AS schema_name, 'PKG_' || c AS package_name, 'F' || k AS function_name, 3 AS arg_count, true AS paren, 'sql' AS found_in, 7 AS pos, 'PKG_' || c || '.F' || k || '(x, ''(k'', g(1,2))' AS snippet, false AS truncated FROM {sql_text} WHERE shape = 0
+  UNION ALL SELECT sql_hash, 1, NULL, 'PKG_' || m, 'G', 0, false, 'sql', strpos(text, ', pkg_') + 1, trim(substr(text, strpos(text, ', pkg_') - 38, 47)), false FROM {sql_text} WHERE shape = 0 AND m <> 2
+  UNION ALL SELECT sql_hash, 0, 'APP', 'PKG_' || c, 'F' || k, 0, true, 'sql', 13, 'APP.PKG_' || c || ' . F' || k || '( )', false FROM {sql_text} WHERE shape = 1
+  UNION ALL SELECT sql_hash, 1, NULL, 'PKG_' || m, 'H', NULL, true, 'sql', strpos(text, ' pkg_'), 'pkg_' || m || '.H(1 from x', true FROM {sql_text} WHERE shape = 1
+  UNION ALL SELECT sql_hash, 0, NULL, 'PKG_' || c, 'F', 2, true, 'plsql', strpos(text, 'PKG_') - 1, 'PKG_' || c || '.F(1, q''[,)]'')', false FROM {sql_text} WHERE shape = 2
+  UNION ALL SELECT sql_hash, 1, NULL, 'PKG_' || c, 'G' || k, 2, true, 'sql', strpos(text, 'select PKG_') + 6, 'PKG_' || c || '.G' || k || '("a,b", 2)', false FROM {sql_text} WHERE shape = 2
+  UNION ALL SELECT sql_hash, 0, NULL, 'PKG_' || c, 'L', 2, true, 'plsql', 6, substr(text, 7, 240), true FROM {sql_text} WHERE shape = 3
+  UNION ALL SELECT sql_hash, 1, NULL, 'DBMS_LOB', 'LEN', 0, false, 'plsql', strpos(text, 'dbms_lob') - 1, trim(replace(substr(text, strpos(text, 'dbms_lob') - 40, 52), '  ', ' ')), false FROM {sql_text} WHERE shape = 3)"""
+
+
+def _facts(spark, d):
+    objects, packages = (spark.createDataFrame([(n,)], "name string") for n in ("pkg_2", "other_pkg"))
+    return A.call_facts(view(spark, d, "sql_text"), objects, packages, "sql_hash", "text")
 
 
-@query("m04_call_facts", "SELECT o_orderkey AS sql_hash, 0 AS seq, 'PKG_' || o_custkey % 7 AS package_name, 'F' || o_orderkey % 3 AS function_name, true AS paren FROM orders UNION ALL SELECT o_orderkey, 1, 'PKG_' || o_custkey % 5, 'G', false FROM orders WHERE o_custkey % 5 <> 2")
+@query("m04_call_facts", duck(f"WITH {_FACTS} SELECT * FROM facts"))
 def m04(spark, d):
-    return M.call_facts(_sql_texts(spark, d), spark.createDataFrame([("pkg_2",)], "name string"), spark.createDataFrame([("other_pkg",)], "name string"), "sql_hash", "text")
+    return _facts(spark, d)
 
 
 def _calls(spark, d):
@@ -59,11 +69,36 @@ def _calls(spark, d):
     return li.select(F.col("l_orderkey").alias("sql_hash"), F.concat(F.lit("P"), F.col("l_suppkey") % 10, F.lit("_X")).alias("package_name"), F.concat(F.lit("F"), "l_linenumber").alias("function_name"), F.col("l_linenumber").alias("arg_count"))
 
 
-@query("m05_api_inventory", "SELECT 'P' || l_suppkey % 10 || '_X' AS package_name, 'F' || l_linenumber AS function_name, count(DISTINCT l_orderkey) AS statements, count(*) AS calls, l_linenumber AS args, 'M' || l_suppkey % 10 AS module FROM lineitem GROUP BY 1, 2, 5, 6")
+_KEY = "package_name, function_name"
+_INVENTORY = f"""WITH {_FACTS},
+modules AS (SELECT 'S' || s_suppkey AS name, 'M' || s_nationkey % 6 AS module FROM supplier UNION ALL SELECT 'DBMS_' || n_name, 'N' || n_regionkey FROM nation WHERE n_nationkey <> 3),
+units AS (SELECT l_orderkey AS sql_hash, l_orderkey || '-' || l_linenumber AS unit_id, l_returnflag AS title, l_linestatus AS path FROM lineitem),
+once AS (SELECT DISTINCT sql_hash, {_KEY} FROM facts),
+base AS (SELECT {_KEY}, count(DISTINCT sql_hash) AS statements FROM facts GROUP BY ALL),
+u AS (SELECT {_KEY}, count(DISTINCT unit_id) AS units, count(DISTINCT title) AS titles, count(DISTINCT path) AS reports FROM once JOIN units USING (sql_hash) GROUP BY ALL),
+s AS (SELECT {_KEY}, string_agg(o_orderstatus || ':' || n, ',' ORDER BY o_orderstatus) AS by_source FROM (SELECT {_KEY}, o_orderstatus, count(*) AS n FROM once JOIN orders ON o_orderkey = sql_hash GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT {_KEY}, string_agg(k || ':' || n, ',' ORDER BY k) AS arg_counts FROM (SELECT {_KEY}, coalesce(arg_count::VARCHAR, '?') AS k, count(*) AS n FROM facts GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT {_KEY}, string_agg(k || ':' || n, ',' ORDER BY k) AS found_in FROM (SELECT {_KEY}, found_in AS k, count(*) AS n FROM facts GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT {_KEY}, string_agg(table_name || ':' || n, ',' ORDER BY n DESC, table_name) AS top_tables FROM (SELECT {_KEY}, table_name, count(*) AS n FROM once JOIN {{f_tables}} USING (sql_hash) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY n DESC, table_name) <= 8) GROUP BY ALL),
+m AS (SELECT {_KEY}, first(module ORDER BY n DESC, module) AS usage, string_agg(module || ':' || n, ',' ORDER BY n DESC, module) AS top_modules FROM (SELECT {_KEY}, module, count(DISTINCT sql_hash) AS n FROM once JOIN {{f_tables}} USING (sql_hash) JOIN modules ON name = table_name GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY n DESC, module) <= 5) GROUP BY ALL),
+p AS (SELECT module AS prefix FROM modules WHERE name LIKE 'DBMS%' GROUP BY 1 ORDER BY count(*) DESC, module LIMIT 1),
+x AS (SELECT {_KEY}, string_agg(snippet || '|' || sql_hash || '|' || o_orderstatus || '|' || o_orderpriority, chr(10) ORDER BY r) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY o_custkey % 2 <> 0, o_orderstatus <> 'P', truncated, length(snippet), sql_hash) AS r FROM (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY {_KEY}, sql_hash ORDER BY truncated, length(snippet), pos) = 1) JOIN orders ON o_orderkey = sql_hash QUALIFY r <= 2) GROUP BY ALL)
+SELECT CASE WHEN package_name = 'DBMS_LOB' THEN 'oracle' ELSE 'product' END AS api_class, CASE WHEN package_name = 'DBMS_LOB' THEN prefix ELSE usage END AS module, CASE WHEN package_name = 'DBMS_LOB' THEN 'prefix' WHEN usage IS NOT NULL THEN 'usage' END AS module_source, {_KEY}, false AS in_dictionary, statements, coalesce(units, 0) AS units, coalesce(reports, 0) AS reports, coalesce(titles, 0) AS titles, by_source, arg_counts, found_in, top_tables, top_modules, samples
+FROM base JOIN s USING ({_KEY}) JOIN a USING ({_KEY}) JOIN f USING ({_KEY}) JOIN x USING ({_KEY}) LEFT JOIN u USING ({_KEY}) LEFT JOIN t USING ({_KEY}) LEFT JOIN m USING ({_KEY}), p"""
+
+
+@query("m05_api_inventory", duck(_INVENTORY))
 def m05(spark, d):
-    modules = table(spark, d, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey") % 10, F.lit("_"), "s_suppkey").alias("name"), F.concat(F.lit("M"), F.col("s_suppkey") % 10).alias("module"))
-    inv = M.api_inventory(_calls(spark, d), view(spark, d, "corpus"), view(spark, d, "f_tables"), modules, min_module=1)
-    return inv.select("package_name", "function_name", "statements", "calls", F.col("arg_counts")[0].alias("args"), "module")
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    corpus = o.select(F.col("o_orderkey").alias("sql_hash"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("title"), (F.col("o_custkey") % 2 == 0).alias("described"))
+    units = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("unit_id"), F.col("l_orderkey").alias("sql_hash"), F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("path"))
+    modules = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), F.concat(F.lit("M"), F.col("s_nationkey") % 6).alias("module"))
+    modules = modules.union(table(spark, d, "nation").where("n_nationkey <> 3").select(F.concat(F.lit("DBMS_"), "n_name"), F.concat(F.lit("N"), "n_regionkey")))
+    inv = A.api_inventory(_facts(spark, d), corpus, units, units, view(spark, d, "f_tables"), modules, spark.createDataFrame([("other_pkg",)], "name string"), "P")
+    counts = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias(c)
+    tops = lambda c, name: F.array_join(F.transform(c, lambda e: F.concat_ws(":", e[name], e["statements"])), ",").alias(c)
+    samples = F.array_join(F.transform("samples", lambda e: F.concat_ws("|", e["snippet"], e["sql_hash"], e["source"], e["title"])), "\n").alias("samples")
+    return inv.select("api_class", "module", "module_source", "package_name", "function_name", "in_dictionary", "statements", "units", "reports", "titles", counts("by_source"), counts("arg_counts"), counts("found_in"), tops("top_tables", "table_name"), tops("top_modules", "module"), samples)
 
 
 @query("m06_package_rollup", "WITH c AS (SELECT 'P' || l_suppkey % 10 AS name, count(DISTINCT l_linenumber) AS functions, count(*) AS s FROM lineitem GROUP BY 1) SELECT coalesce(c.name, k.name) AS name, k.name IS NOT NULL AS in_dictionary, coalesce(functions, 0) AS functions FROM c FULL JOIN (VALUES ('P1'), ('P77')) k(name) ON c.name = k.name")

@@ -20,6 +20,7 @@ VIEWS = {
     "grants": "SELECT DISTINCT concat('R', o_custkey % 20) AS role_name, o_orderstatus AS obj_name, o_orderpriority AS privilege FROM orders",
     "upload": "SELECT event_type AS source, user_id, max(ts) AS loaded_at FROM events GROUP BY 1, 2",
     "catalog": "SELECT concat('T', l_suppkey) AS table_name, concat('C', c, CASE WHEN c % 3 = 0 THEN '_KEY' WHEN c % 7 = 0 THEN '_DATE' ELSE '_ORDER' END) AS column_name, cast(row_number() OVER (PARTITION BY l_suppkey ORDER BY c) AS int) AS ordinal, l_suppkey % 3 AS kind FROM (SELECT DISTINCT l_suppkey, l_partkey % 210 AS c FROM lineitem)",
+    "sql_text": "SELECT o_orderkey AS sql_hash, o_custkey % 7 AS c, o_custkey % 5 AS m, o_orderkey % 3 AS k, o_orderkey % 4 AS shape, CASE o_orderkey % 4 WHEN 0 THEN concat('select PKG_', o_custkey % 7, '.F', o_orderkey % 3, '(x, ', chr(39), '(k', chr(39), ', g(1,2)), ', chr(39), 'A.B(c)', chr(39), ' /* Z.Z(1) */, pkg_', o_custkey % 5, '.g from T t -- no.call(1)') WHEN 1 THEN concat('select ', chr(39), '--', chr(39), ', APP.PKG_', o_custkey % 7, ' . F', o_orderkey % 3, '( ) from t, u where u.b_col (+) = ', chr(39), '/*', chr(39), ' and pkg_', o_custkey % 5, '.H(1 from x') WHEN 2 THEN concat('with function f return number is begin return PKG_', o_custkey % 7, '.F(1, q', chr(39), '[,)]', chr(39), '); end; select PKG_', o_custkey % 7, '.G', o_orderkey % 3, '(', chr(34), 'a,b', chr(34), ', 2) from t') ELSE concat('begin PKG_', o_custkey % 7, '.L(', chr(39), repeat('x', 300), chr(39), ', ', chr(39), ' a  b', chr(39), '); v := dbms_lob.len; end;') END AS text FROM orders",
     "fk": "SELECT DISTINCT concat('T', l_suppkey) AS child, concat('T', l_partkey % 97) AS parent, concat('C', l_partkey % 210) AS col FROM lineitem",
 }
 #: DuckDB's words for types that the views name in Spark's.
