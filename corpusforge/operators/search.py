@@ -6,13 +6,16 @@ Requests are rows of a DataFrame; all of them are answered in one job.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import loose_key, match_key, norm_name, tokens
+from ..functions.columns import loose_key, match_key, norm_label, norm_name, tokens
+from ..sources.shared import checkpointed
+from .near import edit_pairs, near_pairs
 from .picks import top_n
 
 
@@ -70,29 +73,9 @@ def phrase_search(queries: DataFrame, docs: DataFrame, field: str, key: str) ->
     return runs.where(F.col("hit") == F.col("n")).select("query_id", key).distinct()
 
 
-def _grams(c: Column, size: int = 2) -> Column:
-    n = F.length(c)
-    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(c, i, F.lit(size))))).otherwise(F.array(c))
-
-
-def _near(requests: DataFrame, names: DataFrame, bound: Column) -> DataFrame:
-    """Pairs (request, name) within the edit bound or by containment; q and key are what is compared.
-
-    Both share a bigram, unless one is a single letter (then letters are joined) or the bound reaches so far
-    that all bigrams may differ: so short a request is paired with the names of every length within the bound.
-    """
-    r = requests.withColumn("bound", bound)
-    letters = lambda c: F.explode(F.array_distinct(F.split(c, "")))
-    cols = ["request", "q", "bound", "name", "key"]
-    by_gram = r.withColumn("gram", F.explode(_grams(F.col("q")))).join(names.withColumn("gram", F.explode(_grams(F.col("key")))), "gram").select(*cols)
-    # Before pairs of several common bigrams are made one: longer differences than the bound are out, but for containment.
-    by_gram = by_gram.where((F.abs(F.length("q") - F.length("key")) <= F.col("bound")) | F.contains("key", "q") | F.contains("q", "key"))
-    letter_in_name = r.where(F.length("q") == 1).withColumn("gram", F.col("q")).join(names.withColumn("gram", letters(F.col("key"))), "gram").select(*cols)
-    letter_in_request = r.withColumn("gram", letters(F.col("q"))).join(names.where(F.length("key") == 1).withColumn("gram", F.col("key")), "gram").select(*cols)
-    lengths = F.explode(F.sequence(F.greatest(F.length("q") - F.col("bound"), F.lit(1)), F.length("q") + F.col("bound")))
-    short = r.where(F.length("q") <= 2 * F.col("bound") + 1).withColumn("size", lengths)
-    by_size = short.join(names.withColumn("size", F.length("key")), "size").select(*cols)
-    return by_gram.unionByName(letter_in_name).unionByName(letter_in_request).unionByName(by_size).distinct()
+def _floor(c: Column) -> Column:
+    """The whole part; what a product of decimals falls short of by rounding counts as reached."""
+    return F.floor(c + 1e-9).cast("int")
 
 
 def suggest(requests: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
@@ -103,7 +86,7 @@ def suggest(requests: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     """
     r = requests.select("request").distinct().withColumn("q", norm_name(F.col("request"))).where("q <> ''")
     d = names.select("name").distinct().withColumn("key", F.col("name"))
-    pairs = _near(r, d, F.greatest(F.lit(2), F.floor(F.length("q") / 3)).cast("int")).where("q <> key")
+    pairs = near_pairs(r.withColumn("bound", F.greatest(F.lit(2), F.floor(F.length("q") / 3)).cast("int")), d).where("q <> key")
     inside = F.contains("key", "q") | F.contains("q", "key")
     # The bound varies by row and levenshtein's threshold is a literal, so the distance is cut afterwards.
     edits = F.levenshtein("q", "key")
@@ -118,7 +101,7 @@ def nearest_labels(requests: DataFrame, labels: DataFrame, k: int = 5) -> DataFr
     hundredth a character of difference, edits within max(2, length / 4) two and their number."""
     r = requests.select("request").distinct().withColumn("q", loose_key(F.col("request")))
     d = labels.select("name").distinct().withColumn("key", loose_key(F.col("name")))
-    pairs = _near(r, d, F.greatest(F.lit(2), F.floor(F.length("q") / 4)).cast("int"))
+    pairs = near_pairs(r.withColumn("bound", F.greatest(F.lit(2), F.floor(F.length("q") / 4)).cast("int")), d)
     edits = F.levenshtein("q", "key")
     inside = F.contains("key", "q") | F.contains("q", "key")
     score = F.when(match_key(F.col("request")) == match_key(F.col("name")), 0.0).when(F.col("q") == F.col("key"), 0.5).when(inside, F.round(1 + F.abs(F.length("q") - F.length("key")) * 0.01, 4)).when(edits <= F.col("bound"), 2.0 + edits)
@@ -141,25 +124,90 @@ def match_label(requests: DataFrame, labels: DataFrame) -> DataFrame:
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def propose_aliases(a: DataFrame, b: DataFrame, least: float = 0.9) -> DataFrame:
-    """(a_name, b_name, ratio) of two catalogs' (name, payload): similar names that are each other's only best
-    and whose payload sets don't differ."""
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.groupBy(F.col("name").alias(f"{p}_name")).agg(F.sort_array(F.collect_set("payload")).alias(f"{p}_payload"))
-
-    left, right = side(a, "a"), side(b, "b")
-    by = lambda p: F.explode(_grams(match_key(F.col(f"{p}_name")), 4)).alias("gram")
-    pairs = left.select("a_name", "a_payload", by("a")).join(right.select("b_name", "b_payload", by("b")), "gram").drop("gram").distinct()
-    n, m = (F.length(match_key(F.col(c))) for c in ("a_name", "b_name"))
-    pairs = pairs.where((F.col("a_name") != F.col("b_name")) & (2 * F.least(n, m) >= least * (n + m)))  # the most that the ratio can be
-    pairs = pairs.withColumn("ratio", F.round(_ratio(match_key(F.col("a_name")), match_key(F.col("b_name"))), 4)).where(F.col("ratio") >= least)
-    best = lambda p: F.rank().over(Window.partitionBy(f"{p}_name").orderBy(F.desc("ratio")))
-    only = lambda p: F.count("*").over(Window.partitionBy(f"{p}_name"))
-    top = pairs.withColumns({"ra": best("a"), "rb": best("b")}).where("ra = 1 and rb = 1").withColumns({"na": only("a"), "nb": only("b")})
-    return top.where((F.col("na") == 1) & (F.col("nb") == 1) & (F.col("a_payload") == F.col("b_payload"))).select("a_name", "b_name", "ratio")
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def name_parts(df: DataFrame, name: str, spellings: Mapping[str, str], suffix: str) -> DataFrame:
+    """`df` with norm, family (before the first ` - `), words and tails of a name. Words follow the family, without
+    `suffix` and a plural s; tails are the words as text, and those behind a whole family repeated at their head."""
+    dashed = F.trim(F.regexp_replace(norm_label(F.col(name)), r"\s*-\s*", " - "))
+    plain = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), spellings.items(), F.col("norm"))
+    split = F.contains("_n", F.lit(" - "))
+    rest = F.when(split, F.substr("_n", F.locate(" - ", F.col("_n")) + 3)).otherwise(F.col("_n"))
+    cut = lambda c: F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""), lambda w: F.when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.left(w, F.length(w) - 1)).otherwise(w))
+    out = df.withColumn("norm", dashed).withColumn("_n", plain).withColumn("family", F.when(split, F.substring_index("_n", " - ", 1)).otherwise(""))
+    out = out.withColumns({"words": cut(F.regexp_replace(rest, rf"\b{suffix}$", "")), "_f": cut(F.col("family"))})
+    behind = F.when((F.size("_f") > 0) & (F.slice("words", 1, F.greatest(F.size("_f"), F.lit(1))) == F.col("_f")), F.slice("words", F.size("_f") + 1, F.size("words") + 1)).otherwise(F.col("words"))
+    tails = F.array_distinct(F.array(F.array_join("words", " "), F.array_join(behind, " ")))
+    return out.withColumns({"tail": F.array_join("words", " "), "tails": tails}).drop("_n", "_f")
+
+
+def _less_one(df: DataFrame, tag: str) -> DataFrame:
+    """(tag_name, tag_family, tail, word): every tail without one of its words."""
+    words = df.select(f"{tag}_name", f"{tag}_family", F.explode(F.transform(f"{tag}_tails", lambda t: F.split(t, " "))).alias("w"))
+    without = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.array_join(F.filter("w", lambda x, j: j != i), " ").alias("tail"), F.get("w", i).alias("word")))
+    return words.select(f"{tag}_name", f"{tag}_family", F.inline(F.array_distinct(without))).where("word <> ''")
+
+
+def propose_aliases(a: DataFrame, b: DataFrame, least: float = 0.9, spellings: Mapping[str, str] | None = None, suffix: str = "real time") -> DataFrame:
+    """(a_name, b_name, rule, tail_ratio, name_ratio, n_candidates, reason): names of catalog a (name) that guide b
+    (name, payload) has under another name, and why others aren't taken.
+
+    Names that both sides have, normalised, are left out. tail-equal: some tails are equal, or up to one word that is in either name's
+    family. tail-similar: tails of ratio `least` or more that are each other's best (ties: the first name). A pair is
+    an alias (reason null) if all of the a's candidates have the same set of payloads, and not the empty one (`no
+    payload`). An a of several sets has one row (`different payloads`, b_name null, n_candidates at least); b names without
+    any candidate have `no name fits`.
+
+    Blocking: equal tails, tails less a word and, for similar ones, segment keys of the edits that the ratio allows. An a
+    whose tail meets different payload sets is settled from counts by tail, before any pairs of it are made.
+    """
+    left = a.select(F.col("name").alias("a_name")).where("a_name is not null").distinct()
+    right = b.where("name is not null").groupBy(F.col("name").alias("b_name")).agg(F.array_join(F.sort_array(F.collect_set(F.col("payload").cast("string"))), "\u0001").alias("payloads"))
+    tagged = lambda df, t: df.select(f"{t}_name", *[F.col(c).alias(f"{t}_{c}") for c in ("norm", "family", "tail", "tails")], *([F.col("payloads")] if t == "b" else []))
+    left, right = (tagged(name_parts(df, f"{t}_name", spellings or {}, suffix), t) for df, t in ((left, "a"), (right, "b")))
+    own, other = left.select("a_norm").distinct(), right.select("b_norm").distinct()
+    left = checkpointed(left.join(other, F.col("a_norm") == F.col("b_norm"), "left_anti"))
+    right = checkpointed(right.join(own, F.col("a_norm") == F.col("b_norm"), "left_anti"))
+    # Equal tails first as groups: which of them have one payload set only.
+    b_tails = right.select("b_name", "b_family", "payloads", F.explode("b_tails").alias("tail"))
+    groups = b_tails.groupBy("tail").agg(F.count_distinct("payloads").alias("_sets"), F.count_distinct("b_name").alias("_n"))
+    a_tails = left.select("a_name", "a_family", F.explode("a_tails").alias("tail"))
+    mixed = a_tails.join(groups.where("_sets > 1"), "tail").groupBy("a_name").agg(F.max("_n").alias("n_candidates"))
+    open_a = a_tails.join(mixed, "a_name", "left_anti")
+    equal = open_a.join(b_tails, "tail").select("a_name", "b_name")
+    families = F.array_union(F.split("a_family", r"[\s/]+"), F.split("b_family", r"[\s/]+"))
+    extra = [
+        _less_one(left.join(mixed, "a_name", "left_anti"), "a").join(b_tails, "tail"),
+        _less_one(right, "b").join(open_a, "tail"),
+    ]
+    equal = reduce(DataFrame.unionByName, [equal, *(x.where(F.array_contains(families, F.col("word"))).select("a_name", "b_name") for x in extra)]).distinct()
+    # Similar tails: a ratio of `least` allows (1 - least) * (n + m) single edits, and m is at most n * (2 - least) / least.
+    widest = (1 - least) * (1 + (2 - least) / least)
+    asked = left.where("a_tail <> ''").select("a_tail").distinct().select(F.col("a_tail").alias("request"), F.col("a_tail").alias("q"), _floor(F.length("a_tail") * widest).alias("bound"))
+    near = edit_pairs(asked, right.where("b_tail <> ''").select(F.col("b_tail").alias("name"), F.col("b_tail").alias("key")).distinct())
+    near = near.where(F.levenshtein("q", "key") <= _floor((F.length("q") + F.length("key")) * (1 - least)))
+    near = checkpointed(near.select(F.col("q").alias("a_tail"), F.col("key").alias("b_tail"), _ratio(F.col("q"), F.col("key")).alias("r")).where(F.col("r") >= least))
+    first = lambda df, k: df.groupBy(f"{k}_tail").agg(F.min(f"{k}_name").alias(f"{k}_name"))
+    by_tail = near.join(first(left, "a"), "a_tail").join(first(right, "b"), "b_tail")
+    # Names of one tail have the same ratios, so a tail's best is its best tail's first name, and only first names can be mutual.
+    w = lambda k, o: Window.partitionBy(f"{k}_tail").orderBy(F.desc("r"), f"{o}_name")
+    mutual = by_tail.withColumns({"_x": F.row_number().over(w("a", "b")), "_y": F.row_number().over(w("b", "a"))}).where("_x = 1 and _y = 1")
+    best = mutual.select("a_name", "b_name")
+    mutual = best.join(mixed, "a_name", "left_anti").join(equal, ["a_name", "b_name"], "left_anti")
+    pairs = checkpointed(equal.withColumn("rule", F.lit("tail-equal")).unionByName(mutual.withColumn("rule", F.lit("tail-similar"))).join(right.select("b_name", "b_norm", "b_tail", "payloads"), "b_name").join(left.select("a_name", "a_norm", "a_tail"), "a_name"))
+    sets = pairs.groupBy("a_name").agg(F.count_distinct("payloads").alias("_sets"), F.count("*").alias("n_candidates"))
+    kept = pairs.join(sets, "a_name").where("_sets = 1")
+    null = lambda kind="string": F.lit(None).cast(kind)
+    ratio = lambda x, y: F.round(_ratio(F.col(x), F.col(y)), 3)
+    out = kept.select("a_name", "b_name", "rule", ratio("a_tail", "b_tail").alias("tail_ratio"), ratio("a_norm", "b_norm").alias("name_ratio"), "n_candidates", F.when(F.col("payloads") == "", "no payload").alias("reason"))
+    split = mixed.unionByName(sets.where("_sets > 1").select("a_name", "n_candidates"))
+    rejected = split.select("a_name", null().alias("b_name"), null().alias("rule"), null("double").alias("tail_ratio"), null("double").alias("name_ratio"), "n_candidates", F.lit("different payloads").alias("reason"))
+    # Whether any a fits a b needs no pairs: semi joins stop at the first.
+    fits = lambda x, y: x.alias("x").join(y.alias("y"), (F.col("x.tail") == F.col("y.tail")) & F.array_contains(families, F.col("word")), "left_semi").select("b_name")
+    met = b_tails.join(a_tails, "tail", "left_semi").select("b_name").union(fits(b_tails, _less_one(left, "a"))).union(fits(_less_one(right, "b"), a_tails)).union(best.select("b_name")).distinct()
+    unmet = right.select("b_name").join(met, "b_name", "left_anti").select(null().alias("a_name"), "b_name", null().alias("rule"), null("double").alias("tail_ratio"), null("double").alias("name_ratio"), F.lit(0).cast("long").alias("n_candidates"), F.lit("no name fits").alias("reason"))
+    return reduce(DataFrame.unionByName, [out, rejected, unmet])
 
 
 def classify_domain(members: DataFrame, modules: Mapping[str, str], prefixes: Mapping[str, str], titles: Sequence[tuple[str, str]]) -> DataFrame:

@@ -9,12 +9,12 @@ from ..operators import quality as Q
 from .registry import query, table
 from .standins import duck, view
 
-@query("p01_validate_names", "SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 = 0 THEN 'zz' ELSE '' END AS request, upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN 'ZZ' ELSE '' END AS name, p_partkey % 3 <> 0 AS \"exists\", CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) END AS best FROM part")
+@query("p01_validate_names", "WITH n AS (SELECT DISTINCT upper(p_name) AS x FROM part), r AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 = 0 THEN 'zz' ELSE '' END AS request FROM part), q AS (SELECT request, upper(request) AS name, upper(request) IN (SELECT x FROM n) AS \"exists\" FROM r), s AS (SELECT request, x, CASE WHEN contains(x, name) OR contains(name, x) THEN abs(length(x) - length(name)) * 0.5 WHEN levenshtein(name, x) <= greatest(2, length(name) // 3) THEN levenshtein(name, x) + 5 END AS score FROM q, n WHERE NOT \"exists\"), t AS (SELECT request, x, row_number() OVER (PARTITION BY request ORDER BY score, x) AS k FROM s WHERE score IS NOT NULL QUALIFY k <= 5) SELECT q.request, name, \"exists\", string_agg(x, '|' ORDER BY k) AS suggestions FROM q LEFT JOIN t ON q.request = t.request GROUP BY ALL")
 def p01(spark, d):
     p = table(spark, d, "part")
     reqs = p.select(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "zz").otherwise("")).alias("request"))
     out = P.validate_names(reqs, p.select(F.upper("p_name").alias("name")))
-    return out.select("request", "name", "exists", F.col("suggestions")[0].alias("best"))
+    return out.select("request", "name", "exists", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 @query("p02_validate_columns", duck("WITH r AS (SELECT DISTINCT 'T' || o_custkey % 400 AS table_name, 'C' || o_orderkey % 210 || '_KEY' AS column_name FROM orders) SELECT *, CASE WHEN table_name NOT IN (SELECT table_name FROM {catalog}) THEN 'unknown_table' WHEN (table_name, column_name) NOT IN (SELECT (table_name, column_name) FROM {catalog}) THEN 'unknown_column' ELSE 'ok' END AS state FROM r"))

@@ -82,10 +82,20 @@ def k09(spark, d):
     return K.match_label(p.select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.upper("p_name"), F.lit(" "))).alias("request")), p.select(F.col("p_name").alias("name")))
 
 
+def _alias_sides(spark, d):
+    """Two catalogs of the part names in other families: suffixes, family words put in, letters changed, payloads by name or by part."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    pick = lambda by, *x: F.element_at(F.array(*[F.lit(v) for v in x]), (by % len(x) + 1).cast("int"))
+    a = p.select(F.concat(pick(F.length("p_name"), "Sales", "Order Entry", "Ledger"), F.lit(" - "), "p_name", pick(F.col("p_size"), "", "s", " Real Time", " entry")).alias("name"))
+    odd = F.when(F.crc32("p_name") % 3 == 0, F.concat(F.left("p_name", F.length("p_name") - 1), F.lit("z"))).otherwise(F.concat("p_name", pick(F.crc32("p_name"), "", " order")))
+    b = p.select(F.concat(pick(F.crc32("p_name") + F.when(F.crc32("p_name") % 5 == 1, k % 2).otherwise(0), "Old Sales", "Order Entry", "Books"), F.lit(" – "), odd).alias("name"), F.when(F.crc32("p_name") % 5 == 0, F.lit(None)).when(F.crc32("p_name") % 5 == 1, k).otherwise(F.length("p_name")).alias("payload"))
+    return a.distinct(), b.distinct()
+
+
 @query("k10_propose_aliases")
 def k10(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.length("p_name").alias("payload")).distinct()
-    return K.propose_aliases(p, p.select(F.concat("name", F.lit("s")).alias("name"), "payload"), 0.9)
+    return K.propose_aliases(*_alias_sides(spark, d))
 
 
 @query("k11_classify_domain", "WITH m AS (SELECT l_orderkey AS id, CASE WHEN l_suppkey % 9 = 5 THEN 'C' WHEN l_suppkey % 3 = 0 THEN 'A' WHEN l_suppkey % 3 = 1 THEN 'B' END AS dom, count(*) AS n FROM lineitem GROUP BY 1, 2), w AS (SELECT id, dom FROM m WHERE dom IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, dom) = 1) SELECT o.l_orderkey AS id, coalesce(dom, CASE WHEN o.l_orderkey % 2 = 0 THEN 'T' ELSE 'Other' END) AS domain FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN w ON id = o.l_orderkey")
