@@ -1,4 +1,4 @@
-"""Vector retrieval K4 to K6, K12 to K17: exact, multi-vector and approximate neighbours, ambiguity, expansion, probes.
+"""Vector retrieval K4 to K6, K12 to K16: exact and multi-vector neighbours, ambiguity, expansion, probes.
 
 The exact search is a blocked matrix product: queries and vectors are dealt into blocks by hash, a pair of blocks is one
 task's cogroup, of which the k nearest of each query go on and are ranked after one small shuffle. Nothing
@@ -7,14 +7,14 @@ but counts reaches the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..sources.shared import checkpointed
 from .picks import top_n
 
 
@@ -81,16 +81,59 @@ def knn_multi(queries: DataFrame, slots: DataFrame, k: int, source: Column | Non
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def rank_within(requests: DataFrame, vectors: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    """K6: (request_id, key, score, rank): members of the request's group by cosine. requests: (request_id, group, embedding)."""
-    from ..functions.columns import cosine
+def rank_within(requests: DataFrame, vectors: DataFrame, group: str, key: str, k: int, block: int = 20_000) -> DataFrame:
+    """K6: (request_id, key, score, rank): the k best members of the request's group by cosine (six decimals; ties by key).
 
-    joined = requests.select("request_id", group, F.col("embedding").alias("_q")).join(vectors, group)
-    scored = joined.select("request_id", key, F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
+    requests: (request_id, group, embedding). Groups, and their requests, are dealt into blocks of about `block` rows by their
+    own sizes; a pair of blocks is one matrix product, of which k rows a request go on. Null embeddings take no part.
+    """
+    pool, asked = (df.where(F.col("embedding").isNotNull() & F.col(group).isNotNull()) for df in (vectors, requests))
+    counted = lambda df, n: df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    parts = counted(pool, "_nv").join(counted(asked, "_nq"), group)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    doubles = F.transform("embedding", lambda v: v.cast("double")).alias("embedding")
+    held = pool.join(parts, group).select(F.col(group).alias("_g"), key, doubles, own(key, "_nv").alias("_v"), each("_nq").alias("_q"))
+    probing = asked.join(parts, group).select(F.col(group).alias("_g"), "request_id", doubles, own("request_id", "_nq").alias("_q"), each("_nv").alias("_v"))
+    names = [("request_id", requests.schema["request_id"].dataType.simpleString()), (key, vectors.schema[key].dataType.simpleString())]
+
+    def best(a: pa.Table, h: pa.Table) -> pa.Table:
+        rows, at, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and h.num_rows:
+            h = h.sort_by(key)
+            q, x = (t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, h))
+            norm, step = np.sqrt((x * x).sum(1)), max(1, (1 << 22) // len(x))
+            for i in range(0, len(q), step):
+                some = q[i : i + step]
+                score = np.round(some @ x.T / (np.sqrt((some * some).sum(1))[:, None] * norm + 1e-9), 6)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                rows.append(np.repeat(np.arange(i, i + len(some)), order.shape[1]))
+                at.append(order.ravel())
+                scores.append(np.take_along_axis(score, order, axis=1).ravel())
+        found = [a.column("request_id").combine_chunks().take(pa.array(np.concatenate(rows))), h.column(key).combine_chunks().take(pa.array(np.concatenate(at)))]
+        return pa.table([*found, pa.array(np.concatenate(scores))], names=["request_id", key, "score"])
+
+    by = ["_g", "_v", "_q"]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in names), "score double"])
+    scored = probing.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(best, schema)
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cached_vectors(texts: DataFrame, cache: DataFrame, model: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """K6: `texts` (text, ...) with text_hash and embedding, and the rows that the cache (text_hash, model, embedding) lacks.
+
+    `embed` (a user's vectorised function) runs once a distinct text that the cache has no vector of this model for;
+    null and blank texts have none. The second frame is saved: append it to the cache.
+    """
+    hashed = texts.withColumn("text_hash", F.when(F.trim("text") != "", F.sha2("text", 256)))
+    known = cache.where(F.col("model") == model).select("text_hash", "embedding")
+    missing = hashed.where("text_hash is not null").groupBy("text_hash").agg(F.min("text").alias("text")).join(known, "text_hash", "left_anti")
+    fresh = checkpointed(missing.select("text_hash", F.lit(model).alias("model"), embed(F.col("text")).alias("embedding")))
+    every = known.unionByName(fresh.select("text_hash", "embedding"))
+    return hashed.join(every, "text_hash", "left").select(*texts.columns, "text_hash", "embedding"), fresh
+
+
 def ambiguity(hits: DataFrame, limit: int, margin: float = 0.1) -> DataFrame:
     """(query_id, stage, top, tied): whether the two best domains of a query's hits lie within the margin.
 
@@ -151,51 +194,3 @@ def topk_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = lists(a, "a").join(lists(b, "b"), "query_id", "full")
     size = F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0))
     return both.select("query_id", size.alias("overlap"), F.coalesce(F.col("a_first") == F.col("b_first"), F.lit(False)).alias("same_first"))
-
-
-def centroids(vectors: DataFrame, lists: int, sample: int, rounds: int = 6) -> np.ndarray:
-    """Centres of `lists` clusters of a sample of at most `sample` rows by hash of the vector: a few rounds of k-means."""
-    rows = vectors.select("embedding").orderBy(F.xxhash64("embedding")).limit(sample).collect()
-    x = np.array([r.embedding for r in rows], np.float64)
-    centres = x[:: max(1, len(x) // lists)][:lists].copy()
-    for _ in range(rounds):
-        own = np.argmin((centres * centres).sum(1) - 2 * x @ centres.T, axis=1)
-        for c in np.unique(own):
-            centres[c] = x[own == c].mean(axis=0)
-    return centres
-
-
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", lists: int = 32, probes: int = 20, sample: int = 10_000, block: int = 20_000) -> DataFrame:
-    """Like K4 over inverted lists: a vector is in the list of its nearest centre, a query searches its `probes`
-    nearest lists, ranked by exact distance. May give fewer than k rows.
-
-    Centres are fit on a bounded sample; every vector is indexed. Lists longer than `block` are dealt into parts by hash,
-    each a task with the queries that visit it. Recall depends on lists and probes; tests measure it on the registered query.
-    """
-    pool = vectors.where("embedding is not null").select(key, "embedding")
-    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    n = pool.count()
-    if not n:
-        return _ranked(_search_groups(asked.withColumn("list", F.lit(0)), pool.withColumn("list", F.lit(0)), ["list"], k, [key]), k, [key])
-    shared = vectors.sparkSession.sparkContext.broadcast(centroids(pool, lists, sample))
-
-    def nearest_lists(most: int):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    order = np.argsort((c * c).sum(1) - 2 * x @ c.T, axis=1, kind="stable")[:, :most].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))], [*batch.schema.names, "lists"])
-
-        return work
-
-    def in_lists(df: DataFrame, most: int) -> DataFrame:
-        made = df.mapInArrow(nearest_lists(most), StructType([*df.schema.fields, StructField("lists", ArrayType(IntegerType()))]))
-        return made.select(*df.columns, F.explode("lists").alias("list"))
-
-    held, asked = in_lists(pool, 1), in_lists(asked, probes)
-    parts = max(1, -(-n // block))
-    held = held.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return _ranked(_search_groups(asked, held, ["list", "part"], k, [key]), k, [key])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import search as K
+from ..operators import vector_index
 from ..operators import vectors as V
 from .registry import query, table
 from .standins import duck, view
@@ -162,7 +163,7 @@ def k16(spark, d):
 @query("k17_knn_approx")
 def k17(spark, d):
     e = table(spark, d, "embeddings")
-    return V.knn_approx(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 10)
+    return vector_index.knn_approx(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 10)
 
 
 @query("k18_resolve_references", "SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN p_brand END AS to_folder, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN p_name END AS to_column, CASE WHEN p_partkey % 7 = 0 THEN 'unknown_area' WHEN p_partkey % 5 = 0 THEN 'unknown_folder' WHEN p_partkey % 2 = 0 THEN 'spelling' ELSE 'ok' END AS code FROM part")

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from corpusforge.operators import graph as G
 from corpusforge.operators import lookup as P
 from corpusforge.operators import quality as Q
 from corpusforge.operators import search as K
+from corpusforge.operators import vector_index
 from corpusforge.operators import vectors as V
 from corpusforge.sources import files as S
 from corpusforge.sources import shared
@@ -117,10 +119,51 @@ def test_knn_equals_brute_force_with_ties(spark):
 
 def test_knn_approx_recall(spark):
     x = np.random.default_rng(2).normal(size=(300, 8))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>")
     q = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    both = V.topk_overlap(V.knn(q, df, 10), V.knn_approx(q, df, 10, lists=10, probes=7, block=60), "vec_id")
-    assert both.agg(F.avg("overlap")).first()[0] >= 9
+    for block in (7, 60):
+        both = V.topk_overlap(V.knn(q, df, 10), vector_index.knn_approx(q, df, 10, block=block), "vec_id")
+        assert both.agg(F.avg("overlap")).first()[0] >= 9
+    assert vector_index.knn_approx(q, df.limit(0), 3).count() == 0
+    one = vector_index.knn_approx(q, df.where("vec_id = 5"), 3).collect()
+    assert {(r.vec_id, r["rank"]) for r in one} == {(5, 1)} and len(one) == 30
+
+
+def test_knn_approx_reads_few_of_many_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(300, 32))[rng.integers(0, 300, 50_000)] + 0.3 * rng.normal(size=(50_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    q = df.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vector_index.build_index(df)
+    assert index.candidate_share(q) < 0.1
+    found = {}
+    for r in index.search(q, 10).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {i: set(np.argsort(((x - x[i]) ** 2).sum(1))[:10].tolist()) for i in range(0, 50_000, 500)}
+    assert sum(len(found[i] & want[i]) for i in want) >= 0.9 * 10 * len(want)
+
+
+def test_ranks_within_groups_and_the_cache(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "hot" if i % 3 else f"g{i % 7}", rng.normal(size=4).round(1).tolist()) for i in range(240)]
+    df = spark.createDataFrame([*rows, (998, None, [1.0] * 4), (999, "hot", None)], "vec_id long, grp string, embedding array<double>")
+    asked = df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "request_id")
+    got = {}
+    for r in sorted(V.rank_within(asked, df, "grp", "vec_id", 4, block=9).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.request_id, []).append((r.vec_id, r.score))
+    for i, g, v in rows:
+        if i % 5 == 0:
+            score = lambda w: round(float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w) + 1e-9)), 6)  # noqa: E731, B023
+            assert [x for x, _ in got[i]] == [j for _, j in sorted((-score(w), j) for j, h, w in rows if h == g)[:4]]
+    texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bb"), (4, " "), (5, None)], "id long, text string")
+    length = lambda c: F.array(F.length(c).cast("double"))
+    none = spark.createDataFrame([], "text_hash string, model string, embedding array<double>")
+    made, fresh = V.cached_vectors(texts, none, "m", length)
+    assert fresh.count() == 2 and {r.id: r.embedding for r in made.collect()} == {1: [1.0], 2: [1.0], 3: [2.0], 4: None, 5: None}
+    wrong = lambda c: F.array(F.lit(-1.0))
+    again, fresh = V.cached_vectors(texts.union(spark.createDataFrame([(6, "new")], texts.schema)), fresh, "m", wrong)
+    assert fresh.count() == 1 and {r.id: r.embedding for r in again.collect()}[3] == [2.0]
+    assert V.cached_vectors(texts, fresh, "other", wrong)[1].count() == 2
 
 
 def test_votes_follow_the_snapshot_and_ties_stay(spark):
