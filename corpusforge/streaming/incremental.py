@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import content_id, raw_hash
 from ..operators.picks import top_k
+from ..sources.bucketed import BucketedTable, rebuilt
 
 
 def stage(batch: DataFrame, base: DataFrame) -> DataFrame:
@@ -28,29 +29,26 @@ def staged_counts(batch: DataFrame, base: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("staged"), F.countDistinct("id").alias("unique_ids"), F.countDistinct(F.when(F.col("_b").isNull(), F.col("id"))).alias("new_ids"))
 
 
-def stage_stream(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str):
-    """T1 as a stream: JSON files that arrive in `folder` are staged into the Parquet table, batch by batch.
+STAGED = "id string, refs array<struct<path:string,idx:int>>"
 
-    Each batch is written as a new version beside the old one and then named in the `current` file, so a
-    batch that runs again after a failure gives the same version. Returns the started query.
+
+def stage_stream(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, buckets: int = 64):
+    """T1 as a stream: JSON files that arrive in `folder` are staged into the bucketed table, batch by batch.
+
+    A batch rewrites the buckets of its ids only and is committed once, also if it runs again after a failure.
+    Returns the started query.
     """
-    def path(version: int) -> str:
-        return f"{table}/v{version}"
+    held = BucketedTable.create(spark, table, STAGED, "id", buckets)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        empty = s.createDataFrame([], "id string, refs array<struct<path:string,idx:int>>")
-        base = s.read.parquet(path(batch_id - 1)) if batch_id else empty
-        stage(batch, base).write.mode("overwrite").parquet(path(batch_id))
-        s.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").json(f"{table}/current")
+        held.apply(batch.withColumn("id", content_id(F.col("text"))), lambda old, b: stage(b, old), checkpoint, batch_id)
 
     return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_staged(spark: SparkSession, table: str) -> DataFrame:
-    """The current version of a table of stage_stream."""
-    version = spark.read.schema("version long").json(f"{table}/current").first()[0]
-    return spark.read.parquet(f"{table}/v{version}")
+    """The rows of a table of stage_stream."""
+    return BucketedTable(spark, table).read()
 
 
 def upsert_source(base: DataFrame, new: DataFrame, derived: Sequence[str]) -> DataFrame:
@@ -117,16 +115,7 @@ def materialise_new(enriched: DataFrame, served: DataFrame) -> DataFrame:
 
 def ensure_registry(spark: SparkSession, path: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The registry at `path`, built anew only if the version (or file hash) it was built with differs."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        stamped = spark.read.schema("version string").json(f"{path}/stamp").first()
-    except AnalysisException:
-        stamped = None
-    if stamped is None or stamped[0] != version:
-        build().write.mode("overwrite").parquet(f"{path}/data")
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/stamp")
-    return spark.read.parquet(f"{path}/data")
+    return rebuilt(spark, path, version, build)
 
 
 def refresh_sources(base: DataFrame, seed: DataFrame, sources: Sequence[str]) -> DataFrame:
