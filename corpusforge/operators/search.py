@@ -1,4 +1,4 @@
-"""Search and similarity K1 to K3, K7 to K11, K18: text search, suggestions, labels, aliases, domains.
+"""Search and similarity K7 to K11, K18: suggestions, labels, aliases, domains.
 
 Requests are rows of a DataFrame; all of them are answered in one job.
 """
@@ -13,66 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import loose_key, match_key, norm_label, norm_name, tokens
+from ..functions.columns import loose_key, match_key, norm_label, norm_name
 from ..sources.shared import checkpointed
 from .near import edit_pairs, near_pairs
 from .picks import top_n
 
 
-def inverted_index(docs: DataFrame, fields: Mapping[str, float], key: str) -> DataFrame:
-    """(key, token, pos, weight): tokens of weighted text fields with their places; places of fields don't touch."""
-    parts = F.flatten(F.array(*[_field(f, float(w), k) for k, (f, w) in enumerate(fields.items())]))
-    return docs.select(key, F.inline(parts))
-
-
-def _field(name: str, weight: float, k: int) -> Column:
-    found = F.coalesce(tokens(F.col(name)), F.array().cast("array<string>"))
-    return F.transform(found, lambda t, i: F.struct(t.alias("token"), (i + F.lit(k * 10_000_000)).alias("pos"), F.lit(weight).alias("weight")))
-
-
-def text_search(queries: DataFrame, docs: DataFrame, fields: Mapping[str, float], key: str, k: int = 20, least: int = 3) -> DataFrame:
-    """K1, K2: (query_id, key, rank, hits, score, mode) for queries (query_id, query).
-
-    Tokens are prefix terms of at least `least` characters or whole words: a document must hold all of
-    them; only a query of several tokens that no document meets is answered by any. Ranked by an exact
-    name first (the first field equals the query), then terms hit (any mode), then field weights damped
-    by length, then the key. Prefixes are joined on their first `least` characters.
-    """
-    index = inverted_index(docs, fields, key)
-    lengths = index.groupBy(key).agg(F.count("*").alias("n"))
-    q = queries.select("query_id", "query", F.posexplode(F.array_distinct(tokens(F.col("query")))).alias("term_no", "term"))
-    terms = q.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    stem = lambda c: F.left(c, F.lit(least))
-    vocabulary = index.groupBy("token").agg(F.count("*").alias("df")).withColumn("stem", stem(F.col("token")))
-    short = F.length("term") < least
-    hit = terms.join(vocabulary, (stem(terms["term"]) == vocabulary["stem"]) & F.when(short, terms["term"] == vocabulary["token"]).otherwise(F.startswith(vocabulary["token"], terms["term"])))
-    found = hit.select("query_id", "query", "term_no", "n_terms", "token").join(index, "token")
-    per = found.groupBy("query_id", "query", "n_terms", key).agg(F.countDistinct("term_no").alias("hits"), F.sum("weight").alias("weight"))
-    full = per.where(F.col("hits") == F.col("n_terms")).withColumn("mode", F.lit("and"))
-    none = queries.select("query_id").join(full.select("query_id").distinct(), "query_id", "left_anti")
-    some = per.where("n_terms > 1").join(none, "query_id", "left_semi").withColumn("mode", F.lit("or"))
-    name = docs.select(key, F.upper(F.col(next(iter(fields)))).alias("_name"))
-    scored = full.unionByName(some).join(lengths, key).join(name, key)
-    scored = scored.withColumns({"score": F.round(F.col("weight") / (1 + F.ln("n")), 6), "exact": F.col("_name") == F.upper("query")})
-    order = [F.desc("exact"), F.desc("hits"), F.desc("score"), F.length("_name"), F.col("_name").asc_nulls_last(), F.col(key)]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "rank", "hits", "score", "mode")
-
-
-def phrase_search(queries: DataFrame, docs: DataFrame, field: str, key: str) -> DataFrame:
-    """K3: (query_id, key) of documents that hold a query's tokens in a row, the last one as a prefix."""
-    index = inverted_index(docs, {field: 1.0}, key)
-    q = queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("at", "term"))
-    q = q.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    whole = q.where(F.col("at") < F.col("n") - 1).join(index, F.col("term") == F.col("token"))
-    last = q.where(F.col("at") == F.col("n") - 1)
-    starts = index.select("token").distinct().withColumn("stem", F.explode(F.array_distinct(F.array(F.left("token", F.lit(1)), F.left("token", F.lit(2))))))
-    last = last.join(starts, (F.left("term", F.lit(2)) == F.col("stem")) & F.startswith("token", "term")).select("query_id", "at", "term", "n", "token").join(index, "token")
-    cols = ["query_id", "n", key, (F.col("pos") - F.col("at")).alias("start"), "at"]
-    runs = whole.select(*cols).unionByName(last.select(*cols)).groupBy("query_id", "n", key, "start").agg(F.countDistinct("at").alias("hit"))
-    return runs.where(F.col("hit") == F.col("n")).select("query_id", key).distinct()
-
-
 def _floor(c: Column) -> Column:
     """The whole part; what a product of decimals falls short of by rounding counts as reached."""
     return F.floor(c + 1e-9).cast("int")

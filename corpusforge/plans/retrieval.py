@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import search as K
-from ..operators import vector_index
+from ..operators import text_index, vector_index
 from ..operators import vectors as V
 from .registry import query, table
 from .standins import duck, view
@@ -33,19 +33,32 @@ def _docs(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("remark"))
 
 
-@query("k01_k02_text_search", "WITH t AS (SELECT p_partkey AS id, regexp_extract_all(upper(p_name || ' ' || p_type || ' ' || p_brand), '[A-Z0-9_]+') AS w FROM part), q AS (SELECT DISTINCT upper(p_type) AS a, split_part(p_brand, '#', 2) || CASE WHEN p_size % 5 = 0 THEN '9' ELSE '' END AS b FROM part), h AS (SELECT lower(q.a) || ' ' || q.b AS query_id, id, CAST(len(list_filter(w, lambda x: x LIKE left(q.a, 3) || '%')) > 0 AS INTEGER) + CAST(list_contains(w, q.b) AS INTEGER) AS hits FROM q, t), m AS (SELECT *, max(hits) OVER (PARTITION BY query_id) AS best FROM h WHERE hits > 0) SELECT query_id, CASE WHEN best = 2 THEN 'and' ELSE 'or' END AS mode, hits, count(*) AS found FROM m WHERE hits = 2 OR best = 1 GROUP BY 1, 2, 3")
+#: Documents as weighted tokens, distinct tokens under each query term, then weights, hits and ranks.
+_K01 = """WITH doc AS (SELECT p_partkey AS id, p_name AS name, regexp_extract_all(upper(p_name), '[A-Z0-9]+') AS a, regexp_extract_all(upper(p_type || ' ' || p_brand), '[A-Z0-9]+') AS b FROM part),
+tok AS (SELECT id, unnest(a) AS t, 4.0::DOUBLE AS w FROM doc UNION ALL SELECT id, unnest(b), 1.0::DOUBLE FROM doc),
+per AS (SELECT id, t, sum(w) AS w FROM tok GROUP BY 1, 2),
+q AS (SELECT DISTINCT left(lower(p_type), 3) || ' ' || split_part(p_name, ' ', 1) || CASE WHEN length(p_name) % 4 = 0 THEN ' zz' ELSE '' END AS query_id FROM part),
+term AS (SELECT DISTINCT query_id, unnest(list_distinct(regexp_extract_all(upper(query_id), '[A-Z0-9]+'))) AS x FROM q),
+n AS (SELECT query_id, count(*) AS n_terms FROM term GROUP BY 1),
+v AS (SELECT x, t FROM (SELECT DISTINCT x FROM term), (SELECT DISTINCT t FROM per) WHERE starts_with(t, x)),
+m AS (SELECT query_id, id, count(DISTINCT x) AS hits, sum(w) AS w FROM term JOIN v USING (x) JOIN per USING (t) GROUP BY 1, 2),
+k AS (SELECT *, max(hits) OVER (PARTITION BY query_id) AS best FROM m JOIN n USING (query_id))
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, score DESC, length(name), name, id) AS INTEGER) AS rank, hits, score, mode FROM (
+  SELECT query_id, id, name, hits, CASE WHEN hits = n_terms THEN 'and' ELSE 'or' END AS mode, round(w / (1 + ln(len(a) + len(b))), 6) AS score FROM k JOIN doc USING (id) WHERE hits = n_terms OR best < n_terms) QUALIFY rank <= 20"""
+
+
+@query("k01_k02_text_search", _K01)
 def k01(spark, d):
-    """Every type's stem with every brand number, some of which no part has: those are answered by any term."""
-    q = table(spark, d, "part").select(F.lower("p_type").alias("a"), F.concat(F.substring_index("p_brand", "#", -1), F.when(F.col("p_size") % 5 == 0, "9").otherwise("")).alias("b")).distinct()
-    q = q.select(F.concat_ws(" ", "a", "b").alias("query_id"), F.concat_ws(" ", F.left("a", F.lit(3)), "b").alias("query"))
-    found = K.text_search(q, _docs(spark, d), {"name": 4.0, "remark": 1.0}, "id", k=10_000_000)
-    return found.groupBy("query_id", "mode", "hits").agg(F.count("*").alias("found"))
+    """A type's stem and a word of a name, and for some a word that no part has: those are answered by any term."""
+    rare = F.when(F.length("p_name") % 4 == 0, " zz").otherwise("")
+    q = table(spark, d, "part").select(F.concat(F.left(F.lower("p_type"), F.lit(3)), F.lit(" "), F.substring_index("p_name", " ", 1), rare).alias("query_id")).distinct()
+    return text_index.text_search(q.withColumn("query", F.col("query_id")), _docs(spark, d), {"name": 4.0, "remark": 1.0}, "id")
 
 
 @query("k03_phrase_search", "SELECT q.name AS query_id, count(*) AS found FROM (SELECT DISTINCT p_name AS name FROM part) q JOIN part p ON ' ' || p.p_name LIKE '% ' || q.name || '%' GROUP BY 1")
 def k03(spark, d):
     q = table(spark, d, "part").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("query")).distinct()
-    return K.phrase_search(q, _docs(spark, d), "name", "id").groupBy("query_id").agg(F.count("*").alias("found"))
+    return text_index.phrase_search(q, _docs(spark, d), "name", "id").groupBy("query_id").agg(F.count("*").alias("found"))
 
 
 @query("k04_knn", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.e, v.e), 9), v.vec_id) AS INTEGER) AS rank FROM v q, v WHERE q.vec_id % 50 = 0) WHERE rank <= 10")

@@ -12,7 +12,7 @@ from corpusforge.operators import graph as G
 from corpusforge.operators import lookup as P
 from corpusforge.operators import quality as Q
 from corpusforge.operators import search as K
-from corpusforge.operators import vector_index
+from corpusforge.operators import text_index, vector_index
 from corpusforge.operators import vectors as V
 from corpusforge.sources import files as S
 from corpusforge.sources import shared
@@ -237,7 +237,7 @@ def test_short_requests_find_titles_and_prefixes(spark):
     got = sorted((r.request, r.title) for r in P.near_titles(asked, titles).collect())
     assert got == sorted((q, t) for q in ("a", "AB", "c", "É", "abcd") for t in ("Abc", "xab", "c", "éa") if q.lower() in t.lower())
     docs = spark.createDataFrame([(1, "big apple"), (2, "big a"), (3, "apple big")], "id long, t string")
-    assert sorted(r.id for r in K.phrase_search(spark.createDataFrame([("q", "big a")], "query_id string, query string"), docs, "t", "id").collect()) == [1, 2]
+    assert sorted(r.id for r in text_index.phrase_search(spark.createDataFrame([("q", "big a")], "query_id string, query string"), docs, "t", "id").collect()) == [1, 2]
     labels = spark.createDataFrame([("Ａ—b",), ("a – b",), (None,), ("plain - x",)], "t string")
     assert [r[0] for r in labels.select(C.norm_label(F.col("t"))).collect()] == ["a-b", "a - b", None, "plain - x"]
 
