@@ -89,10 +89,11 @@ class Salts:
         return (mix(bucket.view(np.uint64) ^ mix(salt.astype(np.uint64) + np.uint64(1))) % self.groups).astype(np.int32)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10, functions: int = 8, width: float = 2.0, probes: int = 100, seed: int = 5, group_rows: int = 50_000, bucket_rows: int = 5_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10, functions: int = 8, width: float = 2.0, probes: int = 100, seed: int = 5, group_rows: int = 50_000, bucket_rows: int = 5_000, query_rows: int = 2_000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` its k nearest rows of `vectors`, itself left out.
 
-    Both have (vec_id, embedding); an id in both is the same row.
+    Both have (vec_id, embedding); an id in both is the same row. query_rows: about how many queries a task holds; a group that
+    more of them visit is searched once a block of queries.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
@@ -169,6 +170,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
                 lists = [pa.ListArray.from_arrays(ends, pa.array(bucket)), pa.ListArray.from_arrays(ends, pa.array(salt, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([pa.array(t[first], pa.int32()), pa.array(g[first]), *own.columns, *lists], ["t", "g", "class", "v", "buckets", "salts"])
 
+    def visit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in visit_rows(batches):
+            cell, n = np.unique(np.stack([batch.column("t").to_numpy(), batch.column("g").to_numpy()]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[0], pa.int32()), pa.array(cell[1], pa.int32()), pa.array(n)], ["t", "g", "n"])
+
+    def blocked(ask: DataFrame, index: DataFrame, by: list[str], crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both sides with the block of queries `qb`, of which crowded groups (by, blocks; at most one row a table and group) have several."""
+        parts = F.coalesce("blocks", F.lit(1)).cast("int")
+        ask = ask.join(F.broadcast(crowded), by, "left").withColumn("qb", F.pmod(F.xxhash64("class"), parts).cast("int")).drop("blocks")
+        return ask, index.join(F.broadcast(crowded), by, "left").withColumn("qb", F.explode(F.sequence(F.lit(0), parts - 1))).drop("blocks")
+
     placed = indexed.mapInArrow(index_rows, "t int, g int, bucket long, salt int, class long, v array<double>")
     visited = asked_classes.select("class", "v").mapInArrow(visit_rows, "t int, g int, class long, v array<double>, buckets array<long>, salts array<int>")
 
@@ -206,14 +218,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
         who = np.broadcast_to(ask.column("class").to_numpy()[:, None], found.shape)
         return pa.table([pa.array(who[keep]), pa.array(found[keep]), pa.array(best[keep])], names)
 
-    near = visited.groupBy("t", "g").cogroup(placed.groupBy("t", "g"))
+    visits = asked_classes.select("class", "v").mapInArrow(visit_counts, "t int, g int, n long").groupBy("t", "g").agg(F.ceil(F.sum("n") / query_rows).alias("blocks"))
+    visited, placed = blocked(visited, placed, ["t", "g"], saved(visits.where("blocks > 1")))
+    near = visited.groupBy("t", "g", "qb").cogroup(placed.groupBy("t", "g", "qb"))
     merged = near.applyInArrow(lambda ask, index: nearest(index, ask), "query long, class long, score double")
     merged = saved(merged.groupBy("query", "class").agg(F.max("score").alias("score")))
     # Queries with too few candidates see all vectors, dealt to groups by hash.
     found = merged.groupBy("query").agg(F.count("*").alias("found"))
     few = asked_classes.join(found, F.col("class") == F.col("query"), "left").where(F.coalesce("found", F.lit(0)) <= k)
     own_group = F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int")
-    few = few.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "v")
+    few = saved(few.select("class", "v"))
+    blocks = max(1, -(-few.count() // query_rows))
+    few = few.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("qb"), "class", "v")
 
     def scan(ask: pa.Table, index: pa.Table) -> pa.Table:
         out = []
@@ -226,7 +242,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 10
         columns = list(zip(*out, strict=True)) or [[], [], []]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "class", "score"])
 
-    scanned = few.groupBy("g").cogroup(indexed.select(own_group.alias("g"), "class", "v").groupBy("g")).applyInArrow(scan, "query long, class long, score double")
+    every = indexed.select(own_group.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), "class", "v")
+    scanned = few.groupBy("g", "qb").cogroup(every.groupBy("g", "qb")).applyInArrow(scan, "query long, class long, score double")
     merged = merged.unionByName(scanned).groupBy("query", "class").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     merged = merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")

@@ -78,7 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
         F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens"),
         F.xxhash64(text, text.isNull()).alias("group_hash"),
     )
-    rows = saved(rows)
+    rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))  # spreads rows of one id, or none
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     group = ["group_hash", "text_crc32", "size"]
     lanes = min(max_lanes, max(1, -(-total[1] // lane_groups)))
@@ -105,7 +105,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     left = np.array([total[0], total[2], total[1]], float) / shards - full
     room = left / np.maximum(1, left.sum(axis=0))
     hot = large.select(*group, F.when(F.col("whole") < 0, F.col("pieces")).alias("pieces"), F.when(F.col("whole") >= 0, F.col("whole")).alias("whole"))
-    rows = rows.join(F.broadcast(hot), group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
+    rows = rows.join(F.broadcast(hot), group, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", "row", F.lit(3)), "pieces"), F.lit(0))).drop("pieces")
     key = [*group, "piece"]
     sums = rows.where("whole is null").groupBy(key).agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"))
 
@@ -118,8 +118,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, lane_groups: int = 20_000,
     placed = rows.where("whole is null").drop("whole").join(placed, key)
     placed = saved(placed.unionByName(rows.where("whole is not null").withColumnRenamed("whole", "shard")))
     buckets = max(1, -(-total[1] // bucket_rows))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group_hash", F.lit(5)), F.lit(buckets)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "row", F.lit(5)), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "group_hash")
+    own = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "group_hash", "row")
     return placed.join(bases, ["shard", "bucket"]).withColumn("slot", F.col("base") + F.row_number().over(own) - 1).select("doc_id", "size", "text_crc32", "tokens", "group_hash", "piece", "shard", "slot")

@@ -478,8 +478,20 @@ def test_training_order_odd_rows(spark, odd_docs, no_docs, tmp_path):
 # -- neighbours ------------------------------------------------------------------------------------------------------
 
 
-def test_multiprobe_recall_and_order(spark):
-    e = table(spark, "/root/testdata/sf0.01", "embeddings")
+def test_many_queries_are_searched_in_blocks(spark):
+    """A large cluster that all queries visit, and many queries of too few candidates: the same rows in blocks of seven queries."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.eye(8)[0] + 0.01 * rng.normal(size=(300, 8)), rng.normal(size=(300, 8))])
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 5 = 0")
+    for few in ({}, {"probes": 1, "width": 0.2}):
+        whole, blocks = (sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(e, q, k=20, query_rows=n, **few).collect()) for n in (10_000, 7))
+        assert whole == blocks and len(whole) == 20 * 120
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_multiprobe_recall_and_order(spark, size):
+    e = table(spark, f"/root/testdata/{size}", "embeddings")
     rows = e.collect()
     x = np.array([r.embedding for r in rows], float)
     ids = np.array([r.vec_id for r in rows])
@@ -565,6 +577,17 @@ def test_a_hot_group_is_dealt_in_pieces(spark):
     assert max(sums.values()) < 1.02 * min(sums.values())
 
 
+def test_rows_without_ids_spread_over_pieces(spark):
+    docs = spark.range(3000).select(F.when(F.col("id") < 500, F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    rows = sharding.shard_documents(docs, 8, lane_groups=50, bucket_rows=100).collect()
+    pieces = Counter(r.piece for r in rows)
+    assert len(pieces) > 8 and max(pieces.values()) < 3 * len(rows) / len(pieces)
+    by_shard = defaultdict(list)
+    for r in rows:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+
+
 def test_groups_below_a_shards_share_stay_whole(spark):
     """Groups above a lane's bound have one shard each at any number of lanes; bytes stay balanced."""
     n = 8000
