@@ -7,6 +7,7 @@ stays short and a lost executor costs no earlier round. Only counts come back to
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,46 +36,62 @@ def rank_seeds(reached: DataFrame, meta: DataFrame, n: int) -> DataFrame:
     return sizes.join(meta, "seed").orderBy(F.desc("size"), F.desc("depth"), F.desc("chars"), "seed").limit(n).select("seed", "size", "depth")
 
 
-def dependency_depth(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def dependency_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): 0 for nodes that depend on nothing, else one more than the deepest dependency.
 
-    edges: (src, dst), src depends on dst. Raises if the graph has a cycle.
+    edges: (src, dst), src depends on dst. Nodes are peeled off in waves: a node whose last dependency went in the wave
+    before is next, so each edge is dropped once and the frame shrinks. Raises if edges are left but no node is free: a cycle.
     """
-    links = edges.select("src", "dst").distinct()
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    cur = checkpointed(nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)))
-    out = cur
-    for depth in range(1, max_depth + 1):
-        cur = checkpointed(links.join(cur, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct().withColumn("depth", F.lit(depth)))
-        if cur.isEmpty():
-            return out.groupBy("node").agg(F.max("depth").alias("depth"))
-        out = out.unionByName(cur)
-    raise ValueError(f"dependency_depth: deeper than {max_depth}, or a cycle")
-
-
-def vote_fixpoint(nodes: DataFrame, lineage: DataFrame, joins: DataFrame, max_rounds: int = 100) -> DataFrame:
+    left = checkpointed(edges.select("src", "dst").distinct())
+    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+    wave = checkpointed(nodes.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)))
+    out = wave
+    for depth in count(1):
+        done = wave.select(F.col("node").alias("dst"))
+        touched = left.join(done, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        rest = checkpointed(left.join(done, "dst", "left_anti").select("src", "dst"))
+        wave = checkpointed(touched.join(rest.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        left = rest
+        if wave.isEmpty():
+            break
+        out = out.unionByName(wave)
+    if not left.isEmpty():
+        raise ValueError("dependency_depth: the graph has a cycle")
+    return out
+
+
+def vote_fixpoint(nodes: DataFrame, lineage: DataFrame, joins: DataFrame) -> DataFrame:
     """Nodes (node, family, own) with nulls in family filled by neighbours' votes until nothing changes.
 
     In a round all unresolved nodes look at the same frozen snapshot: lineage neighbours vote; only where
     they give none, join neighbours do. Most votes win; a tie goes to the node's own family if it is among
-    the tied, else the node is `tie` and stays so. Edges are (node, other). Raises if not stable in time.
+    the tied, else the node is `tie` and stays so. Edges are (node, other).
+
+    A node with any vote is settled in that round, so what is open has none of the nodes settled before as a neighbour:
+    only those settled in the last round vote, over the edges of open nodes, and both shrink round by round. Every
+    round settles a node or ends the loop.
     """
-    cur = checkpointed(nodes.select("node", "family", "own"))
-    for _ in range(max_rounds):
-        known = cur.where("family is not null and family <> 'tie'").select(F.col("node").alias("other"), F.col("family").alias("vote"))
-        open_nodes = cur.where("family is null").select("node", "own")
-        by = lambda e, known=known, open_nodes=open_nodes: open_nodes.join(e, "node").join(known, "other").groupBy("node", "own", "vote").agg(F.count("*").alias("n"))
-        first = by(lineage)
-        second = by(joins).join(first.select("node").distinct(), "node", "left_anti")
+    given = checkpointed(nodes.select("node", "family", "own"))
+    unsettled = given.where("family is null").select("node", "own")
+    both = lineage.select("node", "other", F.lit(0).alias("kind")).unionByName(joins.select("node", "other", F.lit(1).alias("kind")))
+    edges = checkpointed(both.join(unsettled, "node"))
+    voters = given.where("family is not null").select("node", "family")
+    settled = []
+    while True:
+        votes = voters.where("family <> 'tie'").select(F.col("node").alias("other"), F.col("family").alias("vote"))
+        counted = edges.join(votes, "other").groupBy("node", "own", "kind", "vote").agg(F.count("*").alias("n"))
         w = Window.partitionBy("node")
-        tied = first.unionByName(second).withColumn("most", F.max("n").over(w)).where("n = most")
+        tied = counted.withColumn("first", F.min("kind").over(w)).where("kind = first").withColumn("most", F.max("n").over(w)).where("n = most")
         won = tied.groupBy("node").agg(F.count("*").alias("k"), F.min("vote").alias("only"), F.bool_or(F.col("vote") == F.col("own")).alias("has_own"), F.first("own").alias("own"))
-        won = won.select("node", F.when(F.col("k") == 1, F.col("only")).when(F.col("has_own"), F.col("own")).otherwise("tie").alias("won"))
-        won = checkpointed(won)
-        if won.isEmpty():
-            return cur.select("node", "family")
-        cur = checkpointed(cur.join(won, "node", "left").select("node", F.coalesce("family", "won").alias("family"), "own"))
-    raise RuntimeError(f"vote_fixpoint: not stable after {max_rounds} rounds")
+        voters = checkpointed(won.select("node", F.when(F.col("k") == 1, F.col("only")).when(F.col("has_own"), F.col("own")).otherwise("tie").alias("family")))
+        if voters.isEmpty():
+            break
+        settled.append(voters)
+        edges = checkpointed(edges.join(voters.select("node"), "node", "left_anti").select("node", "other", "kind", "own"))
+    if not settled:
+        return given.select("node", "family")
+    found = reduce(DataFrame.unionByName, settled).select("node", F.col("family").alias("won"))
+    return given.join(found, "node", "left").select("node", F.coalesce("family", "won").alias("family"))
 
 
 def resolve_chain(nodes: DataFrame, stages: Sequence[tuple[str, DataFrame | Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -90,21 +107,20 @@ def resolve_chain(nodes: DataFrame, stages: Sequence[tuple[str, DataFrame | Call
     return cur
 
 
-def absorb_when_all(nodes: DataFrame, partners: DataFrame, members: DataFrame, max_rounds: int = 100) -> DataFrame:
+def absorb_when_all(nodes: DataFrame, partners: DataFrame, members: DataFrame) -> DataFrame:
     """(node, round): a node joins the class once all its partners are in it; those given are round 0.
 
     partners: (node, other). A node without partners isn't absorbed.
     """
     cur = checkpointed(members.select("node").distinct().withColumn("round", F.lit(0)))
     links = partners.select("node", "other").distinct()
-    for k in range(1, max_rounds + 1):
+    for k in count(1):  # every round absorbs a node or ends the loop
         flagged = links.join(cur.select(F.col("node").alias("other"), F.lit(True).alias("_in")), "other", "left")
         full = flagged.groupBy("node").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all")).where("_all").select("node")
         new = checkpointed(full.join(nodes.select("node"), "node", "left_semi").join(cur, "node", "left_anti").withColumn("round", F.lit(k)))
         if new.isEmpty():
             return cur
         cur = checkpointed(cur.unionByName(new))
-    raise RuntimeError(f"absorb_when_all: not stable after {max_rounds} rounds")
 
 
 def inherit_from_parent(nodes: DataFrame, parents: DataFrame, hops: int = 3) -> DataFrame:

@@ -105,9 +105,9 @@ def search_like(df: DataFrame, column: str, tokens: Sequence[str], order: Sequen
     return df.where(reduce(lambda a, b: a & b, [F.contains(F.upper(column), F.lit(t.upper())) for t in tokens])).orderBy(*order).limit(k)
 
 
-def search_snapshot(df: DataFrame, equal: Mapping[str, object], text: Sequence[str] = (), free: str | None = None, hints: Sequence[str] = (), by: str | None = None, limit: int = 1000) -> DataFrame:
+def search_snapshot(df: DataFrame, equal: Mapping[str, object], text: Sequence[str] = (), free: str | None = None, hints: Sequence[str] = (), by: str | None = None, limit: int | None = 1000) -> DataFrame:
     """Rows that meet all equalities and hold the free text, or all hint words, in one of the text columns;
-    grouped by a column as an array of rows if `by` is given."""
+    grouped by a column as an array of rows if `by` is given. limit: the first so many rows in order of the columns; None: all."""
     out = df
     for c, v in equal.items():
         if v is not None:
@@ -116,10 +116,25 @@ def search_snapshot(df: DataFrame, equal: Mapping[str, object], text: Sequence[s
         whole = F.lower(F.concat_ws(" ", *text))
         every = reduce(lambda a, b: a & b, [F.contains(whole, F.lit(h.lower())) for h in hints]) if hints else F.lit(False)
         out = out.where((F.contains(whole, F.lit(free.lower())) if free else F.lit(False)) | every)
-    out = out.orderBy(*df.columns).limit(limit)
+    if limit is not None:
+        out = out.orderBy(*df.columns).limit(limit)
     return out if by is None else out.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != by]))).alias("rows"))
 
 
+def longest_prefixes(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame:
+    """F28 over a dictionary of any size: `df` with `entry`, the longest name of the dictionary (name) that begins the column.
+
+    Distinct values are cut at the lengths that names have (no more than the longest name is long) and joined by equality.
+    """
+    names = dictionary.where("name <> ''").select("name").distinct()
+    sizes = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())
+    values = df.select(F.col(column).alias("_v")).where("_v is not null").distinct()
+    cuts = F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.length("_v")) if sizes else F.array().cast("array<int>")
+    begun = values.select("_v", F.explode(F.transform(cuts, lambda n: F.substr("_v", F.lit(1), n))).alias("name")).join(names, "name")
+    best = begun.groupBy("_v").agg(F.max_by("name", F.length("name")).alias("entry"))
+    return df.join(best, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def drop_artifacts(df: DataFrame, column: str, pattern: str = r"(?i)^(XMLTABLE|DUAL|SAWITH\d+|TABLE\d+)$") -> DataFrame:
     """Rows whose object isn't a pseudo-object; null objects stay."""
     return df.where(F.coalesce(~F.col(column).rlike(pattern), F.lit(True)))

@@ -79,10 +79,17 @@ def p11(spark, d):
 @query("p12_search_snapshot", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND contains(props, '1') AND contains(props, 'k') GROUP BY 1")
 def p12(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "props")
-    out = P.search_snapshot(e, {"event_type": "click", "event_id": None}, ["props"], hints=["k", "1"], by="user_id", limit=1_000_000)
+    out = P.search_snapshot(e, {"event_type": "click", "event_id": None}, ["props"], hints=["k", "1"], by="user_id", limit=None)
     return out.select("user_id", F.size("rows").cast("long").alias("n"))
 
 
+@query("f28_longest_prefixes", "WITH n AS (SELECT DISTINCT left(p_type, p_size % 9 + 2) AS name FROM part) SELECT p_partkey, arg_max(name, length(name)) AS entry FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END || p_type AS t FROM part) LEFT JOIN n ON starts_with(t, name) GROUP BY 1")
+def f28b(spark, d):
+    p = table(spark, d, "part")
+    texts = p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(""), "p_type").alias("t"))
+    return P.longest_prefixes(texts, "t", p.select(F.left("p_type", (F.col("p_size") % 9 + 2).cast("int")).alias("name"))).select("p_partkey", "entry")
+
+
 @query("p13_drop_artifacts", "SELECT p_partkey FROM part WHERE p_partkey % 4 > 0")
 def p13(spark, d):
     k = F.col("p_partkey")

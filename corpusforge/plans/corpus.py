@@ -8,7 +8,6 @@ from ..operators import calls as A
 from ..operators import mining as M
 from ..operators.aggregates import cooccurrence
 from .registry import query, table
-from .relational import schema_columns
 from .scalar import NORM_SQL
 from .standins import duck, view
 
@@ -140,13 +139,11 @@ def m10(spark, d):
     return M.join_column_stats(view(spark, d, "f_joins"), view(spark, d, "f_tables"), 0.5)
 
 
-_COLS = "(SELECT upper(table_name) AS table_name, upper(column_name) AS column_name FROM duckdb_columns() WHERE table_name IN ('customer', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier'))"
-
-
-@query("m11_grain_registry", f"SELECT table_name, CASE WHEN bool_or(column_name LIKE '%DATE') THEN 'dated' WHEN bool_or(column_name LIKE '%STATUS') THEN 'status' ELSE 'keyed' END AS grain, coalesce(min(column_name) FILTER (column_name LIKE '%DATE'), min(column_name) FILTER (column_name LIKE '%STATUS'), min(column_name) FILTER (column_name LIKE '%KEY')) AS signal, CASE table_name WHEN 'ORDERS' THEN (SELECT count(*) FROM orders) ELSE 0 END AS statements FROM {_COLS} GROUP BY 1")
+@query("m11_grain_registry", duck("SELECT c.table_name, CASE WHEN d IS NOT NULL THEN 'dated' WHEN k IS NOT NULL THEN 'keyed' ELSE 'ordered' END AS grain, coalesce(d, k, o) AS signal, coalesce(statements, 0) AS statements FROM (SELECT table_name, min(column_name) FILTER (column_name LIKE '%5_DATE') AS d, min(column_name) FILTER (column_name LIKE '%9_KEY') AS k, min(column_name) FILTER (column_name LIKE '%_ORDER') AS o FROM {catalog} GROUP BY 1) c LEFT JOIN (SELECT 'T' || l_suppkey AS table_name, count(DISTINCT l_orderkey) AS statements FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) e ON e.table_name = c.table_name WHERE coalesce(d, k, o) IS NOT NULL"))
 def m11(spark, d):
-    evidence = table(spark, d, "orders").agg(F.lit("ORDERS").alias("table_name"), F.count("*").alias("statements"))
-    return M.grain_registry(schema_columns(spark, d), {"dated": "DATE$", "status": "STATUS$", "keyed": "KEY$"}, evidence)
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    evidence = returned.groupBy(F.concat(F.lit("T"), "l_suppkey").alias("table_name")).agg(F.count_distinct("l_orderkey").alias("statements"))
+    return M.grain_registry(view(spark, d, "catalog"), {"dated": "5_DATE$", "keyed": "9_KEY$", "ordered": "_ORDER$"}, evidence)
 
 
 @query("m12_lookup_values", "SELECT o_orderkey AS sql_hash, CASE WHEN o_orderstatus < 'Z' THEN o_orderstatus || ',Z' END AS vals FROM orders")

@@ -180,12 +180,6 @@ def a13(spark, d):
     return A.literal_roles(view(spark, d, "f_predicates"), 5)
 
 
-def schema_columns(spark, d):
-    """(table_name, column_name, ordinal, data_type) of the given tables: their own schemas are the dictionary."""
-    rows = [(t.upper(), f.name.upper(), i + 1, f.dataType.simpleString()) for t in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier") for i, f in enumerate(table(spark, d, t).schema)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, data_type string")
-
-
 @query("a14_column_signals", duck("SELECT table_name, arg_min(column_name, ordinal) FILTER (column_name LIKE '%DATE') AS dated, arg_min(column_name, ordinal) FILTER (column_name LIKE '%KEY') AS keyed FROM {catalog} GROUP BY 1"))
 def a14(spark, d):
     return A.column_signals(view(spark, d, "catalog"), {"dated": "DATE$", "keyed": "KEY$"})
