@@ -16,8 +16,8 @@ their radii are at most the whole ball's, and a task needs no other task's.
 A round is one pass over the vectors without a shuffle of them: tasks emit counts and sums by part, entry and
 position, which are added up and brought to the driver (parts x entries x positions, whatever the number of
 rows). A pass replays the earlier rounds' assignments from their codebooks (some kilobytes in the task),
-so no per-row state is written between rounds and a lost executor costs its tasks only. The balls
-make these replays cheap: assignments change little from round to round.
+so no per-row state is written between rounds and a lost executor costs its tasks only. The price
+is 28 assignments in place of 7, less what the balls save: much on clustered parts, only 6 % of the distances on the even test vectors.
 
 Nulls: a vector that is null or holds a null or non-finite component is dropped. A vector of another length than
 most (ties: the longest) stays with null code and error. Null vec_ids come last in the choice of the first
