@@ -36,6 +36,94 @@ def rank_seeds(reached: DataFrame, meta: DataFrame, n: int) -> DataFrame:
     return sizes.join(meta, "seed").orderBy(F.desc("size"), F.desc("depth"), F.desc("chars"), "seed").limit(n).select("seed", "size", "depth")
 
 
+def reach_sketches(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(node, n, estimate): the number of nodes that each reaches, itself included: exact below k, else n = k and an estimate.
+
+    A node keeps the k least hashes of what it reaches (the node beside each, so equal hashes stay apart). Only newly kept
+    ones go on to its parents, so rounds shrink; a node keeps k at a time, whatever it reaches. Ends on cycles too.
+    """
+    own = nodes.select("node", F.xxhash64("node").alias("h"), F.col("node").alias("item"))
+    seen = frontier = checkpointed(own)
+    w = Window.partitionBy("node").orderBy("h", "item")
+    while True:
+        up = frontier.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "h", "item").distinct()
+        up = checkpointed(up.join(seen, ["node", "h", "item"], "left_anti"))
+        if up.isEmpty():
+            break
+        held = seen.join(up.select("node").distinct(), "node", "left_semi")
+        both = held.withColumn("new", F.lit(False)).unionByName(up.withColumn("new", F.lit(True)))
+        frontier = checkpointed(both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).where("new").select("node", "h", "item"))
+        seen = seen.unionByName(frontier)
+    kept = seen.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    share = (F.max("h").cast("double") + 2.0**63 + 1) / 2.0**64
+    n = F.count("*")
+    return checkpointed(kept.groupBy("node").agg(n.alias("n"), F.when(n < k, n.cast("double")).otherwise((k - 1) / share).alias("estimate")))
+
+
+def _reach_bounds(sketches: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(node, bound): no node reaches more than itself and the sum of what its children do, nor than all nodes. Only parents of
+    nodes whose bound fell are looked at again."""
+    most = sketches.count()
+    bounds = checkpointed(sketches.select("node", F.when(F.col("n") < k, F.col("n")).otherwise(most).alias("bound")))
+    fell = bounds.where(F.col("bound") < most).select("node")
+    while True:
+        parents = links.join(fell.select(F.col("node").alias("dst")), "dst", "left_semi").select("src").distinct()
+        sums = links.join(parents, "src", "left_semi").join(bounds.select(F.col("node").alias("dst"), "bound"), "dst").groupBy(F.col("src").alias("node")).agg((F.sum("bound") + 1).alias("_sum"))
+        lower = checkpointed(sums.join(bounds, "node").where("_sum < bound").select("node", F.col("_sum").alias("bound")))
+        if lower.isEmpty():
+            return bounds
+        fell = lower.select("node")
+        bounds = checkpointed(bounds.join(fell, "node", "left_anti").unionByName(lower))
+
+
+def top_seeds(seeds: DataFrame, edges: DataFrame, meta: DataFrame, n: int, k: int = 16) -> DataFrame:
+    """G2 without the closure of every seed: the rows of rank_seeds(closure(seeds, edges), meta, n).
+
+    Sketches of k hashes a node give exact sizes below k and estimates above. Closures are made of the n seeds of the largest
+    estimates first; the n-th largest size so far is the bar. A seed is out once a bound of its size is below it: the
+    bound from its children's, or the size of any seed made before that reaches it. The rest follows in batches, each
+    four times the last, so the result is exact whatever the estimates were. Seeds that tie at the bar are all made, as
+    depth decides among them.
+    """
+    links = checkpointed(edges.select("src", "dst").distinct())
+    left = checkpointed(seeds.select("seed").distinct())
+    nodes = left.select(F.col("seed").alias("node")).union(links.select("src")).union(links.select("dst")).distinct()
+    sketches = reach_sketches(nodes, links, k)
+    bounds = _reach_bounds(sketches, links, k)
+    left = checkpointed(left.join(sketches.withColumnRenamed("node", "seed"), "seed").join(bounds.withColumnRenamed("node", "seed"), "seed").select("seed", "estimate", "bound"))
+    batch, made, size, bar = left.orderBy(F.desc("estimate"), "seed").limit(n), None, n, 0
+    while True:
+        batch = checkpointed(batch.select("seed"))
+        reached = checkpointed(closure(batch, links))
+        sizes = checkpointed(reached.groupBy("seed").agg(F.count("*").alias("size"), F.max("depth").alias("depth")))
+        made = sizes if made is None else made.unionByName(sizes)
+        best = made.orderBy(F.desc("size")).limit(n).agg(F.count("*").alias("k"), F.min("size").alias("bar")).first()
+        bar = best["bar"] if best["k"] == n else 0
+        caps = reached.join(sizes.select("seed", "size"), "seed").groupBy(F.col("node").alias("seed")).agg(F.min("size").alias("cap"))
+        open_ = left.join(batch, "seed", "left_anti").join(caps, "seed", "left")
+        left = checkpointed(open_.select("seed", "estimate", F.least("bound", "cap").alias("bound")).where(F.col("bound") >= bar))
+        waiting, size = left.count(), size * 4
+        if not waiting:
+            return made.join(meta, "seed").orderBy(F.desc("size"), F.desc("depth"), F.desc("chars"), "seed").limit(n).select("seed", "size", "depth")
+        cut = left.agg(F.percentile_approx("estimate", F.lit(max(0.0, 1 - size / waiting)), F.lit(10000))).first()[0]
+        batch = left.where(F.col("estimate") >= cut)
+
+
+def union_closure(seeds: DataFrame, edges: DataFrame, waves: DataFrame) -> DataFrame:
+    """(node, depth): all that the seeds reach, each node once, with its depth in `waves` (node, depth); null where it has none.
+
+    Rows are nodes, not (seed, node) pairs.
+    """
+    links = edges.select("src", "dst").distinct()
+    seen = frontier = checkpointed(seeds.select(F.col("seed").alias("node")).distinct())
+    while True:
+        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen.join(waves.select("node", "depth"), "node", "left")
+        seen = seen.unionByName(frontier)
+
+
 def dependency_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): 0 for nodes that depend on nothing, else one more than the deepest dependency.
 

@@ -42,13 +42,15 @@ def compare_counts(built: Mapping[str, DataFrame], previous: Mapping[str, DataFr
     return j.withColumn("state", F.when(F.col("expected").isNotNull() & (F.col("expected") != F.col("built")), "wrong").when(F.col("previous") == F.col("built"), "same").otherwise("changed"))
 
 
+def side_counts(name: str, diff: DataFrame) -> DataFrame:
+    """(name, only_built, only_previous): how many rows of a two-way diff are on either side."""
+    rows_on = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+    return diff.agg(F.lit(name).alias("name"), rows_on("a").alias("only_built"), rows_on("b").alias("only_previous"))
+
+
 def compare_content(built: Mapping[str, DataFrame], previous: Mapping[str, DataFrame]) -> DataFrame:
     """Q2: (name, only_built, only_previous): rows, as multisets, on one side only."""
-    parts = []
-    for k, df in built.items():
-        d = diff_two_way(df, previous[k], df.columns)
-        parts.append(d.agg(F.lit(k).alias("name"), F.coalesce(F.sum(F.when(F.col("side") == "a", F.col("n"))), F.lit(0)).alias("only_built"), F.coalesce(F.sum(F.when(F.col("side") == "b", F.col("n"))), F.lit(0)).alias("only_previous")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b), [side_counts(k, diff_two_way(df, previous[k], df.columns)) for k, df in built.items()])
 
 
 def dangling_report(tables: Mapping[str, DataFrame], refs: Sequence[tuple[str, str, str, str]]) -> DataFrame:

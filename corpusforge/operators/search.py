@@ -42,17 +42,33 @@ def suggest(requests: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request", "name", "score", "rank")
 
 
-def nearest_labels(requests: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """K8: (request, name, score, rank): nearest labels: equal key 0, equal loose key 0.5, containment 1 and a
-    hundredth a character of difference, edits within max(2, length / 4) two and their number."""
+def _label_pairs(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(request, name, score) of all labels near enough to requests."""
     r = requests.select("request").distinct().withColumn("q", loose_key(F.col("request")))
     d = labels.select("name").distinct().withColumn("key", loose_key(F.col("name")))
     pairs = near_pairs(r.withColumn("bound", F.greatest(F.lit(2), F.floor(F.length("q") / 4)).cast("int")), d)
     edits = F.levenshtein("q", "key")
     inside = F.contains("key", "q") | F.contains("q", "key")
     score = F.when(match_key(F.col("request")) == match_key(F.col("name")), 0.0).when(F.col("q") == F.col("key"), 0.5).when(inside, F.round(1 + F.abs(F.length("q") - F.length("key")) * 0.01, 4)).when(edits <= F.col("bound"), 2.0 + edits)
+    return pairs.withColumn("score", score).where("score is not null").select("request", "name", "score")
+
+
+def nearest_labels(requests: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """K8: (request, name, score, rank): nearest labels: equal key 0, equal loose key 0.5, containment 1 and a
+    hundredth a character of difference, edits within max(2, length / 4) two and their number."""
     w = Window.partitionBy("request").orderBy("score", "name")
-    return pairs.withColumn("score", score).where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request", "name", "score", "rank")
+    return _label_pairs(requests, labels).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest_in_scope(requests: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+    """K8 within scopes: (scope, request, name, score, rank) for requests (scope, request) against labels (scope, name).
+
+    Names are compared once, whatever the scopes; what is near is then kept where the scope holds it.
+    """
+    r, d = requests.select("scope", "request").distinct(), labels.select("scope", "name").distinct()
+    pairs = r.join(_label_pairs(r, d), "request").join(d, ["scope", "name"])
+    w = Window.partitionBy("scope", "request").orderBy("score", "name")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("scope", "request", "name", "score", "rank")
 
 
 def match_label(requests: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,3 +204,32 @@ def resolve_references(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     code = F.when(F.col("has_area").isNull(), "unknown_area").when(F.col("folder").isNotNull() & F.col("has_folder").isNull(), "unknown_folder").when(F.col("n") == 0, "unknown_column").when(F.col("n") > 1, "ambiguous").when((F.col("to_column") != F.col("column")) | (F.col("folder") != F.col("to_folder")), "spelling").otherwise("ok")
     one = F.col("n") == 1
     return grouped.select("ref_id", F.when(one, F.col("to_folder")).alias("to_folder"), F.when(one, F.col("to_column")).alias("to_column"), code.alias("code"))
+
+
+def explain_misses(refs: DataFrame, catalog: DataFrame, k: int = 5, holders: int = 5, choices: int = 8) -> DataFrame:
+    """(ref_id, code, kind, rank, suggestion): what helps on references that resolve_references left open.
+
+    An unknown area has the nearest areas (kind area), an unknown folder the nearest folders of its area (folder), an
+    unknown column the nearest columns of its folder (column) and the first folders of the area that do hold it
+    (holder); an ambiguous column the first folders that hold it (holder). Names come as the catalog spells them, the first of
+    equal keys. A reference without help has no row. Equal references are looked up once.
+    """
+    key = lambda c: match_key(F.col(c))
+    scope = lambda *parts: F.to_json(F.array(*[F.col(p) for p in parts]))
+    codes = resolve_references(refs, catalog).select("ref_id", "code").where(~F.col("code").isin("ok", "spelling"))
+    open_ = checkpointed(refs.select("ref_id", "area", "folder", "column").join(codes, "ref_id").withColumns({"ka": key("area"), "kf": key("folder"), "kc": key("column")}))
+    names = catalog.select("area", "folder", "column", key("area").alias("ka"), key("folder").alias("kf"), key("column").alias("kc"))
+    first = lambda keys, name: names.groupBy(*keys).agg(F.min(name).alias("name"))
+    # One run of the near search answers all three kinds; a scope says what and where.
+    dictionaries = [first(["ka"], "area").select(F.lit("area").alias("kind"), F.lit("").alias("within"), "name"), first(["ka", "kf"], "folder").select(F.lit("folder").alias("kind"), scope("ka").alias("within"), "name"), first(["ka", "kf", "kc"], "column").select(F.lit("column").alias("kind"), scope("ka", "kf").alias("within"), "name")]
+    labels = reduce(DataFrame.unionByName, dictionaries).select(F.concat("kind", F.lit(" "), "within").alias("scope"), "name")
+    no_area, no_folder, no_column = (F.col("code") == c for c in ("unknown_area", "unknown_folder", "unknown_column"))
+    in_folder = no_column & F.col("kf").isNotNull()
+    asked = open_.select("ref_id", "code", F.when(no_area, "area").when(no_folder, "folder").when(in_folder, "column").alias("kind"), F.when(no_area, "").when(no_folder, scope("ka")).otherwise(scope("ka", "kf")).alias("within"), F.when(no_area, F.col("area")).when(no_folder, F.col("folder")).otherwise(F.col("column")).alias("request")).where("kind is not null").withColumn("scope", F.concat("kind", F.lit(" "), "within"))
+    near = asked.join(nearest_in_scope(asked, labels, k), ["scope", "request"]).select("ref_id", "code", "kind", "rank", F.col("name").alias("suggestion"))
+    w = Window.partitionBy("ka", "kc").orderBy("suggestion")
+    wanted = open_.where(no_column | (F.col("code") == "ambiguous"))
+    held = names.join(wanted.select("ka", "kc").distinct(), ["ka", "kc"], "left_semi").select("ka", "kc", F.col("folder").alias("suggestion")).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(holders, choices))
+    most = F.when(no_column, holders).otherwise(choices)
+    held = wanted.join(held, ["ka", "kc"]).where(F.col("rank") <= most).select("ref_id", "code", F.lit("holder").alias("kind"), "rank", "suggestion")
+    return near.unionByName(held)

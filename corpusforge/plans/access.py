@@ -11,7 +11,7 @@ from ..sources import files as S
 from ..sources.shared import fresh_path
 from ..streaming import incremental as T
 from .registry import query, table
-from .scalar import NORM_SQL
+from .scalar import _ENT, _TRIM, NORM_SQL
 from .standins import duck, view
 
 
@@ -370,17 +370,19 @@ def s12(spark, d):
     return S.import_corpus(e, e.where("id % 3 = 0").withColumn("embedding", F.when(F.col("id") % 2 > 0, F.col("embedding"))))[1]
 
 
-@query("s15_extract_dataset_texts", "SELECT page_id % 10 AS path, 'select ' || page_id % 7 || ' < 1 from t' AS text FROM pages GROUP BY 1, 2")
+_P_TEXT = "trim(" + _ENT.format("unnest(regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1))") + ")"
+_CLEAN_A = _TRIM.format(_ENT.format("regexp_extract(block, '(?s)<a(?:\\s[^>]*)?>(.*?)</a>', 1)"))
+
+
+@query("s15_extract_dataset_texts", f"SELECT DISTINCT path, md5(text) AS text_md5 FROM (SELECT page_id AS path, {_P_TEXT} AS text FROM pages) WHERE regexp_matches(text, '^[A-Z]')")
 def s15(spark, d):
-    body = F.concat(F.lit("<dataModel><sql>select "), F.col("page_id") % 7, F.lit(" &lt; 1 from t</sql><sql x='1'><![CDATA[logical]]></sql></dataModel>"))
-    p = table(spark, d, "pages").select((F.col("page_id") % 10).alias("path"), body.alias("xml"))
-    return S.extract_dataset_texts(p, "path", "xml", keep="(?i)^select")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("path"), "html")
+    return S.extract_dataset_texts(pages, "path", "html", tag="p", keep="^[A-Z]").select("path", F.md5("text").alias("text_md5"))
 
 
-@query("s16_extract_blocks", "SELECT page_id, 0 AS block_no, 'n' || page_id AS name, NULL::VARCHAR AS kind FROM pages UNION ALL SELECT page_id, 1, 'b & c', 'k' FROM pages")
+@query("s16_extract_blocks", f"SELECT page_id, CAST(i AS INTEGER) AS block_no, CASE WHEN a <> '' AND lower(a) <> 'null' THEN a END AS a, NULL::VARCHAR AS b FROM (SELECT page_id, i, {_CLEAN_A} AS a FROM (SELECT page_id, unnest(blocks) AS block, unnest(range(len(blocks))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li(?:\\s[^>]*)?>(.*?)</li>', 1) AS blocks FROM pages)))")
 def s16(spark, d):
-    body = F.concat(F.lit("<o><name>n"), "page_id", F.lit("</name><kind> </kind></o><o a='1'><name>b &amp; c</name><kind>k</kind></o>"))
-    return S.extract_blocks(table(spark, d, "pages").select("page_id", body.alias("xml")), "page_id", "xml", "o", ["name", "kind"])
+    return S.extract_blocks(table(spark, d, "pages").select("page_id", "html"), "page_id", "html", "li", ["a", "b"])
 
 
 @query("s17_load_edges", duck("SELECT child AS from_table, parent AS to_table, col || ', fk' AS evidence, 'a < b' AS predicate FROM {fk} WHERE child <> 'T1'"))

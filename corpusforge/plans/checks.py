@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup as P
 from ..operators import quality as Q
+from ..sources import content_tree
+from ..sources.shared import fresh_path
 from .registry import query, table
 from .standins import duck, view
 
@@ -196,6 +198,29 @@ def q02(spark, d):
     return Q.compare_content({"orders": o.where("o_orderkey % 3 = 0")}, {"orders": o.where("o_orderkey % 5 = 0")})
 
 
+_BUILT = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 1000 <> 0"
+_PREVIOUS = "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 777 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders"
+
+
+def _releases(spark, d):
+    """Paths of two stored releases of orders that differ in few keys."""
+    built, previous = fresh_path(spark, "built"), fresh_path(spark, "previous")
+    orders = table(spark, d, "orders")
+    for sql, path in ((_BUILT, built), (_PREVIOUS, previous)):
+        content_tree.save_release(spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=orders), path, ["o_orderkey"], leaves=256, fanout=16)
+    return built, previous
+
+
+@query("q02_compare_releases", f"SELECT 'orders' AS name, (SELECT count(*) FROM ({_BUILT} EXCEPT ALL {_PREVIOUS})) AS only_built, (SELECT count(*) FROM ({_PREVIOUS} EXCEPT ALL {_BUILT})) AS only_previous")
+def q02_stored(spark, d):
+    return content_tree.compare_releases(spark, {"orders": _releases(spark, d)})
+
+
+@query("u03_diff_releases", f"SELECT *, 'a' AS side, CAST(1 AS BIGINT) AS n FROM ({_BUILT} EXCEPT ALL {_PREVIOUS}) UNION ALL SELECT *, 'b', 1 FROM ({_PREVIOUS} EXCEPT ALL {_BUILT})")
+def u03_stored(spark, d):
+    return content_tree.diff_releases(spark, *_releases(spark, d))
+
+
 @query("q03_dangling_report", "SELECT 'orders' AS child, 'o_custkey' AS key, 'customer' AS parent, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'nation', 'n_regionkey', 'region', 0")
 def q03(spark, d):
     t = {k: table(spark, d, k) for k in ("orders", "nation", "region")} | {"customer": table(spark, d, "customer").where("c_acctbal > 0")}

@@ -188,6 +188,34 @@ def k18(spark, d):
     return K.resolve_references(refs, catalog)
 
 
+_MISSES = """
+WITH cat AS (SELECT DISTINCT p_type AS a, p_brand AS f, p_name AS c FROM part),
+r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN left(p_type, length(p_type) - 1) ELSE p_type END AS a,
+  CASE WHEN p_partkey % 6 = 2 THEN NULL WHEN p_partkey % 5 = 0 THEN replace(p_brand, '#', '') ELSE p_brand END AS f,
+  CASE p_partkey % 3 WHEN 0 THEN left(p_name, length(p_name) - 1) WHEN 1 THEN 'hot gear' ELSE p_name END AS c FROM part),
+n AS (SELECT *, (SELECT count(DISTINCT x.f) FROM cat x WHERE x.a = r.a AND x.c = r.c AND (r.f IS NULL OR x.f = r.f)) AS n FROM r),
+k AS (SELECT id, a, f, c, CASE WHEN a NOT IN (SELECT a FROM cat) THEN 'unknown_area' WHEN f IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cat x WHERE x.a = n.a AND x.f = n.f) THEN 'unknown_folder' WHEN n = 0 THEN 'unknown_column' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS code FROM n),
+q AS (SELECT id, code, CASE code WHEN 'unknown_area' THEN 'area' WHEN 'unknown_folder' THEN 'folder' ELSE 'column' END AS kind, CASE code WHEN 'unknown_area' THEN '' WHEN 'unknown_folder' THEN a ELSE a || '|' || f END AS within, CASE code WHEN 'unknown_area' THEN a WHEN 'unknown_folder' THEN f ELSE c END AS request
+  FROM k WHERE code IN ('unknown_area', 'unknown_folder') OR code = 'unknown_column' AND f IS NOT NULL),
+d AS (SELECT DISTINCT 'area' AS kind, '' AS within, a AS name FROM cat UNION SELECT 'folder', a, f FROM cat UNION SELECT 'column', a || '|' || f, c FROM cat),
+s AS (SELECT id, code, kind, name, lower(request) AS x, lower(name) AS y, CASE WHEN x = y THEN 0 WHEN contains(x, y) OR contains(y, x) THEN round(1 + abs(length(x) - length(y)) * 0.01, 4) WHEN levenshtein(x, y) <= greatest(2, length(x) // 4) THEN 2 + levenshtein(x, y) END AS score FROM q JOIN d USING (kind, within)),
+h AS (SELECT a, c, f AS name, row_number() OVER (PARTITION BY a, c ORDER BY f) AS rank FROM cat)
+SELECT id AS ref_id, code, kind, CAST(row_number() OVER (PARTITION BY id ORDER BY score, name) AS INTEGER) AS rank, name AS suggestion FROM s WHERE score IS NOT NULL QUALIFY rank <= 5
+UNION ALL SELECT id, code, 'holder', CAST(rank AS INTEGER), name FROM k JOIN h ON k.a = h.a AND k.c = h.c WHERE code = 'unknown_column' AND rank <= 5 OR code = 'ambiguous' AND rank <= 8
+"""
+
+
+@query("k18_explain_misses", _MISSES)
+def k18_misses(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    catalog = p.select(F.col("p_type").alias("area"), F.col("p_brand").alias("folder"), F.col("p_name").alias("column")).distinct()
+    short = lambda c: F.left(c, F.length(c) - 1)
+    area = F.when(k % 7 == 0, short("p_type")).otherwise(F.col("p_type"))
+    folder = F.when(k % 6 == 2, None).when(k % 5 == 0, F.replace("p_brand", F.lit("#"), F.lit(""))).otherwise(F.col("p_brand"))
+    column = F.when(k % 3 == 0, short("p_name")).when(k % 3 == 1, "hot gear").otherwise(F.col("p_name"))
+    return K.explain_misses(p.select(k.alias("ref_id"), area.alias("area"), folder.alias("folder"), column.alias("column")), catalog)
+
+
 #: Orders as a forest: each order refers to the order of half its number.
 _TREE = "SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders WHERE o_orderkey > 1 AND o_orderkey // 2 IN (SELECT o_orderkey FROM orders)"
 
@@ -203,12 +231,28 @@ def g01(spark, d):
     return G.closure(table(spark, d, "orders").select(F.col("o_orderkey").alias("seed")), _tree(spark, d))
 
 
-@query("g02_rank_seeds", f"WITH RECURSIVE e AS ({_TREE}), c AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION ALL SELECT seed, dst, depth + 1 FROM c JOIN e ON node = src) SELECT seed, count(*) AS size, max(depth) AS depth FROM c GROUP BY 1 ORDER BY size DESC, depth DESC, seed % 100 DESC, seed LIMIT 20")
+_ORACLE_G02 = f"WITH RECURSIVE e AS ({_TREE}), c AS (SELECT o_orderkey AS seed, o_orderkey AS node, 0 AS depth FROM orders UNION ALL SELECT seed, dst, depth + 1 FROM c JOIN e ON node = src) SELECT seed, count(*) AS size, max(depth) AS depth FROM c GROUP BY 1 ORDER BY size DESC, depth DESC, seed % 100 DESC, seed LIMIT 20"
+
+
+@query("g02_rank_seeds", _ORACLE_G02)
 def g02(spark, d):
     seeds = table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"))
     return G.rank_seeds(G.closure(seeds, _tree(spark, d)), seeds.withColumn("chars", F.col("seed") % 100), 20)
 
 
+@query("g02_top_seeds", _ORACLE_G02)
+def g02_sketched(spark, d):
+    seeds = table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"))
+    return G.top_seeds(seeds, _tree(spark, d), seeds.withColumn("chars", F.col("seed") % 100), 20, k=4)
+
+
+@query("g02_union_closure", f"WITH RECURSIVE e AS ({_TREE}), r AS (SELECT DISTINCT dst AS node, 0 AS depth FROM e WHERE dst NOT IN (SELECT src FROM e) UNION ALL SELECT src, depth + 1 FROM r JOIN e ON node = dst), c AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 10 = 1 UNION SELECT dst FROM c JOIN e ON node = src) SELECT c.node, max(depth) AS depth FROM c LEFT JOIN r ON c.node = r.node GROUP BY 1")
+def g02_union(spark, d):
+    tree = _tree(spark, d)
+    seeds = table(spark, d, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("seed"))
+    return G.union_closure(seeds, tree, G.dependency_depth(tree))
+
+
 @query("g03_dependency_depth", f"WITH RECURSIVE e AS ({_TREE}), r AS (SELECT DISTINCT dst AS node, 0 AS depth FROM e WHERE dst NOT IN (SELECT src FROM e) UNION ALL SELECT src, depth + 1 FROM r JOIN e ON node = dst) SELECT node, max(depth) AS depth FROM r GROUP BY 1")
 def g03(spark, d):
     return G.dependency_depth(_tree(spark, d))
