@@ -45,15 +45,17 @@ def reach_sketches(nodes: DataFrame, links: DataFrame, k: int) -> DataFrame:
     own = nodes.select("node", F.xxhash64("node").alias("h"), F.col("node").alias("item"))
     seen = frontier = checkpointed(own)
     w = Window.partitionBy("node").orderBy("h", "item")
-    while True:
-        up = frontier.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "h", "item").distinct()
-        up = checkpointed(up.join(seen, ["node", "h", "item"], "left_anti"))
-        if up.isEmpty():
-            break
+    for rounds in count(1):
+        up = frontier.join(links, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "h", "item")
         held = seen.join(up.select("node").distinct(), "node", "left_semi")
         both = held.withColumn("new", F.lit(False)).unionByName(up.withColumn("new", F.lit(True)))
-        frontier = checkpointed(both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).where("new").select("node", "h", "item"))
+        each = both.groupBy("node", "h", "item").agg(F.bool_and("new").alias("new"))
+        frontier = checkpointed(each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).where("new").select("node", "h", "item"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
+        if rounds % 4 == 0:  # few frames to read, and what fell out of the k least goes
+            seen = checkpointed(seen.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r"))
     kept = seen.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     share = (F.max("h").cast("double") + 2.0**63 + 1) / 2.0**64
     n = F.count("*")
@@ -80,31 +82,35 @@ def top_seeds(seeds: DataFrame, edges: DataFrame, meta: DataFrame, n: int, k: in
     """G2 without the closure of every seed: the rows of rank_seeds(closure(seeds, edges), meta, n).
 
     Sketches of k hashes a node give exact sizes below k and estimates above. Closures are made of the n seeds of the largest
-    estimates first; the n-th largest size so far is the bar. A seed is out once a bound of its size is below it: the
-    bound from its children's, or the size of any seed made before that reaches it. The rest follows in batches, each
-    four times the last, so the result is exact whatever the estimates were. Seeds that tie at the bar are all made, as
-    depth decides among them.
+    estimates first (the longest texts among equals); the n-th row so far is the bar. A seed is out once the best row it could
+    have is below the bar: its size at most a bound from its children's bounds, or the size of any seed made before that
+    reaches it; its depth at most one less than that; its own text length. The rest follows in batches, each four times
+    the last, so the result is exact whatever the estimates were.
     """
     links = checkpointed(edges.select("src", "dst").distinct())
-    left = checkpointed(seeds.select("seed").distinct())
+    chars = meta.groupBy("seed").agg(F.coalesce(F.max("chars"), F.lit(-1)).cast("long").alias("chars"))
+    left = checkpointed(seeds.select("seed").distinct().join(chars, "seed"))
     nodes = left.select(F.col("seed").alias("node")).union(links.select("src")).union(links.select("dst")).distinct()
     sketches = reach_sketches(nodes, links, k)
     bounds = _reach_bounds(sketches, links, k)
-    left = checkpointed(left.join(sketches.withColumnRenamed("node", "seed"), "seed").join(bounds.withColumnRenamed("node", "seed"), "seed").select("seed", "estimate", "bound"))
-    batch, made, size, bar = left.orderBy(F.desc("estimate"), "seed").limit(n), None, n, 0
+    known = sketches.join(bounds, "node").select(F.col("node").alias("seed"), F.least("estimate", "bound").alias("estimate"), "bound")
+    left = checkpointed(left.join(known, "seed"))
+    batch, made, size = left.orderBy(F.desc("estimate"), F.desc("chars"), "seed").limit(n), None, n
     while True:
-        batch = checkpointed(batch.select("seed"))
+        batch = checkpointed(batch.select("seed", "chars"))
         reached = checkpointed(closure(batch, links))
-        sizes = checkpointed(reached.groupBy("seed").agg(F.count("*").alias("size"), F.max("depth").alias("depth")))
+        sizes = checkpointed(reached.groupBy("seed").agg(F.count("*").alias("size"), F.max("depth").alias("depth")).join(batch, "seed"))
         made = sizes if made is None else made.unionByName(sizes)
-        best = made.orderBy(F.desc("size")).limit(n).agg(F.count("*").alias("k"), F.min("size").alias("bar")).first()
-        bar = best["bar"] if best["k"] == n else 0
+        best = made.orderBy(F.desc("size"), F.desc("depth"), F.desc("chars")).limit(n).agg(F.count("*").alias("k"), F.min(F.struct("size", "depth", "chars")).alias("bar")).first()
         caps = reached.join(sizes.select("seed", "size"), "seed").groupBy(F.col("node").alias("seed")).agg(F.min("size").alias("cap"))
-        open_ = left.join(batch, "seed", "left_anti").join(caps, "seed", "left")
-        left = checkpointed(open_.select("seed", "estimate", F.least("bound", "cap").alias("bound")).where(F.col("bound") >= bar))
+        open_ = left.join(batch, "seed", "left_anti").join(caps, "seed", "left").withColumn("bound", F.least("bound", "cap")).drop("cap")
+        if best["k"] == n:
+            row = lambda size, depth, length: F.struct(size.cast("long").alias("size"), depth.cast("long").alias("depth"), length.cast("long").alias("chars"))
+            open_ = open_.where(row(F.col("bound"), F.col("bound") - 1, F.col("chars")) >= row(*map(F.lit, best["bar"])))
+        left = checkpointed(open_)
         waiting, size = left.count(), size * 4
         if not waiting:
-            return made.join(meta, "seed").orderBy(F.desc("size"), F.desc("depth"), F.desc("chars"), "seed").limit(n).select("seed", "size", "depth")
+            return made.drop("chars").join(meta, "seed").orderBy(F.desc("size"), F.desc("depth"), F.desc("chars"), "seed").limit(n).select("seed", "size", "depth")
         cut = left.agg(F.percentile_approx("estimate", F.lit(max(0.0, 1 - size / waiting)), F.lit(10000))).first()[0]
         batch = left.where(F.col("estimate") >= cut)
 
