@@ -123,6 +123,20 @@ def test_top_seeds_without_all_closures(spark, monkeypatch, kind):
         assert sum(made) < 0.7 * sum(r[1] for r in every)
 
 
+def test_top_seeds_of_odd_texts(spark, monkeypatch):
+    """Seeds without a text's row are out, as in rank_seeds; a null length is the shortest; equal rows go by seed."""
+    edges = spark.createDataFrame([(i, i + 100) for i in range(1, 9)], "src long, dst long")
+    meta = spark.createDataFrame([(1, None), (2, 5), (3, 5), (4, 0), (6, None)], "seed long, chars long")
+    seeds = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 6)], "seed long")
+    for n in (2, 4, 5, 9):
+        want = G.rank_seeds(G.closure(seeds, edges), meta, n).collect()
+        assert G.top_seeds(seeds, edges, meta, n, k=4).collect() == want
+    made, closure = [], G.closure
+    monkeypatch.setattr(G, "closure", lambda *a: made.append(a) or closure(*a))
+    G.top_seeds(seeds, edges, meta, 2, k=4).collect()
+    assert len(made) == 1  # all six tie in size and depth: lengths decide, no other closure is made
+
+
 def test_sketches_are_exact_below_k(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (6, 6)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node long")
