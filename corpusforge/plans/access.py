@@ -346,14 +346,15 @@ def s07(spark, d):
     return S.check_pages(rows, counts, ["k"])
 
 
-@query("s07_read_numbered_pages", "SELECT CAST(event_id // 500 + 1 AS INTEGER) AS page, 'a' AS instance, CAST(event_id % 500 AS BIGINT) AS row_no, event_id, user_id, event_type, value FROM events WHERE event_id // 500 + 1 >= 2")
+@query("s07_read_numbered_pages", "SELECT CAST(doc_id // 500 + 1 AS INTEGER) AS page, 'a' AS instance, doc_id % 500 AS row_no, doc_id, source, lang, n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id // 500 + 1 >= 2")
 def s07_numbered(spark, d):
-    """Events as pages of 500 ids, read again from the second page on."""
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", (F.floor(F.col("event_id") / 500) + 1).cast("int").alias("page"))
+    """Documents as pages of 500 ids, read again from the second page on."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", "text", (F.floor(F.col("doc_id") / 500) + 1).cast("int").alias("page"))
     path = fresh_path(spark, "numbered-pages")
-    pattern = SP.write_numbered_pages(events, path, "page", "a")
-    schema = "page int, instance string, row_no long, event_id long, user_id long, event_type string, value double"
-    return SP.read_numbered_pages(spark, path, schema, pattern=pattern, instance="a").where("page >= 2")
+    pattern = SP.write_numbered_pages(docs, path, "page", "a")
+    schema = "page int, instance string, row_no long, doc_id long, source string, lang string, n_chars long, text string"
+    rows = SP.read_numbered_pages(spark, path, schema, pattern=pattern, instance="a").where("page >= 2")
+    return rows.withColumn("text_md5", F.md5("text")).drop("text")
 
 
 @query("s08_flatten_hierarchy", "SELECT r_name AS area, CASE WHEN n_nationkey % 4 > 0 THEN n_name END AS folder, unnest(['a', 'b']) AS col FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 > 0")

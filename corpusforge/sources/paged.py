@@ -244,9 +244,9 @@ def write_numbered_pages(df: DataFrame, path: str, page: str, instance: str) ->
     A page is one value in one task: choose numbers that bound its rows. Page 1 is written even where it is empty.
     """
     fields = [c for c in df.columns if c != page]
-    rows = df.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("rows"))
-    first = df.sparkSession.range(1).select(F.lit(1).cast(df.schema[page].dataType).alias(page))
-    rows = first.join(rows, page, "full").withColumn("rows", F.coalesce("rows", F.array()))
-    body = F.to_json(F.struct(F.col(page).alias("page"), F.lit(instance).alias("instance"), F.size("rows").alias("n_rows"), "rows"))
-    rows.select(F.col(page).alias("page"), body.alias("value")).write.mode("overwrite").partitionBy("page").text(path)
+    rows = df.select(F.col(page).alias("page"), F.struct(*fields).alias("row"))
+    first = df.sparkSession.range(1).select(F.lit(1).alias("page"), F.lit(None).alias("row"))  # lists leave nulls out
+    rows = rows.unionByName(first).groupBy("page").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    body = F.to_json(F.struct("page", F.lit(instance).alias("instance"), F.size("rows").alias("n_rows"), "rows"))
+    rows.select("page", body.alias("value")).write.mode("overwrite").partitionBy("page").text(path)
     return r"^page=(\d+)/part-[^/]*$"
