@@ -11,7 +11,7 @@ group is the number; `instance`: the only one allowed; `partition_bytes`: small
 filters on `page`, which needs spark.sql.python.filterPushdown.enabled.
 
 The folder is listed by the planner and pages are opened by tasks, both through pyarrow (local, HDFS, S3 and other stores it
-knows); `files.read_pages` reads stores that only Spark can open. A task holds one page at a time.
+knows), unpacked where their names end in .gz; `files.read_pages` reads stores that only Spark can open. A task holds one page at a time.
 """
 
 from __future__ import annotations
@@ -239,7 +239,7 @@ def _with_options(spark, reader, schema, kind, pattern, instance):
 
 
 def write_numbered_pages(df: DataFrame, path: str, page: str, instance: str) -> str:
-    """Pages of df's rows by its column of page numbers, one file each, below `page=<n>`; returns the pattern that reads them.
+    """Pages of df's rows by its column of page numbers, one gzipped file each, below `page=<n>`; returns the pattern that reads them.
 
     A page is one value in one task: choose numbers that bound its rows. Page 1 is written even where it is empty.
     """
@@ -248,5 +248,5 @@ def write_numbered_pages(df: DataFrame, path: str, page: str, instance: str) ->
     first = df.sparkSession.range(1).select(F.lit(1).alias("page"), F.lit(None).alias("row"))  # lists leave nulls out
     rows = rows.unionByName(first).groupBy("page").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     body = F.to_json(F.struct("page", F.lit(instance).alias("instance"), F.size("rows").alias("n_rows"), "rows"))
-    rows.select("page", body.alias("value")).write.mode("overwrite").partitionBy("page").text(path)
+    rows.select("page", body.alias("value")).write.mode("overwrite").partitionBy("page").text(path, compression="gzip")
     return r"^page=(\d+)/part-[^/]*$"
