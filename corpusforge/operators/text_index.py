@@ -73,11 +73,13 @@ class TextIndex:
         whole = each.where(~last).join(self.terms.withColumn("lexeme", F.col("token")), "lexeme").select(*cols)
         hit = checkpointed(each.where(last).join(prefixes, "lexeme").select(*cols).unionByName(whole))
         held = self.postings.read_keys(hit.select("token").distinct()) if isinstance(self.postings, BucketedTable) else self.postings
-        # A token of many documents is split by them, and the queries that ask for it are sent to each part.
+        # A token of many documents is split by them, and the queries that ask for it are sent to each part. Only such tokens are
+        # broadcast (no more than places / block); postings never are, however small their files make them look.
         parts = F.ceil(F.col("df") / self.block).cast("int")
-        salted = held.join(hit.select("token", parts.alias("_parts")).distinct(), "token").withColumn("_part", F.pmod(F.xxhash64(self.key), F.col("_parts")).cast("int"))
+        large = F.broadcast(hit.where(parts > 1).select("token", parts.alias("_parts")).distinct())
+        salted = held.join(large, "token", "left").withColumn("_part", F.pmod(F.xxhash64(self.key), F.coalesce("_parts", F.lit(1))).cast("int"))
         asked = hit.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        return asked.join(salted, ["token", "_part"]).select("query_id", "term_no", "n_lex", "nth", self.key, "at")
+        return asked.join(salted.hint("merge"), ["token", "_part"]).select("query_id", "term_no", "n_lex", "nth", self.key, "at")
 
     def _matches(self, asked: DataFrame) -> DataFrame:
         """(query_id, term_no, key, weight): documents that hold a term, with the weights of its places added up."""
@@ -103,7 +105,7 @@ class TextIndex:
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term_no") % 63)
         words_hit = [F.bit_count(F.bit_or(F.when(F.floor(F.col("term_no") / 63) == i, bit).otherwise(F.lit(0).cast("long")))) for i in range(most // 63 + 1)]
         per = self._matches(terms.select("query_id", "term_no", "lex")).groupBy("query_id", self.key).agg(reduce(Column.__add__, words_hit).cast("long").alias("hits"), F.sum("weight").alias("weight"))
-        scored = per.join(self.docs.select(self.key, "name", "n"), self.key).join(counted, "query_id")
+        scored = per.join(self.docs.select(self.key, "name", "n").hint("merge"), self.key).join(counted, "query_id")
         scored = scored.withColumns({"score": F.round(F.col("weight") / (1 + F.ln("n")), 6), "_exact": F.coalesce(F.upper("name") == F.col("_whole"), F.lit(False))})
         order = [F.desc("_exact"), F.desc("hits"), F.desc("score"), F.length("name"), F.col("name").asc_nulls_last(), F.col(self.key)]
         w = Window.partitionBy("query_id").orderBy(*order)
