@@ -19,7 +19,9 @@ def w01(spark, d):
 
 @query("w02_distinct_on", "SELECT DISTINCT ON (l_orderkey) l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber")
 def w02(spark, d):
-    return W.distinct_on(table(spark, d, "lineitem"), ["l_orderkey"], W.ascending("l_linenumber")).select("l_orderkey", "l_linenumber", "l_partkey")
+    """Some lines of an order share a number: the first in the file is taken, as SQL does that reads it in order."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return W.distinct_on(lines, ["l_orderkey"], W.ascending("l_linenumber", "_file", "_row")).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("w03_top_n", "SELECT l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) r FROM lineitem) WHERE r <= 8")
