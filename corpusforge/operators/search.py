@@ -196,11 +196,16 @@ def resolve_references(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     key = lambda c: match_key(F.col(c))
     areas = catalog.select(key("area").alias("ka")).distinct().withColumn("has_area", F.lit(True))
     folders = catalog.select(key("area").alias("ka"), key("folder").alias("kf")).distinct().withColumn("has_folder", F.lit(True))
-    r = refs.withColumns({"ka": key("area"), "kf": key("folder"), "kc": key("column")})
+    r = refs.select("ref_id", "area", "folder", "column").distinct().withColumns({"ka": key("area"), "kf": key("folder"), "kc": key("column")})
     r = r.join(areas, "ka", "left").join(folders, ["ka", "kf"], "left")
-    held = catalog.select(key("area").alias("ka"), key("column").alias("kc"), F.col("folder").alias("in_folder"), F.col("column").alias("in_column"), key("folder").alias("in_kf"))
-    joined = r.join(held, ["ka", "kc"], "left").withColumn("fits", F.coalesce(F.col("in_folder").isNotNull() & (F.col("kf").isNull() | (F.col("kf") == F.col("in_kf"))), F.lit(False)))
-    grouped = joined.groupBy("ref_id", "area", "folder", "column", "has_area", "has_folder").agg(F.countDistinct(F.when(F.col("fits"), F.col("in_folder"))).alias("n"), F.min(F.when(F.col("fits"), F.col("in_folder"))).alias("to_folder"), F.min(F.when(F.col("fits"), F.col("in_column"))).alias("to_column"))
+    # Holders are counted by key before references meet them, so a reference is one row, whatever the number of its holders.
+    # A null kf stands for all folders of the area.
+    held = catalog.where("folder is not null").select(key("area").alias("ka"), key("folder").alias("kf"), key("column").alias("kc"), "folder", "column").where("ka is not null and kc is not null").distinct()
+    counts = [F.count_distinct("folder").alias("n"), F.min("folder").alias("to_folder"), F.min("column").alias("to_column")]
+    holders = held.groupBy("ka", "kf", "kc").agg(*counts).unionByName(held.groupBy("ka", "kc").agg(F.lit(None).cast("string").alias("kf"), *counts))
+    holders = holders.select(*[F.col(c).alias(f"_{c}") for c in ("ka", "kf", "kc")], "n", "to_folder", "to_column")
+    same = (F.col("ka") == F.col("_ka")) & (F.col("kc") == F.col("_kc")) & F.col("kf").eqNullSafe(F.col("_kf"))
+    grouped = r.join(holders, same, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     code = F.when(F.col("has_area").isNull(), "unknown_area").when(F.col("folder").isNotNull() & F.col("has_folder").isNull(), "unknown_folder").when(F.col("n") == 0, "unknown_column").when(F.col("n") > 1, "ambiguous").when((F.col("to_column") != F.col("column")) | (F.col("folder") != F.col("to_folder")), "spelling").otherwise("ok")
     one = F.col("n") == 1
     return grouped.select("ref_id", F.when(one, F.col("to_folder")).alias("to_folder"), F.when(one, F.col("to_column")).alias("to_column"), code.alias("code"))
