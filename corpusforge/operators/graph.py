@@ -17,11 +17,78 @@ from ..sources.shared import checkpointed
 from .picks import top_n
 
 
+SEGMENT = 10  # paths are joined by pieces of at most 2 ** SEGMENT nodes
+
+
+def _walks(links: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """What nodes reach along single links, by jumps of doubling length: (walks, jumps, odd) of distinct links.
+
+    walks: (node, n): how many nodes follow one whose way never forks and ends; jumps: the k-th frame is (node, end), end
+    being 2 ** k links on; odd: (node) of all whose way meets a fork or a circle, None if there are none. Rounds are as many
+    as the longest way has binary digits; each shuffles a row a node.
+    """
+    degree = checkpointed(links.groupBy("src").agg(F.count("*").alias("k"), F.min("dst").alias("end")))
+    forks = degree.where("k > 1").select(F.col("src").alias("node"))
+    live = degree.where("k = 1").select(F.col("src").alias("node"), "end", F.lit(1).cast("long").alias("n"))
+    jumps, done, before = [], [], -1
+    for k in count(1):
+        left = live.count()
+        if left in (0, before):  # lengths have no gaps: if none ended on the last stretch, those left never end
+            break
+        before = left
+        jumps.append(live.select("node", "end"))
+        held = reduce(DataFrame.unionByName, [*done, live]).select(F.col("node").alias("end"), F.col("end").alias("_end"), F.col("n").alias("_n"))
+        both = checkpointed(live.join(held, "end", "left").select("node", F.coalesce("_end", "end").alias("end"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+        done.append(both.where(F.col("n") < 1 << k))
+        live = both.where(F.col("n") == 1 << k)
+    none = degree.limit(0).select(F.col("src").alias("node"), "end", F.lit(0).cast("long").alias("n"))
+    ended = reduce(DataFrame.unionByName, done, none)
+    if not left and forks.isEmpty():
+        return ended.select("node", "n"), jumps, None
+    forked = ended.join(forks.select(F.col("node").alias("end")), "end", "left_semi").select("node")
+    odd = checkpointed(forks.union(forked).union(live.select("node")))
+    return ended.join(odd, "node", "left_anti").select("node", "n"), jumps, odd
+
+
+def _paths(seeds: DataFrame, links: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(seed, node, depth) of distinct seeds whose ways never fork and end: ways are joined by pieces of doubling length, each
+    saved once as an array; a piece is kept only of nodes that the next round can come to."""
+    pieces = links.select(F.col("src").alias("at"), F.array("dst").alias("path"))
+    cursor, out = seeds.select("seed", F.col("seed").alias("at"), F.lit(0).alias("base")), []
+    for k in count():
+        found = checkpointed(cursor.join(pieces, "at").select("seed", "base", "path"))
+        if found.isEmpty():
+            break
+        out.append(found)
+        cursor = found.where(F.size("path") == 1 << min(k, SEGMENT)).select("seed", F.element_at("path", -1).alias("at"), (F.col("base") + F.size("path")).alias("base"))
+        if k < min(SEGMENT, len(jumps)):
+            kept = pieces.join(jumps[k].select(F.col("end").alias("at")).distinct(), "at", "left_semi").withColumn("last", F.element_at("path", -1))
+            behind = pieces.select(F.col("at").alias("last"), F.col("path").alias("_more"))
+            pieces = checkpointed(kept.join(behind, "last", "left").select("at", F.when(F.size("path") < 1 << k, F.col("path")).otherwise(F.concat("path", F.coalesce("_more", F.array().cast(pieces.schema["path"].dataType)))).alias("path")))
+    own = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    each = [p.select("seed", "base", F.posexplode("path").alias("_i", "node")).select("seed", "node", (F.col("base") + F.col("_i") + 1).alias("depth")) for p in out]
+    return reduce(DataFrame.unionByName, each, own)
+
+
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """G1: (seed, node, depth): what each seed (column `seed`) reaches over edges (src, dst); least depth, the seed at 0."""
-    seen = checkpointed(seeds.select("seed").distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
+    """G1: (seed, node, depth): what each seed (column `seed`) reaches over edges (src, dst); least depth, the seed at 0.
+
+    Seeds whose ways never fork (as in forests) are followed by jumps, others wave by wave.
+    """
+    links = checkpointed(edges.select("src", "dst").distinct())
+    asked = checkpointed(seeds.select("seed").distinct())
+    _, jumps, odd = _walks(links)
+    if odd is None:
+        return _paths(asked, links, jumps)
+    odd = odd.select(F.col("node").alias("seed"))
+    plain = _paths(asked.join(odd, "seed", "left_anti"), links, jumps)
+    return plain.unionByName(_wave_closure(asked.join(odd, "seed", "left_semi"), links))
+
+
+def _wave_closure(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """closure of distinct seeds over any distinct links, wave by wave."""
+    seen = checkpointed(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     frontier = seen
-    links = edges.select("src", "dst").distinct()
     for depth in count(1):  # ends on cycles too: nodes seen before aren't in the frontier
         step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
@@ -81,13 +148,32 @@ def _reach_bounds(sketches: DataFrame, links: DataFrame, k: int) -> DataFrame:
 def top_seeds(seeds: DataFrame, edges: DataFrame, meta: DataFrame, n: int, k: int = 16) -> DataFrame:
     """G2 without the closure of every seed: the rows of rank_seeds(closure(seeds, edges), meta, n).
 
+    Seeds whose ways never fork have a size and depth from jumps along them; only the others are sketched. The first n of both
+    are ranked together.
+    """
+    links = checkpointed(edges.select("src", "dst").distinct())
+    asked = checkpointed(seeds.select("seed").distinct())
+    walks, _, odd = _walks(links)
+    plain = asked if odd is None else asked.join(odd.select(F.col("node").alias("seed")), "seed", "left_anti")
+    length = F.coalesce("n", F.lit(0).cast("long"))
+    sized = plain.join(walks.withColumnRenamed("node", "seed"), "seed", "left").select("seed", (length + 1).alias("size"), length.cast("int").alias("depth"))
+    order = [F.desc("size"), F.desc("depth"), F.desc("chars"), "seed"]
+    first = sized.join(meta, "seed").orderBy(*order).limit(n).select("seed", "size", "depth")
+    if odd is None:
+        return first
+    rest = _sketched_seeds(asked.join(odd.select(F.col("node").alias("seed")), "seed", "left_semi"), links, meta, n, k)
+    return first.unionByName(rest).join(meta, "seed").orderBy(*order).limit(n).select("seed", "size", "depth")
+
+
+def _sketched_seeds(seeds: DataFrame, links: DataFrame, meta: DataFrame, n: int, k: int) -> DataFrame:
+    """top_seeds over any distinct links.
+
     Sketches of k hashes a node give exact sizes below k and estimates above. Closures are made of the n seeds of the largest
     estimates first (the longest texts among equals); the n-th row so far is the bar. A seed is out once the best row it could
     have is below the bar: its size at most a bound from its children's bounds, or the size of any seed made before that
     reaches it; its depth at most one less than that; its own text length. The rest follows in batches, each four times
     the last, so the result is exact whatever the estimates were.
     """
-    links = checkpointed(edges.select("src", "dst").distinct())
     chars = meta.groupBy("seed").agg(F.coalesce(F.max("chars"), F.lit(-1)).cast("long").alias("chars"))
     left = checkpointed(seeds.select("seed").distinct().join(chars, "seed"))
     nodes = left.select(F.col("seed").alias("node")).union(links.select("src")).union(links.select("dst")).distinct()
@@ -98,7 +184,7 @@ def top_seeds(seeds: DataFrame, edges: DataFrame, meta: DataFrame, n: int, k: in
     batch, made, size = left.orderBy(F.desc("estimate"), F.desc("chars"), "seed").limit(n), None, n
     while True:
         batch = checkpointed(batch.select("seed", "chars"))
-        reached = checkpointed(closure(batch, links))
+        reached = checkpointed(_wave_closure(batch.select("seed"), links))
         sizes = checkpointed(reached.groupBy("seed").agg(F.count("*").alias("size"), F.max("depth").alias("depth")).join(batch, "seed"))
         made = sizes if made is None else made.unionByName(sizes)
         best = made.orderBy(F.desc("size"), F.desc("depth"), F.desc("chars")).limit(n).agg(F.count("*").alias("k"), F.min(F.struct("size", "depth", "chars")).alias("bar")).first()
@@ -118,34 +204,46 @@ def top_seeds(seeds: DataFrame, edges: DataFrame, meta: DataFrame, n: int, k: in
 def union_closure(seeds: DataFrame, edges: DataFrame, waves: DataFrame) -> DataFrame:
     """(node, depth): all that the seeds reach, each node once, with its depth in `waves` (node, depth); null where it has none.
 
-    Rows are nodes, not (seed, node) pairs.
+    Rows are nodes, not (seed, node) pairs. Nodes whose ways fork or don't end are followed wave by wave; then jumps of 1, 2,
+    4 ... links from all that is marked so far mark the rest.
     """
-    links = edges.select("src", "dst").distinct()
-    seen = frontier = checkpointed(seeds.select(F.col("seed").alias("node")).distinct())
-    while True:
-        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
-            return seen.join(waves.select("node", "depth"), "node", "left")
-        seen = seen.unionByName(frontier)
+    links = checkpointed(edges.select("src", "dst").distinct())
+    _, jumps, odd = _walks(links)
+    seen = checkpointed(seeds.select(F.col("seed").alias("node")).distinct())
+    if odd is not None:
+        forked, frontier = checkpointed(links.join(odd.select(F.col("node").alias("src")), "src", "left_semi")), seen
+        while not frontier.isEmpty():
+            step = frontier.join(forked, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            frontier = checkpointed(step.join(seen, "node", "left_anti"))
+            seen = seen.unionByName(frontier)
+    for jump in jumps:
+        seen = checkpointed(seen.unionByName(jump.join(seen, "node", "left_semi").select(F.col("end").alias("node"))).distinct())
+    return seen.join(waves.select("node", "depth"), "node", "left")
 
 
 def dependency_depth(edges: DataFrame) -> DataFrame:
     """(node, depth): 0 for nodes that depend on nothing, else one more than the deepest dependency.
 
-    edges: (src, dst), src depends on dst. Nodes are peeled off in waves: a node whose last dependency went in the wave
-    before is next, so each edge is dropped once and the frame shrinks. Raises if edges are left but no node is free: a cycle.
+    edges: (src, dst), src depends on dst. Nodes whose ways never fork get their depth from jumps. The others are peeled off: a
+    node goes once all it depends on has a depth, so each edge is dropped once and the frame shrinks. Raises if edges are
+    left but no node is free: a cycle.
     """
-    left = checkpointed(edges.select("src", "dst").distinct())
-    nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-    wave = checkpointed(nodes.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)))
-    out = wave
-    for depth in count(1):
-        done = wave.select(F.col("node").alias("dst"))
-        touched = left.join(done, "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        rest = checkpointed(left.join(done, "dst", "left_anti").select("src", "dst"))
-        wave = checkpointed(touched.join(rest.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        left = rest
+    links = checkpointed(edges.select("src", "dst").distinct())
+    walks, _, odd = _walks(links)
+    roots = links.select(F.col("dst").alias("node")).distinct().join(links.select(F.col("src").alias("node")), "node", "left_anti")
+    known = roots.select("node", F.lit(0).alias("depth")).unionByName(walks.select("node", F.col("n").cast("int").alias("depth")))
+    if odd is None:
+        return known
+    wave = out = checkpointed(known)
+    left = checkpointed(links.join(odd.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"))
+    best = links.limit(0).select(F.col("src").alias("node"), F.lit(0).alias("depth"))
+    while True:
+        met = left.join(wave.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), (F.col("depth") + 1).alias("depth"))
+        best = checkpointed(best.unionByName(met).groupBy("node").agg(F.max("depth").alias("depth")))
+        left = checkpointed(left.join(wave.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        open_ = left.select(F.col("src").alias("node")).distinct()
+        wave = checkpointed(best.join(open_, "node", "left_anti"))
+        best = best.join(open_, "node", "left_semi")
         if wave.isEmpty():
             break
         out = out.unionByName(wave)
@@ -204,17 +302,19 @@ def resolve_chain(nodes: DataFrame, stages: Sequence[tuple[str, DataFrame | Call
 def absorb_when_all(nodes: DataFrame, partners: DataFrame, members: DataFrame) -> DataFrame:
     """(node, round): a node joins the class once all its partners are in it; those given are round 0.
 
-    partners: (node, other). A node without partners isn't absorbed.
+    partners: (node, other). A node without partners isn't absorbed. A link is dropped once its partner is in, so rounds shrink.
     """
-    cur = checkpointed(members.select("node").distinct().withColumn("round", F.lit(0)))
-    links = partners.select("node", "other").distinct()
+    wave = out = checkpointed(members.select("node").distinct().withColumn("round", F.lit(0)))
+    links = partners.select("node", "other").distinct().join(nodes.select("node"), "node", "left_semi")
+    left = checkpointed(links.join(wave.select("node"), "node", "left_anti"))
     for k in count(1):  # every round absorbs a node or ends the loop
-        flagged = links.join(cur.select(F.col("node").alias("other"), F.lit(True).alias("_in")), "other", "left")
-        full = flagged.groupBy("node").agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all")).where("_all").select("node")
-        new = checkpointed(full.join(nodes.select("node"), "node", "left_semi").join(cur, "node", "left_anti").withColumn("round", F.lit(k)))
-        if new.isEmpty():
-            return cur
-        cur = checkpointed(cur.unionByName(new))
+        new = wave.select(F.col("node").alias("other"))
+        touched = left.join(new, "other", "left_semi").select("node").distinct()
+        rest = checkpointed(left.join(new, "other", "left_anti").select("node", "other"))
+        wave = checkpointed(touched.join(rest.select("node"), "node", "left_anti").withColumn("round", F.lit(k)))
+        if wave.isEmpty():
+            return out
+        out, left = out.unionByName(wave), rest
 
 
 def inherit_from_parent(nodes: DataFrame, parents: DataFrame, hops: int = 3) -> DataFrame:
