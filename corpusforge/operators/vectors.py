@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +19,35 @@ from ..sources.shared import checkpointed
 from .picks import top_n
 
 
+PAIRS = 1 << 19  # distances that a task holds at once
+
+
 def _nearest(asked: pa.Table, held: pa.Table, k: int, keys: Sequence[str]) -> pa.Table:
-    """(query_id, *keys, distance) of the k nearest rows of `held` for each row of `asked`, with all ties of the last."""
+    """(query_id, *keys, distance) of the k nearest rows of `held` for each row of `asked`, ties at nine decimals by keys.
+
+    The product finds who may be among them; their distances are then taken from the vectors, so equal vectors are at 0.
+    """
     matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    held = held.take(pc.sort_indices(held, sort_keys=[(c, "ascending") for c in keys], null_placement="at_start"))
     ids, found, at, distance = asked.column("query_id").to_numpy(), [], [], []
     if asked.num_rows and held.num_rows:
         q, x = matrix(asked), matrix(held)
-        square, n, step = (x * x).sum(1), min(k, len(x)), max(1, (1 << 22) // len(x))
+        square, n, step = (x * x).sum(1), min(k, len(x)), max(1, PAIRS // len(x))
         for i in range(0, len(q), step):
             some = q[i : i + step]
-            d = np.sqrt(np.maximum(0, (some * some).sum(1)[:, None] + square - 2 * some @ x.T))
-            edge = np.partition(d, n - 1, axis=1)[:, n - 1, None]
-            row, col = np.nonzero(d <= edge + 1e-9)  # all ties go on: the final order is exact
-            found.append(ids[i + row])
-            at.append(col)
-            distance.append(d[row, col])
+            own = (some * some).sum(1)[:, None]
+            d = some @ x.T
+            d *= -2
+            d += square
+            d += own
+            edge = np.sqrt(np.maximum(0, np.partition(d, n - 1, axis=1)[:, n - 1, None]))
+            row, col = np.nonzero(d <= (edge + 2e-9) ** 2 + 1e-12 * (own + square.max()))
+            exact = np.concatenate([np.sqrt(((some[row[j : j + (1 << 16)]] - x[col[j : j + (1 << 16)]]) ** 2).sum(1)) for j in range(0, len(row), 1 << 16)] or [np.zeros(0)])
+            order = np.lexsort((col, np.round(exact, 9), row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < n]  # rows come in order
+            found.append(ids[i + row[order]])
+            at.append(col[order])
+            distance.append(exact[order])
     none = [np.zeros(0, np.int64)]
     table = held.select(list(keys)).take(pa.array(np.concatenate(at or none)))
     return table.add_column(0, "query_id", pa.array(np.concatenate(found or none), pa.int64())).append_column("distance", pa.array(np.concatenate(distance or [np.zeros(0)])))
