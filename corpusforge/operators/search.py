@@ -221,6 +221,7 @@ def explain_misses(refs: DataFrame, catalog: DataFrame, k: int = 5, holders: int
     """
     key = lambda c: match_key(F.col(c))
     scope = lambda *parts: F.to_json(F.array(*[F.col(p) for p in parts]))
+    catalog = checkpointed(catalog.select("area", "folder", "column").distinct())  # read by every part below
     codes = resolve_references(refs, catalog).select("ref_id", "code").where(~F.col("code").isin("ok", "spelling"))
     open_ = checkpointed(refs.select("ref_id", "area", "folder", "column").join(codes, "ref_id").withColumns({"ka": key("area"), "kf": key("folder"), "kc": key("column")}))
     names = catalog.select("area", "folder", "column", key("area").alias("ka"), key("folder").alias("kf"), key("column").alias("kc"))
