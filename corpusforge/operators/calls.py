@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.shared import checkpointed
+from ..sources.shared import stored
 from .picks import top_n
 
 #: Packages of the database itself, by name; what methods of its object types are called; its schemas.
@@ -36,6 +38,8 @@ _BLOCK = re.compile(r"\s*(?:DECLARE|BEGIN)\b", re.I)
 _INLINE = re.compile(r"\bWITH\s+(?:FUNCTION|PROCEDURE)\b", re.I)
 _END = re.compile(r"\bEND\s*;", re.I)
 
+#: Facts of one Arrow batch, and those of one more text.
+BLOCK = 8192
 FACT = "schema_name string, package_name string, function_name string, arg_count int, paren boolean, found_in string, pos int, snippet string, truncated boolean"
 
 
@@ -105,22 +109,38 @@ def scan(text: str, longest: int = 240, before: int = 40) -> list[tuple]:
     return out
 
 
+_NAMES = [f.split(" ")[0] for f in FACT.split(", ")]
+_TYPES = [pa.string()] * 3 + [pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
+
+
+def _batch_facts(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+    """The facts of a batch (key, text), each different text scanned once."""
+    coded = batch.column(1).dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy()
+    by_code = np.argsort(codes, kind="stable")
+    for low in range(0, len(coded.dictionary), 256):
+        found = [scan(t) for t in coded.dictionary.slice(low, 256).to_pylist()]
+        facts = [x for f in found for x in f]
+        held = [pa.array([x[k] for x in facts], t) for k, t in enumerate(_TYPES)]
+        size = np.array([len(f) for f in found])
+        start, calls = np.cumsum(size) - size, np.array([sum(x[4] for x in f) for f in found], np.int32)
+        rows = by_code[slice(*np.searchsorted(codes, (low, low + 256), sorter=by_code))]
+        ends = np.cumsum(size[codes[rows] - low])
+        for some in np.split(rows, np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK))):
+            n = size[codes[some] - low]
+            seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            code = np.repeat(codes[some] - low, n)
+            at = pa.array(start[code] + seq)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(some, n))), pa.array(seq.astype(np.int32)), pa.array(calls[code]), *(h.take(at) for h in held)], [key, "seq", "n_calls", *_NAMES])
+
+
 def scanned(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, seq, n_calls, FACT): what `scan` finds; null texts hold nothing."""
+    """(key, seq, n_calls, FACT): what `scan` finds; null texts hold nothing. Equal texts of a batch are scanned once."""
     kind = texts.schema[key].dataType.simpleString()
-    names = [f.split(" ")[0] for f in FACT.split(", ")]
-    types = [pa.string()] * 3 + [pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.string(), pa.bool_()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [scan(t) if t else [] for t in part.column(1).to_pylist()]
-                row = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-                facts = [x for f in found for x in f]
-                seq = pa.array([s for f in found for s in range(len(f))], pa.int32())
-                calls = pa.array([n for f in found for n in [sum(x[4] for x in f)] for _ in f], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), seq, calls, *(pa.array([x[k] for x in facts], t) for k, t in enumerate(types))], [key, "seq", "n_calls", *names])
+            yield from _batch_facts(batch, key)
 
     return texts.select(key, F.col(text).cast("string").alias(text)).mapInArrow(work, f"`{key}` {kind}, seq int, n_calls int, {FACT}")
 
@@ -133,12 +153,14 @@ def call_facts(texts: DataFrame, objects: DataFrame, packages: DataFrame, key: s
     its name, custom or built in; it is no object, and no alias of that statement. Texts are scanned once; the
     facts are saved, and only packages and bare references are shuffled.
     """
-    facts = checkpointed(scanned(texts, key, text))
+    facts = stored(scanned(texts, key, text), "calls")
     names = lambda df: df.select(F.upper("name").alias("package_name")).distinct()
-    seen = facts.where("paren").groupBy("package_name").agg(F.count_distinct(key).alias("_n")).where((F.col("_n") >= least) & F.contains("package_name", F.lit("_")))
+    seen = facts.where(F.col("paren") & F.contains("package_name", F.lit("_"))).groupBy("package_name").agg(F.count_distinct(key).alias("_n")).where(F.col("_n") >= least)
     eligible = names(packages).union(seen.select("package_name")).distinct().withColumn("_e", F.lit(True))
-    bare = facts.where("not paren").join(names(objects), "package_name", "left_anti").join(eligible, "package_name", "left")
-    bare = bare.where(F.col("_e") | F.col("package_name").rlike(builtin) | F.col("package_name").rlike(custom))
+    # What counts is settled by name, so facts meet the names that do in one join.
+    asked = facts.where("not paren").select("package_name").distinct().join(names(objects), "package_name", "left_anti").join(eligible, "package_name", "left")
+    asked = asked.where(F.col("_e") | F.col("package_name").rlike(builtin) | F.col("package_name").rlike(custom)).select("package_name")
+    bare = facts.where("not paren").join(stored(asked, "packages"), "package_name")
     bare = bare.withColumn("seq", F.col("n_calls") + F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1)
     cols = [key, "seq", *(f.split(" ")[0] for f in FACT.split(", "))]
     return facts.where("paren").select(*cols).unionByName(bare.select(*cols))
@@ -164,11 +186,34 @@ def package_classes(calls: DataFrame, packages: DataFrame, modules: DataFrame, o
     return out.select("package_name", kind.alias("api_class"), F.coalesce("_in", F.lit(False)).alias("in_dictionary"), F.when(~name.rlike(custom), F.col("_m")).alias("module"), "real_call", "bare_statements")
 
 
-def _count_map(df: DataFrame, key: Sequence[str], value: Column, name: str) -> DataFrame:
-    counted = df.groupBy(*key, F.coalesce(value, F.lit("?")).alias("_v")).agg(F.count("*").alias("_n"))
+def _count_map(df: DataFrame, key: Sequence[str], value: Column, n: str, name: str) -> DataFrame:
+    counted = df.groupBy(*key, F.coalesce(value, F.lit("?")).alias("_v")).agg(F.sum(n).alias("_n"))
     return counted.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_v", "_n")))).alias(name))
 
 
+def _seen_in(units: DataFrame, refs: DataFrame) -> DataFrame:
+    """(sql_hash, title, path, unit, n): a row a unit and path; n is 1 in one row of each unit of a statement, else 0. `unit` names
+    units of several statements only, which are counted by name; the others need no more than a sum."""
+    w = Window.partitionBy("unit_id")
+    rows = units.where("unit_id is not null").select("unit_id", "sql_hash", "title").withColumns({
+        "_again": F.row_number().over(Window.partitionBy("unit_id", "sql_hash").orderBy("sql_hash")) > 1,
+        "_several": F.min("sql_hash").over(w) < F.max("sql_hash").over(w),
+    })
+    paths = refs.where("unit_id is not null and path is not null").select("unit_id", "path").withColumn("_r", F.row_number().over(w.orderBy("path")))
+    once = ~F.col("_again") & (F.coalesce("_r", F.lit(1)) == 1)
+    named = rows.join(paths, "unit_id", "left").select("sql_hash", "title", "path", F.when(F.col("_several"), F.col("unit_id")).alias("unit"), once.cast("long").alias("n"))
+    null = F.lit(None)
+    return named.unionByName(units.where("unit_id is null").select("sql_hash", "title", null.cast(named.schema["path"].dataType).alias("path"), null.cast(named.schema["unit"].dataType).alias("unit"), F.lit(0).cast("long").alias("n")))
+
+
+def _uses(corpus: DataFrame, tables: DataFrame, modules: DataFrame) -> DataFrame:
+    """(sql_hash, kind, value, n): the source of a statement, its tables and their modules, each with its number of rows."""
+    named = tables.select("sql_hash", "table_name").join(modules.where("module is not null").select(F.col("name").alias("table_name"), "module").distinct(), "table_name", "left")
+    both = F.array(F.struct(F.lit("table").alias("kind"), F.col("table_name").alias("value")), F.struct(F.lit("module").alias("kind"), F.col("module").alias("value")))
+    uses = named.select("sql_hash", F.inline(both)).where("kind = 'table' or value is not null").unionByName(corpus.select("sql_hash", F.lit("source").alias("kind"), F.col("source").alias("value")))
+    return uses.repartition("sql_hash").groupBy("sql_hash", "kind", "value").agg(F.count("*").alias("n"))
+
+
 def _ranked(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int, fields: Sequence[Column | str], name: str) -> DataFrame:
     """The first n rows a key as an ordered list of structs."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -189,30 +234,32 @@ def api_inventory(calls: DataFrame, corpus: DataFrame, units: DataFrame, refs: D
     tables: (sql_hash, table_name); modules: (name, module) of objects.
     """
     key = ["package_name", "function_name"]
-    classes = package_classes(calls, packages, modules, own, min_module=min_module)
-    c = calls.join(classes, "package_name").where("real_call or bare_statements >= 2 or paren")
-    c = c.withColumn("api_class", F.when((F.col("api_class") == "unknown") & F.col("function_name").isin(METHODS), "method").otherwise(F.col("api_class")))
-    c = checkpointed(c)  # read by every part below
-    once = c.select("sql_hash", *key).distinct()
-    base = c.groupBy(*key).agg(F.count_distinct("sql_hash").alias("statements"), *(F.first(x).alias(x) for x in ("api_class", "in_dictionary", "module")))
-    u = once.join(units.select("unit_id", "sql_hash", "title"), "sql_hash")
-    by_unit = u.groupBy(*key).agg(F.count_distinct("unit_id").alias("units"), F.count_distinct("title").alias("titles"))
-    by_path = u.join(refs.select("unit_id", "path"), "unit_id").groupBy(*key).agg(F.count_distinct("path").alias("reports"))
-    by_source = _count_map(once.join(corpus.select("sql_hash", "source"), "sql_hash"), key, F.col("source"), "by_source")
-    args = _count_map(c, key, F.col("arg_count").cast("string"), "arg_counts")
-    found_in = _count_map(c, key, F.col("found_in"), "found_in")
-    pairs = once.join(tables.select("sql_hash", "table_name").distinct(), "sql_hash")
-    counts = pairs.groupBy(*key, "table_name").agg(F.count("*").alias("statements"))
-    top_tables = _ranked(counts, key, [F.desc("statements"), F.col("table_name")], n_tables, ["table_name", "statements"], "top_tables")
-    used = pairs.join(modules.where("module is not null").select(F.col("name").alias("table_name"), "module").distinct(), "table_name")
-    used = used.select("sql_hash", *key, "module").distinct().groupBy(*key, "module").agg(F.count("*").alias("statements"))
-    top_modules = _ranked(used, key, [F.desc("statements"), F.col("module")], n_modules, ["module", "statements"], "top_modules")
-    short = top_n(c, [*key, "sql_hash"], [F.col("truncated"), F.length("snippet"), F.col("pos")], 1).select(*key, "sql_hash", "snippet", "truncated")
-    best = short.join(corpus.select("sql_hash", "source", "title", "described"), "sql_hash")
+    classes = stored(package_classes(calls, packages, modules, own, min_module=min_module), "classes")
+    counted = classes.where("real_call or bare_statements >= 2").select("package_name", F.lit(True).alias("_counted"))
+    c = calls.where("package_name is not null").join(counted, "package_name", "left").where("_counted or paren")
+    c = stored(c.select("sql_hash", *key, "arg_count", "found_in", "pos", "snippet", "truncated"), "counted")  # read by every part below
+    each = c.groupBy(*key, "arg_count", "found_in").agg(F.count("*").alias("n"))
+    args = _count_map(each, key, F.col("arg_count").cast("string"), "n", "arg_counts")
+    found_in = _count_map(each, key, F.col("found_in"), "n", "found_in")
+    # The saved table's files are far smaller than its rows: no join may broadcast it.
+    once = c.select("sql_hash", *key).repartition("sql_hash").distinct().hint("merge")
+    base = once.groupBy(*key).agg(F.count("sql_hash").alias("statements")).join(classes.select("package_name", "api_class", "in_dictionary", "module"), "package_name")
+    base = base.withColumn("api_class", F.when((F.col("api_class") == "unknown") & F.col("function_name").isin(METHODS), "method").otherwise(F.col("api_class")))
+    # Both frames are counted by function right behind their join, so no row of a statement is dealt again by function.
+    seen = stored(once.join(_seen_in(units, refs), "sql_hash").groupBy(*key, "title", "path", "unit").agg(F.sum("n").alias("n")), "seen")
+    whole = seen.groupBy(*key).agg(F.sum(F.when(F.col("unit").isNull(), F.col("n"))).alias("_n"), F.count_distinct("unit").alias("_u"))
+    numbers = whole.select(*key, (F.col("_n") + F.col("_u")).alias("units"))
+    of = lambda c, name: seen.where(F.col(c).isNotNull()).select(*key, c).distinct().groupBy(*key).agg(F.count("*").alias(name))
+    used = stored(once.join(_uses(corpus, tables, modules), "sql_hash").groupBy(*key, "kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("statements")), "used")
+    by_source = _count_map(used.where("kind = 'source'"), key, F.col("value"), "n", "by_source")
+    top = lambda kind, column, n, name: _ranked(used.where(F.col("kind") == kind).withColumnRenamed("value", column), key, [F.desc("statements"), F.col(column)], n, [column, "statements"], name)
+    top_tables, top_modules = top("table", "table_name", n_tables, "top_tables"), top("module", "module", n_modules, "top_modules")
+    short = top_n(c.select("sql_hash", *key, "truncated", "snippet", "pos").repartition("sql_hash"), ["sql_hash", *key], [F.col("truncated"), F.length("snippet"), F.col("pos")], 1).drop("pos")
+    best = short.hint("merge").join(corpus.select("sql_hash", "source", "title", "described"), "sql_hash")
     order = [~F.col("described"), F.col("source") != first_source, F.col("truncated"), F.length("snippet"), F.col("sql_hash")]
     samples = _ranked(best, key, order, n_samples, ["snippet", "sql_hash", "source", "title"], "samples")
     out = base
-    for part in (by_unit, by_path, by_source, args, found_in, top_tables, top_modules, samples):
+    for part in (numbers, of("title", "titles"), of("path", "reports"), by_source, args, found_in, top_tables, top_modules, samples):
         out = out.join(part, key, "left")
     usage = F.get("top_modules", F.lit(0))["module"]
     source = F.when(F.col("module").isNotNull(), "prefix").when(usage.isNotNull(), "usage")

@@ -36,3 +36,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; a lost executor loses none of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df computed once and written as a table in the shared folder: parts that need few columns read only those, and
+    joins know its size."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
