@@ -206,12 +206,17 @@ def _seen_in(units: DataFrame, refs: DataFrame) -> DataFrame:
     return named.unionByName(units.where("unit_id is null").select("sql_hash", "title", null.cast(named.schema["path"].dataType).alias("path"), null.cast(named.schema["unit"].dataType).alias("unit"), F.lit(0).cast("long").alias("n")))
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions that adaptive execution leaves alone: merged to few by their compressed bytes, each would hold far more rows in memory."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _uses(corpus: DataFrame, tables: DataFrame, modules: DataFrame) -> DataFrame:
     """(sql_hash, kind, value, n): the source of a statement, its tables and their modules, each with its number of rows."""
     named = tables.select("sql_hash", "table_name").join(modules.where("module is not null").select(F.col("name").alias("table_name"), "module").distinct(), "table_name", "left")
     both = F.array(F.struct(F.lit("table").alias("kind"), F.col("table_name").alias("value")), F.struct(F.lit("module").alias("kind"), F.col("module").alias("value")))
     uses = named.select("sql_hash", F.inline(both)).where("kind = 'table' or value is not null").unionByName(corpus.select("sql_hash", F.lit("source").alias("kind"), F.col("source").alias("value")))
-    return uses.repartition("sql_hash").groupBy("sql_hash", "kind", "value").agg(F.count("*").alias("n"))
+    return uses.repartition(_parts(corpus), "sql_hash").groupBy("sql_hash", "kind", "value").agg(F.count("*").alias("n"))
 
 
 def _ranked(df: DataFrame, key: Sequence[str], order: Sequence[Column], n: int, fields: Sequence[Column | str], name: str) -> DataFrame:
@@ -242,7 +247,7 @@ def api_inventory(calls: DataFrame, corpus: DataFrame, units: DataFrame, refs: D
     args = _count_map(each, key, F.col("arg_count").cast("string"), "n", "arg_counts")
     found_in = _count_map(each, key, F.col("found_in"), "n", "found_in")
     # The saved table's files are far smaller than its rows: no join may broadcast it.
-    once = c.select("sql_hash", *key).repartition("sql_hash").distinct().hint("merge")
+    once = c.select("sql_hash", *key).repartition(_parts(calls), "sql_hash").distinct().hint("merge")
     base = once.groupBy(*key).agg(F.count("sql_hash").alias("statements")).join(classes.select("package_name", "api_class", "in_dictionary", "module"), "package_name")
     base = base.withColumn("api_class", F.when((F.col("api_class") == "unknown") & F.col("function_name").isin(METHODS), "method").otherwise(F.col("api_class")))
     # Both frames are counted by function right behind their join, so no row of a statement is dealt again by function.
@@ -254,7 +259,7 @@ def api_inventory(calls: DataFrame, corpus: DataFrame, units: DataFrame, refs: D
     by_source = _count_map(used.where("kind = 'source'"), key, F.col("value"), "n", "by_source")
     top = lambda kind, column, n, name: _ranked(used.where(F.col("kind") == kind).withColumnRenamed("value", column), key, [F.desc("statements"), F.col(column)], n, [column, "statements"], name)
     top_tables, top_modules = top("table", "table_name", n_tables, "top_tables"), top("module", "module", n_modules, "top_modules")
-    short = top_n(c.select("sql_hash", *key, "truncated", "snippet", "pos").repartition("sql_hash"), ["sql_hash", *key], [F.col("truncated"), F.length("snippet"), F.col("pos")], 1).drop("pos")
+    short = top_n(c.select("sql_hash", *key, "truncated", "snippet", "pos").repartition(_parts(calls), "sql_hash"), ["sql_hash", *key], [F.col("truncated"), F.length("snippet"), F.col("pos")], 1).drop("pos")
     best = short.hint("merge").join(corpus.select("sql_hash", "source", "title", "described"), "sql_hash")
     order = [~F.col("described"), F.col("source") != first_source, F.col("truncated"), F.length("snippet"), F.col("sql_hash")]
     samples = _ranked(best, key, order, n_samples, ["snippet", "sql_hash", "source", "title"], "samples")
